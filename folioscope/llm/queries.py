@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
+from .mixing import mix
 from .ngram_join import similar_components
 from .tables import table
 
@@ -37,3 +40,42 @@ links AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id =
 edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON edges.x = reach.r)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY n.doc_id, n.n"""
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken")
+    )
+
+
+QUERIES["op3_source_mixing"] = op3_source_mixing
+SQL_SIZE = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x != ''))::BIGINT"
+#: Tables ``sized`` and ``plan`` from ``{docs}``: the sizes and every source's target.
+SQL_MIX = f"""
+sized AS (SELECT *, {SQL_SIZE} AS size FROM {{docs}}),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS ceiling FROM src),
+levels AS (SELECT *, ceiling / weight AS ratio,
+    ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(ceiling) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+    FROM weighed WINDOW b AS (ORDER BY ceiling / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+plan AS (SELECT source, source_size, least(ceiling, coalesce(weight * (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1), ceiling)) AS target FROM levels),
+mixed AS (SELECT sized.*, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source)"""
+SQL["op3_source_mixing"] = f"""
+WITH {SQL_MIX.format(docs="documents")}
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM mixed"""
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op6_benchmark_decontamination"] = op6_benchmark_decontamination
+SQL["op6_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents), b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+ds AS (SELECT doc_id, unnest({SQL_SHINGLES}) AS g FROM d), bs AS (SELECT item_id, unnest({SQL_SHINGLES}) AS g FROM b),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared FROM ds JOIN bs USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n HAVING 4 * count(*) >= 3 * n"""
