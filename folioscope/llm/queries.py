@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .decontaminate import contaminated
+from .fuzzy import fingerprints
 from .mixing import mix
 from .ngram_join import similar_components
-from .tables import table
+from .tables import table, written
+from .warc import archive, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +82,38 @@ ds AS (SELECT doc_id, unnest({SQL_SHINGLES}) AS g FROM d), bs AS (SELECT item_id
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared FROM ds JOIN bs USING (g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n HAVING 4 * count(*) >= 3 * n"""
+
+
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(archive(table(spark, sf_dir, "pages")), "archive")
+    return records(stored, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op4_warc_bundles"] = op4_warc_bundles
+SQL["op4_warc_bundles"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first != page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+def remainder(key: str, m: int) -> Column:
+    """crc32 of the id as text, modulo m."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % m
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_document_fingerprints"] = op2_document_fingerprints
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(remainder("doc_id", 4) != 2))
+    scored = toxicity.score(docs, model, spans=False)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
