@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import language, quality, toxicity
 from .decontaminate import contaminated
 from .fuzzy import fingerprints
 from .mixing import mix
@@ -117,3 +117,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_toxicity"] = op5_toxicity
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(remainder("doc_id", 5) != 0))
+    scored = quality.score(docs, model, detail=False)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op8_line_quality"] = op8_line_quality
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(remainder("doc_id", 3) != 1))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op10_language_id"] = op10_language_id

@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Every token gets the log-odds of its use in toxic and other labelled texts under a
-Dirichlet prior proportional to its use in both; tokens whose log-odds stand out (z score)
+Every token gets the log-odds of its use in toxic and other labelled texts (documents that
+hold it, so that one long text doesn't decide) under a Dirichlet prior: a floor for every
+token and a part in proportion to its use in both; tokens whose log-odds are large and stand out (z score)
 form the lexicon and score their log-odds, all others a small negative value. The linear
 scan of Ruzzo and Tompa lists every maximal segment of positive score. Segment scores are
 calibrated by the extreme-value law of such scores: with lambda from the score
@@ -35,8 +36,8 @@ from . import words as W
 from .tables import written
 
 LEXICON = 50_000
-PRIOR = 500.0
-MIN_Z = 4.0
+PRIOR, FLOOR = 500.0, 0.5
+MIN_Z, MIN_ODDS = 3.0, 1.5
 DRIFT = -0.7
 CEILING = 6.0
 SIGNIFICANCE = 0.05
@@ -86,8 +87,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = W.column(batch, "text"), W.column(batch, "label").to_numpy()
         for a, b in W.slices(texts):
             w = tokens(*W.flat(texts.slice(a, b - a)))
-            each, inverse = np.unique(w.hash, return_inverse=True)
-            ones = np.bincount(inverse, weights=labels[a:b][w.doc], minlength=len(each)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                _, once = np.unique(W.mix64(w.hash + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            each, inverse = np.unique(w.hash[once], return_inverse=True)
+            ones = np.bincount(inverse, weights=labels[a:b][w.doc[once]], minlength=len(each)).astype(np.int64)
             total = np.bincount(inverse, minlength=len(each))
             yield pa.RecordBatch.from_arrays([pa.array(W.signed(each)), pa.array(ones), pa.array(total - ones)], ["token", "ones", "zeros"])
 
@@ -110,14 +113,15 @@ def lexicon(labelled: DataFrame, text: str = "text", label: str = "label") -> Le
     """Learn from (text, label 0/1) rows."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label")).where("label IN (0, 1)")
     counts = written(rows.mapInArrow(_counts, "token long, ones long, zeros long").groupBy("token").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")))
-    all1, all0 = (float(x or 0) for x in counts.agg(F.sum("ones"), F.sum("zeros")).first())
+    all1, all0, kinds = (float(x or 0) for x in counts.agg(F.sum("ones"), F.sum("zeros"), F.count("*")).first())
     if not all1 or not all0:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
-    prior = F.lit(PRIOR) * (F.col("ones") + F.col("zeros")) / F.lit(all1 + all0)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + PRIOR) - F.col(y) - prior))
+    prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("ones") + F.col("zeros")) / F.lit(all1 + all0)
+    mass = PRIOR + FLOOR * kinds
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + mass) - F.col(y) - prior))
     delta = odds("ones", all1) - odds("zeros", all0)
     z = delta / F.sqrt(1 / (F.col("ones") + prior) + 1 / (F.col("zeros") + prior))
-    top = counts.select("token", "zeros", delta.alias("delta"), z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "token").limit(LEXICON).collect()
+    top = counts.select("token", "zeros", delta.alias("delta"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_ODDS)).orderBy(F.col("z").desc(), "token").limit(LEXICON).collect()
     if not top:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
     hashes = np.array([r.token for r in top], np.int64).view(np.uint64)
