@@ -78,45 +78,70 @@ class Sketches:
                 yield self.ids[j], len(s), shared
 
 
+def _matches(block: Sketches, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, size, shared) of every match."""
+    for a, b in W.slices(texts):
+        data, at = W.flat(texts.slice(a, b - a))
+        runs, docs = W.shingles(W.words(data, at))
+        hit = block.hits(runs)
+        for d in np.unique(docs[hit]):
+            x, y = np.searchsorted(docs, [d, d + 1])
+            own = hit[(hit >= x) & (hit < y)]
+            for i, m, c in block.contained(runs[x:y], own - x):
+                yield a + int(d), i, m, c
+
+
 def _search(sketches):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sketches.value
         for batch in batches:
-            ids, texts, out = W.column(batch, "id").to_pylist(), W.column(batch, "text"), []
-            for a, b in W.slices(texts):
-                data, at = W.flat(texts.slice(a, b - a))
-                runs, docs = W.shingles(W.words(data, at))
-                hit = block.hits(runs)
-                for d in np.unique(docs[hit]):
-                    x, y = np.searchsorted(docs, [d, d + 1])
-                    own = hit[(hit >= x) & (hit < y)]
-                    out += [(ids[a + d], i, m, c) for i, m, c in block.contained(runs[x:y], own - x)]
+            ids = W.column(batch, "id").to_pylist()
+            out = [(ids[k], i, m, c) for k, i, m, c in _matches(sketches.value, W.column(batch, "text"))]
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_shared"])
 
     return run
 
 
+def blocks(items: DataFrame, key: str, text: str, num: int, den: int) -> Iterator[Sketches]:
+    """The items, in blocks of a bounded number of shingles."""
+    named = items.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    block, held = [], 0
+    for r in named.mapInArrow(_items, "id long, s array<long>").toLocalIterator():
+        s = np.array(r.s, np.int64).view(np.uint64)
+        if block and held + len(s) > BLOCK_SHINGLES:
+            yield Sketches(block, num, den)
+            block, held = [], 0
+        block.append((r.id, s))
+        held += len(s)
+    if block:
+        yield Sketches(block, num, den)
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", num: int = 3, den: int = 4
 ) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) for every document that holds num/den of an item."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).mapInArrow(_items, "id long, s array<long>")
-    out, block, held = None, [], 0
+    out = spark.createDataFrame([], SCHEMA)
+    for block in blocks(items, item_key, item_text, num, den):
+        out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(block)), SCHEMA))
+    return out
 
-    def searched(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Sketches(block, num, den))
-        return docs.mapInArrow(_search(shared), SCHEMA)
 
-    for r in rows.toLocalIterator():
-        s = np.array(r.s, np.int64).view(np.uint64)
-        if block and held + len(s) > BLOCK_SHINGLES:
-            out = searched(block) if out is None else out.unionByName(searched(block))
-            block, held = [], 0
-        block.append((r.id, s))
-        held += len(s)
-    if block:
-        out = searched(block) if out is None else out.unionByName(searched(block))
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", num: int = 3, den: int = 4) -> DataFrame:
+    """The rows of ``docs`` that hold num/den of no item, with all their columns."""
+
+    def without(sketches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for k, *_ in _matches(sketches.value, W.column(batch, text)):
+                    keep[k] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block in blocks(items, item_key, item_text, num, den):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs

@@ -297,3 +297,15 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.join(of, "sid", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
     )
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 3, den: int = 4) -> DataFrame:
+    """``docs`` with the smallest id of every component; of rows of one id and text, one.
+
+    Texts without words are in no component and stay. Rows of one id with different texts
+    stay if the id is the smallest of a component.
+    """
+    found = similar_components(docs, key, text, num, den)
+    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_id")).distinct()
+    kept = docs.join(keep, docs[key].eqNullSafe(keep.kept_id), "left_semi")
+    return kept.withColumn("kept_text", F.xxhash64(text)).dropDuplicates([key, "kept_text"]).drop("kept_text")

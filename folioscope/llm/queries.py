@@ -12,6 +12,8 @@ from .decontaminate import contaminated
 from .fuzzy import fingerprints
 from .mixing import mix
 from .ngram_join import similar_components
+from .pii import pseudonymised
+from .repeats import without_repeats
 from .tables import table, written
 from .warc import archive, records
 
@@ -137,3 +139,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_language_id"] = op10_language_id
+
+
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), detail=False)
+
+
+QUERIES["op7_repeated_bytes"] = op7_repeated_bytes
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.col("n_found").cast("long").alias("n_found"))
+
+
+QUERIES["op9_pii_pseudonyms"] = op9_pii_pseudonyms

@@ -131,41 +131,45 @@ def lexicon(labelled: DataFrame, text: str = "text", label: str = "label") -> Le
     return Lexicon(hashes[order], np.asarray(scores)[order], _solve(1 - chance.sum(), chance, np.asarray(scores)), 1.0)
 
 
+def _statistics(m: Lexicon, texts: pa.Array, spans: bool) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+    """Of every text: the statistic (NaN without a segment), tokens, significant passages."""
+    sieve = np.zeros(1 << 16, bool)
+    sieve[(m.hashes >> np.uint64(48)).astype(np.int64)] = True
+    n, least = len(texts), math.log(SIGNIFICANCE)
+    stat, length, out = np.full(n, np.nan), np.zeros(n, np.int64), [[] for _ in range(n if spans else 0)]
+    for a, b in W.slices(texts):
+        data, at = W.flat(texts.slice(a, b - a))
+        w = tokens(data, at)
+        length[a:b] = np.diff(w.first)
+        if not len(m.hashes):
+            continue
+        hit = np.flatnonzero(sieve[(w.hash >> np.uint64(48)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(m.hashes, w.hash[hit]), len(m.hashes) - 1)
+        good = m.hashes[k] == w.hash[hit]
+        hit, value = hit[good], m.scores[k[good]]
+        docs = w.doc[hit]
+        cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else []
+        for x, y in zip(cuts, [*cuts[1:], len(docs)], strict=False):
+            d = int(docs[x])
+            place = hit[x:y]
+            gaps = DRIFT * (np.diff(place, prepend=w.first[d] - 1) - 1.0)
+            found = segments(value[x:y].tolist(), gaps.tolist())
+            logs = [math.log(m.scale * length[a + d]) - m.rate * s for _, _, s in found]  # ln E
+            strong = [v for v in logs if v < least]
+            stat[a + d] = -sum(strong) if strong else -min(logs)
+            if spans:
+                out[a + d] = [
+                    {"start": int(w.start[place[p]] - at[d]), "end": int(w.end[place[q]] - at[d]), "score": float(s), "expected": math.exp(v)}
+                    for (p, q, s), v in zip(found, logs, strict=True)
+                    if v < least
+                ]
+    return stat, length, out
+
+
 def _scan(lex, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Lexicon = lex.value
-        sieve = np.zeros(1 << 16, bool)
-        sieve[(m.hashes >> np.uint64(48)).astype(np.int64)] = True
         for batch in batches:
-            n = batch.num_rows
-            texts = W.column(batch, "text")
-            stat, length, out = np.full(n, np.nan), np.zeros(n, np.int64), [[] for _ in range(n)]
-            for a, b in W.slices(texts):
-                data, at = W.flat(texts.slice(a, b - a))
-                w = tokens(data, at)
-                length[a:b] = np.diff(w.first)
-                if not len(m.hashes):
-                    continue
-                hit = np.flatnonzero(sieve[(w.hash >> np.uint64(48)).astype(np.int64)])
-                k = np.minimum(np.searchsorted(m.hashes, w.hash[hit]), len(m.hashes) - 1)
-                good = m.hashes[k] == w.hash[hit]
-                hit, value = hit[good], m.scores[k[good]]
-                docs = w.doc[hit]
-                cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else []
-                for x, y in zip(cuts, [*cuts[1:], len(docs)], strict=True):
-                    d = int(docs[x])
-                    place = hit[x:y]
-                    gaps = DRIFT * np.diff(place, prepend=w.first[d] - 1).astype(float) - DRIFT
-                    found = segments(value[x:y].tolist(), gaps.tolist())
-                    logs = [math.log(m.scale * length[a + d]) - m.rate * s for _, _, s in found]  # ln E
-                    strong = [v for v in logs if v < math.log(SIGNIFICANCE)]
-                    stat[a + d] = -sum(strong) if strong else -min(logs)
-                    if spans:
-                        out[a + d] = [
-                            {"start": int(w.start[place[p]] - at[d]), "end": int(w.end[place[q]] - at[d]), "score": float(s), "expected": math.exp(min(v, 50.0))}
-                            for (p, q, s), v in zip(found, logs, strict=True)
-                            if v < math.log(SIGNIFICANCE)
-                        ]
+            stat, length, out = _statistics(lex.value, W.column(batch, "text"), spans)
             cols = [W.column(batch, "key"), pa.array(stat, from_pandas=True), pa.array(length)]
             names = ["key", "stat", "n_tokens"]
             if spans:
@@ -252,3 +256,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     value = F.when(F.col("stat").isNull(), F.lit(c.none)).otherwise(F.greatest(p, F.lit(c.none)))
     out = out.withColumn("score", value).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("stat")
     return out.withColumnRenamed("key", key)
+
+
+def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    shared, c = docs.sparkSession.sparkContext.broadcast(model.lexicon), model.curve
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stat, _, _ = _statistics(shared.value, W.column(batch, text), False)
+            p = np.where(np.isnan(stat), c.none, np.maximum(1 / (1 + np.exp(-(c.a + c.b * np.nan_to_num(stat)))), c.none))
+            yield batch.filter(pa.array(p < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
