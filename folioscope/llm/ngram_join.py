@@ -9,10 +9,13 @@ An R-tree over the corpus would sit in one place, so points first go to lossless
 two sets of Jaccard similarity t share at least one of their first n - ceil(t n) + 1
 shingles in any common order. The order is by hash, with the shingles of crowded hash
 buckets (counted over all texts) last, so that a passage that many documents share does
-not make a block. A first round links every class to the class it shares most blocks
-with; the second searches the blocks that still hold different components through the
-R-tree. All links are verified on the exact sets. Pairs within one component are not
-listed, which keeps a group of k copies at about k checks.
+not make a large block; any choice of crowded buckets gives the same result.
+
+A first round pairs every class with the class it shares most blocks with. Its links join
+classes to components; then blocks that hold different components are searched, small ones
+pair by pair and larger ones through an R-tree each. In both rounds pairs must pass the
+bound of the count vectors and are then verified on the exact sets of the texts. Pairs
+within one component are not listed, which keeps a group of k copies at about k checks.
 
 Null, empty or white-space texts have an empty set: one row, no link. Repeated rows are
 copies like others. Extra columns are ignored; an empty table gives an empty table.
@@ -31,8 +34,11 @@ from . import words as W
 from .components import components
 from .tables import written
 
-BUCKET_BITS = 16
+BUCKET_BITS = 20
+CROWDED = 64
 LEAF = 32
+TREE_FROM = 8  # smaller blocks are paired directly
+BROADCAST_IDS = 100_000  # ids of at most so many texts are broadcast
 
 
 def _limits(num: int, den: int):
@@ -51,9 +57,14 @@ def set_id(s: np.ndarray) -> int:
 
 
 def group_counts(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group; about one group for four shingles."""
-    g = 1 << max(4, min(14, (max(len(s), 1) // 4).bit_length()))
-    return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16)
+    """Counts of a set's shingles by hash group (their low bits); about two to a group, and
+    never so many that a count needs more than a byte."""
+    g = 1 << max(6, (len(s) // 2).bit_length())
+    while True:
+        counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        g *= 2
 
 
 def _fold(v: np.ndarray, g: int) -> np.ndarray:
@@ -102,20 +113,23 @@ class CountVectorTree:
 
 
 def _profile(key: str, text: str, bits: int):
-    """(sid, n) of every row, and a last batch that counts shingles by hash bucket."""
+    """(sid, n, vector) of every row, and a last batch with the crowded buckets of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
+        names = ["key", "sid", "n", "vector", "bucket", "cnt"]
         for batch in batches:
-            sid, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sid, n, vectors = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for row, s in W.sets(W.column(batch, text)):
                 sid[row], n[row] = set_id(s), len(s)
-                counts += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                vectors.append(group_counts(s).tobytes() if len(s) else None)
+                counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1
             nothing = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([W.column(batch, key).cast(pa.int64()), pa.array(sid), pa.array(n), nothing, nothing], ["key", "sid", "n", "bucket", "cnt"])
-        at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([W.column(batch, key).cast(pa.int64()), pa.array(sid), pa.array(n), pa.array(vectors, pa.binary()), nothing, nothing], names)
+        mean = counts.mean()
+        at = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 3)
         nothing = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(at), pa.array(counts[at])], ["key", "sid", "n", "bucket", "cnt"])
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at].astype(np.int64))], names)
 
     return run
 
@@ -130,7 +144,7 @@ def _postings(text: str, crowded, bits: int, num: int, den: int):
     prefix, _ = _limits(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high, seen = crowded.value, set()
+        high, seen = np.unpackbits(crowded.value).astype(bool), set()
         for batch in batches:
             keys, sids = [], []
             for _, s in W.sets(W.column(batch, text)):
@@ -179,17 +193,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h, last = ends
 
 
+def _bound(num: int, den: int):
+    """Pairs whose sizes and summed minima admit the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.array(W.column(batch, c).to_pylist(), object) for c in ("vector_a", "vector_b"))
+            n, m = (W.column(batch, c).to_numpy() for c in ("n_a", "n_b"))
+            keep = (n * num <= m * den) & (m * num <= n * den)
+            for k in np.flatnonzero(keep):
+                v, w = (np.frombuffer(x, np.uint8).astype(np.int32) for x in (a[k], b[k]))
+                g = min(len(v), len(w))
+                keep[k] = np.minimum(_fold(v, g), _fold(w, g)).sum() * (num + den) >= num * (n[k] + m[k])
+            yield pa.RecordBatch.from_arrays([W.column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def bounded(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    for side in ("a", "b"):
+        v = vectors.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("vector").alias(f"vector_{side}"))
+        pairs = pairs.join(v, side)
+    return pairs.mapInArrow(_bound(num, den), "a long, b long")
+
+
 def _check(num: int, den: int):
     _, enough = _limits(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (W.column(batch, c).to_numpy() for c in ("a", "b"))
-            tb = W.column(batch, "text_b")
-            first = np.ones(len(b), bool)
-            first[1:] = b[1:] != b[:-1]
-            rows = np.flatnonzero(first)
-            right = {int(b[rows[k]]): s for k, s in W.sets(tb.take(pa.array(rows)))}
+            rows = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
+            right = {int(b[rows[k]]): s for k, s in W.sets(W.column(batch, "text_b").take(pa.array(rows, pa.int64())))}
             keep = np.zeros(len(a), bool)
             for k, s in W.sets(W.column(batch, "text_a")):
                 t = right[int(b[k])]
@@ -200,25 +235,27 @@ def _check(num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose exact sets are similar enough."""
-    one = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_check(num, den), "a long, b long")
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text still has the wanted set id (ids may repeat), with their vectors."""
+def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the wanted set (an id may have several texts)."""
     for batch in batches:
         sid = W.column(batch, "sid").to_numpy()
-        keep, n, vectors = np.zeros(len(sid), bool), [], []
+        keep = np.zeros(len(sid), bool)
         for k, s in W.sets(W.column(batch, "text")):
-            if set_id(s) == sid[k]:
-                keep[k] = True
-                n.append(len(s))
-                vectors.append(group_counts(s).tobytes())
-        text = W.column(batch, "text").filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(n, pa.int64()), pa.array(vectors, pa.binary()), text], ["sid", "n", "vector", "text"])
+            keep[k] = set_id(s) == sid[k]
+        yield pa.RecordBatch.from_arrays([W.column(batch, c).filter(pa.array(keep)) for c in ("sid", "text")], ["sid", "text"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes whose exact sets are similar enough. ``pairs`` is a written
+    table; only the texts of its classes are fetched, by the class's smallest id."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = written(ids.join(classes, "sid").select("sid", F.col("low").alias("wanted_key")))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(side, docs.key.eqNullSafe(F.col("wanted_key"))).select("sid", "text").mapInArrow(_same_set, "sid long, text string").dropDuplicates(["sid"])
+    texts = written(texts)
+    one = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_check(num, den), "a long, b long")
 
 
 def _search(num: int, den: int):
@@ -226,7 +263,7 @@ def _search(num: int, den: int):
 
     def of(block: list) -> tuple[list[int], list[int]]:
         sid, label, n = (np.concatenate([x[k] for x in block]) for k in range(3))
-        vectors = [np.frombuffer(v, np.uint16) for x in block for v in x[3]]
+        vectors = [np.frombuffer(v, np.uint8) for x in block for v in x[3]]
         found = list(CountVectorTree(n, vectors, num, den).pairs(label))
         return [int(sid[i]) for i, _ in found], [int(sid[j]) for _, j in found]
 
@@ -259,36 +296,38 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id) for every row; the similarity is num/den or more."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    profile = written(docs.mapInArrow(_profile("key", "text", bits), "key long, sid long, n long, bucket long, cnt long"))
+    schema = "key long, sid long, n long, vector binary, bucket long, cnt long"
+    profile = written(docs.mapInArrow(_profile("key", "text", bits), schema))
     rows = profile.where("bucket IS NULL").select("key", "sid", "n")
-    crowded = np.zeros(1 << bits, bool)
-    loads = np.zeros(1 << bits, np.int64)
-    for r in profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toLocalIterator():
-        loads[r.bucket] = r.cnt  # a fixed number of buckets, whatever the corpus
-    crowded[loads > 2 * loads.mean() + 64] = True
-    high = spark.sparkContext.broadcast(crowded)
+    crowded = np.zeros(1 << bits, bool)  # a fixed number of buckets, whatever the corpus
+    full = profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= CROWDED)
+    crowded[[r.bucket for r in full.select("bucket").toLocalIterator()]] = True
+    high = spark.sparkContext.broadcast(np.packbits(crowded))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     posted = docs.select("text").mapInArrow(_postings("text", high, bits, num, den), "h long, sid long")
     shared = written(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long, hub long"))
 
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("low"))
-    wanted = classes.join(shared.select("sid").distinct(), "sid").select("sid", F.col("low").alias("k"))
-    texts = written(
-        docs.join(wanted, docs.key.eqNullSafe(wanted.k)).select("sid", "text").mapInArrow(_texts, "sid long, n long, vector binary, text string").dropDuplicates(["sid"])
-    )
+    some = shared.select("sid").distinct()
+    vectors = written(profile.where("n > 0").select("sid", "n", "vector").join(some, "sid", "left_semi").dropDuplicates(["sid"]))
 
     votes = shared.where("sid != hub").groupBy("sid", "hub").agg(F.count("*").alias("c"))
-    star = votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-    links = written(verified(star, texts, num, den))
+    star = votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("sid").alias("a"), "b")
+    links = written(verified(written(bounded(star, vectors, num, den)), classes, docs, num, den))
+
     roots = components(links).withColumnRenamed("node", "sid")
     labelled = shared.select("h", "sid").join(roots, "sid", "left").select("h", "sid", F.coalesce("root", "sid").alias("label"))
-    split = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    open_rows = labelled.join(split, "h")
-    blocks = open_rows.join(texts.select("sid", "n", "vector"), "sid").select("h", "sid", "label", "n", "vector")
-    found = blocks.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_search(num, den), "a long, b long")
-    found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = verified(found, texts, num, den)
+    split = labelled.groupBy("h").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h", "c")
+    blocks = written(labelled.join(split, "h").join(vectors.select("sid", "n"), "sid"))
+    small = blocks.where(F.col("c") < TREE_FROM)
+    x, y = (small.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "label", "n")]) for side in ("a", "b"))
+    near = x.join(y, "h").where(f"sid_a < sid_b AND label_a != label_b AND n_a * {num} <= n_b * {den} AND n_b * {num} <= n_a * {den}")
+    near = bounded(near.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), vectors, num, den)
+    large = blocks.where(F.col("c") >= TREE_FROM).join(vectors.select("sid", "vector"), "sid").select("h", "sid", "label", "n", "vector")
+    far = large.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_search(num, den), "a long, b long")
+    found = near.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    more = verified(written(found), classes, docs, num, den)
     roots = components(links.unionByName(more))
 
     sized = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
