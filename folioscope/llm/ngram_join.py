@@ -11,10 +11,10 @@ shingles in any common order. The order is by hash, with the shingles of crowded
 buckets (counted over all texts) last, so that a passage that many documents share does
 not make a large block; any choice of crowded buckets gives the same result.
 
-A first round pairs every class with the class it shares most blocks with. Its links join
-classes to components; then blocks that hold different components are searched, small ones
-pair by pair and larger ones through an R-tree each. In both rounds pairs must pass the
-bound of the count vectors and are then verified on the exact sets of the texts. Pairs
+First rounds pair every class with one other, the most shared of its blocks (in a family of
+near copies, its model). Their links join classes to components; then blocks that hold
+different components are searched, small ones pair by pair and larger ones through an
+R-tree each. In all rounds pairs must pass the bound of the count vectors and are then verified on the exact sets of the texts. Pairs
 within one component are not listed, which keeps a group of k copies at about k checks.
 
 Null, empty or white-space texts have an empty set: one row, no link. Repeated rows are
@@ -36,6 +36,7 @@ from .tables import written
 
 BUCKET_BITS = 20
 CROWDED = 64
+STAR_ROUNDS = 2
 LEAF = 32
 TREE_FROM = 8  # smaller blocks are paired directly
 BROADCAST_IDS = 100_000  # ids of at most so many texts are broadcast
@@ -160,10 +161,9 @@ def _postings(text: str, crowded, bits: int, num: int, den: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, sid) -> those of keys with at least two different sids, each with
-    the key's smallest sid as hub. A key may run on over batches; only its hub and last sid
-    are kept, and its first row waits for a second sid."""
-    last_h = last = hub = None
+    """Rows sorted by (h, sid) -> those of keys with at least two different sids. A key may
+    run on over batches: its first row waits for a second sid."""
+    last_h = last = None
     waiting = False
     for batch in batches:
         h, sid = (W.column(batch, c).to_numpy() for c in ("h", "sid"))
@@ -180,16 +180,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head[1:] = h[1:] != h[:-1]
         carried = last_h is not None and h[0] == last_h
         head[0] = not carried
-        at = np.flatnonzero(head)
-        run = np.cumsum(head) - 1
-        hubs = np.where(run >= 0, sid[at[np.maximum(run, 0)]] if len(at) else 0, hub if hub is not None else 0)
         keep = ~head
         keep[:-1] |= ~head[1:]
-        out_h, out_sid, out_hub = h[keep], sid[keep], hubs[keep]
-        if carried and waiting:
-            out_h, out_sid, out_hub = np.append(last_h, out_h), np.append(hub, out_sid), np.append(hub, out_hub)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (out_h, out_sid, out_hub)], ["h", "sid", "hub"])
-        waiting, hub = bool(head[-1]), int(hubs[-1])
+        out_h, out_sid = h[keep], sid[keep]
+        if carried and waiting and not head[0]:
+            out_h, out_sid = np.append(last_h, out_h), np.append(last, out_sid)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (out_h, out_sid)], ["h", "sid"])
+        waiting = bool(head[-1])
         last_h, last = ends
 
 
@@ -259,7 +256,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, de
 
 
 def _search(num: int, den: int):
-    """Rows sorted by h -> pairs of different components that the R-tree cannot rule out."""
+    """Rows sorted by (lot, h) -> pairs of different components that the R-tree cannot rule
+    out; within a lot (blocks of one model, which repeat their pairs) each pair once."""
 
     def of(block: list) -> tuple[list[int], list[int]]:
         sid, label, n = (np.concatenate([x[k] for x in block]) for k in range(3))
@@ -268,9 +266,17 @@ def _search(num: int, den: int):
         return [int(sid[i]) for i, _ in found], [int(sid[j]) for _, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_h, block = None, []
+        open_h, open_lot, block, seen = None, None, [], set()
+
+        def fresh(pairs: tuple[list[int], list[int]], left: list[int], right: list[int]) -> None:
+            for a, b in zip(*pairs, strict=True):
+                if (a, b) not in seen and (b, a) not in seen:
+                    seen.add((a, b))
+                    left.append(a)
+                    right.append(b)
+
         for batch in batches:
-            h, sid, label, n = (W.column(batch, c).to_numpy() for c in ("h", "sid", "label", "n"))
+            lot, h, sid, label, n = (W.column(batch, c).to_numpy() for c in ("lot", "h", "sid", "label", "n"))
             vectors = W.column(batch, "vector").to_pylist()
             cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
             left, right = [], []
@@ -278,16 +284,17 @@ def _search(num: int, den: int):
                 if x == y:
                     continue
                 if block and h[x] != open_h:
-                    p, q = of(block)
-                    left += p
-                    right += q
+                    fresh(of(block), left, right)
                     block = []
-                open_h = h[x]
+                    if lot[x] != open_lot:
+                        seen.clear()
+                open_h, open_lot = h[x], lot[x]
                 block.append((sid[x:y], label[x:y], n[x:y], vectors[x:y]))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         if block:
-            p, q = of(block)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
+            left, right = [], []
+            fresh(of(block), left, right)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -306,26 +313,41 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     posted = docs.select("text").mapInArrow(_postings("text", high, bits, num, den), "h long, sid long")
-    shared = written(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long, hub long"))
+    shared = written(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long"))
 
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("low"))
     some = shared.select("sid").distinct()
     vectors = written(profile.where("n > 0").select("sid", "n", "vector").join(some, "sid", "left_semi").dropDuplicates(["sid"]))
 
-    votes = shared.where("sid != hub").groupBy("sid", "hub").agg(F.count("*").alias("c"))
-    star = votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("sid").alias("a"), "b")
-    links = written(verified(written(bounded(star, vectors, num, den)), classes, docs, num, den))
-
-    roots = components(links).withColumnRenamed("node", "sid")
-    labelled = shared.select("h", "sid").join(roots, "sid", "left").select("h", "sid", F.coalesce("root", "sid").alias("label"))
-    split = labelled.groupBy("h").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h", "c")
+    size = shared.groupBy("h").agg(F.count("*").alias("c"))
+    fame = shared.join(size, "h").groupBy("sid").agg(F.sum("c").alias("fame"))  # a family's model shares the most
+    ranked = written(shared.select("h", "sid").join(fame, "sid").withColumn("rank", F.struct("fame", "sid")).select("h", "sid", "rank"))
+    links, tried = None, None
+    labelled = ranked.withColumn("label", F.col("sid"))
+    for _ in range(STAR_ROUNDS):
+        # of each block that still holds several components, the most shared class that a row isn't joined to
+        hubs = labelled.groupBy("h").agg(F.max("rank").alias("hub"), F.max_by("label", "rank").alias("hub_label"))
+        votes = labelled.join(hubs, "h").where("label != hub_label").groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count("*").alias("c"))
+        if tried is not None:
+            votes = votes.join(tried, ["sid", "hub"], "left_anti")
+        star = written(votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")))
+        near = written(bounded(star.select(F.col("sid").alias("a"), F.col("hub").alias("b")), vectors, num, den))
+        new = written(verified(near, classes, docs, num, den))
+        links = new if links is None else links.unionByName(new)
+        tried = star if tried is None else tried.unionByName(star)
+        roots = components(links).withColumnRenamed("node", "sid")
+        labelled = ranked.join(roots, "sid", "left").select("h", "sid", "rank", F.coalesce("root", "sid").alias("label"))
+    split = labelled.groupBy("h").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("top"))
+    split = split.where("lo != hi").select("h", "c", F.col("top.sid").alias("hub"))
+    labelled = labelled.select("h", "sid", "label")
     blocks = written(labelled.join(split, "h").join(vectors.select("sid", "n"), "sid"))
     small = blocks.where(F.col("c") < TREE_FROM)
     x, y = (small.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "label", "n")]) for side in ("a", "b"))
     near = x.join(y, "h").where(f"sid_a < sid_b AND label_a != label_b AND n_a * {num} <= n_b * {den} AND n_b * {num} <= n_a * {den}")
     near = bounded(near.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), vectors, num, den)
-    large = blocks.where(F.col("c") >= TREE_FROM).join(vectors.select("sid", "vector"), "sid").select("h", "sid", "label", "n", "vector")
-    far = large.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_search(num, den), "a long, b long")
+    large = blocks.where(F.col("c") >= TREE_FROM).withColumn("lot", F.xxhash64("hub", F.pmod("h", F.lit(16))))
+    large = large.join(vectors.select("sid", "vector"), "sid").select("lot", "h", "sid", "label", "n", "vector")
+    far = large.repartition(parts, "lot").sortWithinPartitions("lot", "h").mapInArrow(_search(num, den), "a long, b long")
     found = near.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     more = verified(written(found), classes, docs, num, den)
     roots = components(links.unionByName(more))
