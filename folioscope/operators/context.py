@@ -84,7 +84,7 @@ def reply_context(reply: Column, source: str = "llm", confidence: float = 0.78)
     def mapped(k: str) -> Column:
         raw = text(k)
         ok = F.coalesce(raw.startswith("{"), F.lit(False))
-        pairs = F.transform(F.json_object_keys(F.when(ok, raw).otherwise(F.lit("{}"))), lambda n: F.struct(n.alias("k"), F.get_json_object(raw, F.concat(F.lit("$['"), n, F.lit("']"))).alias("v")))
+        pairs = F.transform(F.json_object_keys(F.when(ok, raw).otherwise(F.lit("{}"))), lambda n: F.struct(n.alias("k"), F.call_function("get_json_object", raw, F.concat(F.lit("$['"), n, F.lit("']"))).alias("v")))
         value = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
         return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), value(p["v"]).alias("v"))))
 

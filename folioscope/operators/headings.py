@@ -16,20 +16,29 @@ from .layout import page_medians, paragraphs, with_gaps, with_index
 CANDIDATE = "start_global long, end_global long, page_num int, kind string, score double, title string"
 
 
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns behind a generator, so that long expressions are computed once and not
+    copied into every expression that uses them."""
+    names = [c for c in df.columns if c not in columns]
+    one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return df.select(*names, one.alias("settled")).select(*names, *[F.col(f"settled.{k}").alias(k) for k in columns])
+
+
 def marked_lines(lines: DataFrame) -> DataFrame:
     """Lines with the flags that candidates need, computed once."""
     m = with_gaps(with_index(lines)).join(page_medians(lines), ["book_id", "page_num"])
     t = F.col("text")
-    m = m.withColumns({
+    m = m.withColumn("place", F.row_number().over(Window.partitionBy("book_id", "page_num").orderBy("line_no")) - 1)
+    m = _settled(m, {
         "structured": T.is_structured_heading(t), "front": T.is_front_heading(t), "back": T.is_back_heading(t), "numeric": T.is_numeric_only(t),
-        "heading": T.is_heading_line(t), "body": T.is_body_like(t), "place": F.row_number().over(Window.partitionBy("book_id", "page_num").orderBy("line_no")) - 1,
+        "heading": T.is_heading_line(t), "body": T.is_body_like(t), "titled": T.is_title_case(t),
         "centered": F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2) <= 0.14 * F.col("page_width"),
     })
     m = m.withColumn("explicit", F.col("structured") | F.col("front") | F.col("back"))
     words = F.size(F.split(t, " "))
     plain = ~F.col("body") & ~F.col("explicit") & (words <= 12) & (F.length(t) <= 90)
     large = F.col("font_size") >= 1.15 * F.col("median_font")
-    narrow = F.col("centered") & (F.col("x1") - F.col("x0") <= 0.78 * F.col("page_width")) & T.is_title_case(t)
+    narrow = F.col("centered") & (F.col("x1") - F.col("x0") <= 0.78 * F.col("page_width")) & F.col("titled")
     return m.withColumn("subtitle", plain & (large | narrow))
 
 
@@ -60,15 +69,15 @@ def candidates(lines: DataFrame) -> DataFrame:
     title = F.when(~F.col("explicit") & ~F.col("numeric") & near & (F.col("place") < top), grown(3, lambda x: x["heading"], 2.2)).otherwise(none)
     sized = starts.withColumn("k", F.explode(F.array_distinct(F.concat(single, numeric, explicit, title))))
     taken = F.slice("group", 1, F.col("k"))
-    sized = sized.withColumns({"title": F.array_join(F.transform(taken, lambda x: x["text"]), " "), "last": F.element_at(taken, -1), "next": F.try_element_at("group", F.col("k") + 1)})
+    sized = _settled(sized, {"title": F.array_join(F.transform(taken, lambda x: x["text"]), " "), "last": F.element_at(taken, -1), "next": F.try_element_at("group", F.col("k") + 1)})
     return scored(sized, taken)
 
 
 def scored(c: DataFrame, taken: Column) -> DataFrame:
     """The additive score; 5.0 and more for chapters, 4.5 for front and back matter."""
     t, k = F.col("title"), F.col("k")
-    kind = T.candidate_kind(t)
-    structured = F.col("structured") | T.is_structured_heading(t)
+    c = _settled(c, {"kind": T.candidate_kind(t), "known": F.col("structured") | T.is_structured_heading(t), "display": T.is_all_caps(t) | T.is_title_case(t)})
+    kind, structured = F.col("kind"), F.col("known")
     h, y = F.col("page_height"), F.col("y0")
     words = F.size(F.split(t, " "))
     first_numeric = F.col("numeric")
@@ -82,7 +91,7 @@ def scored(c: DataFrame, taken: Column) -> DataFrame:
         + F.when(y <= 0.12 * h, 2.0).when(y <= 0.25 * h, 1.3).when((kind == "chapter") & (y <= 0.45 * h) & F.col("structured"), 0.7).otherwise(0.0)
         + plus(centered, 1.3) + plus(large, 1.2)
         + F.when(words <= 14, 1.0).when(words <= 24, 0.4).otherwise(0.0)
-        + plus(T.is_all_caps(t) | T.is_title_case(t), 0.8)
+        + plus(F.col("display"), 0.8)
         + plus((F.col("gap_before") >= wide) | (F.col("place") == 0), 1.0) + plus(F.coalesce(ahead, F.col("gap_after")) >= wide, 1.0)
         + plus(F.col("next")["body"], 1.3)
         + plus((k > 4) & ~first_numeric, -1.5) + plus((F.length(t) > 140) & ~first_numeric, -2.0) + plus(T.has_bad_prefix(t), -4.0)
@@ -91,7 +100,7 @@ def scored(c: DataFrame, taken: Column) -> DataFrame:
     loose = (kind == "chapter") & ~F.col("structured") & ~first_numeric
     score = score + F.when(loose, plus(~centered & ~large, -1.2) + plus(y > 0.38 * h, -1.5) + plus(k == 1, -2.5) + plus(words > 18, -2.0)).otherwise(0.0)
     out = c.select(
-        "book_id", "page_num", F.col("global_index").alias("start_global"), F.col("last")["global_index"].alias("end_global"), t.alias("title"), kind.alias("kind"), F.round(score, 3).alias("score"),
+        "book_id", "page_num", F.col("global_index").alias("start_global"), F.col("last")["global_index"].alias("end_global"), "title", "kind", F.round(score, 3).alias("score"),
         structured.alias("structured"), first_numeric.alias("numeric"), F.coalesce(F.col("next")["body"], F.lit(False)).alias("followed"),
     )
     return out.where(F.col("score") >= F.when(F.col("kind") == "chapter", 5.0).otherwise(4.5))
@@ -104,8 +113,8 @@ def _folded(c: DataFrame, keys: list[str], clash) -> DataFrame:
     items = F.array_sort(F.collect_list(item))
 
     def step(kept, x):
-        last = F.element_at(kept, -1)
-        hit = (F.size(kept) > 0) & clash(F.try_element_at(kept, F.lit(-1)), x)
+        last = F.try_element_at(kept, F.lit(-1))
+        hit = (F.size(kept) > 0) & clash(last, x)
         return F.when(~hit, F.concat(kept, F.array(x))).when(x["score"] > last["score"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
 
     folded = c.groupBy(*keys).agg(items.alias("items"))

@@ -121,7 +121,7 @@ def sentence_chunks(text: Column | str, most: int = 1500) -> Column:
     """Sentences packed, in order, to chunks of at most ``most`` characters."""
     c = F.col(text) if isinstance(text, str) else text
     parts = F.filter(F.split(c, r"(?<=[.!?…])\s+"), lambda x: x != "")
-    last = lambda a: F.element_at(a, -1)
+    last = lambda a: F.try_element_at(a, F.lit(-1))
     fits = lambda a, x: (F.size(a) > 0) & (F.length(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))) + 1 + F.length(x) <= most)
     step = lambda a, x: F.when(fits(a, x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last(a), F.lit(" "), x)))).otherwise(F.concat(a, F.array(x)))
     return F.aggregate(parts, F.array().cast("array<string>"), step)
@@ -136,7 +136,7 @@ def translated(books: DataFrame, translate: Callable[[list[str]], list[str]], mo
 
     parts = books.select("book_id", F.posexplode(F.split("text", "\n\n")).alias("p", "part"))
     pieces = parts.select("book_id", "p", F.posexplode_outer(sentence_chunks("part", most)).alias("c", "piece"))
-    done = pieces.withColumn("piece", F.when(F.col("piece").isNotNull(), run("piece")).otherwise(""))
+    done = pieces.withColumn("piece", F.when(F.col("piece").isNotNull(), run(F.coalesce("piece", F.lit("")))).otherwise(""))
     join = lambda key, value, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), sep)
     whole = done.groupBy("book_id", "p").agg(join("c", "piece", " ").alias("part")).groupBy("book_id").agg(join("p", "part", "\n\n").alias("text"))
     return whole.withColumn("text", T.normalize_headings("text"))
