@@ -170,6 +170,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     copies = rows.where(F.col("n_bytes") >= length).groupBy("t1", "t2").agg(F.count("*").alias("c"), F.min("key").alias("key"))
     found = written(d.where(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(_runs(length, gram), "t1 long, t2 long, lo long, n long, key long, whole long"))
 
+    # anchors at one place only are most of all, and need no further look
+    spot = F.xxhash64("t1", "t2", "lo")
+    several = found.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a != z").select("key")
+    found = written(found.join(several, "key", "left_semi"))
     place = F.struct("t1", "t2", "lo", "n")
     kinds = found.groupBy("key", "whole").agg(F.min(place).alias("a"), F.max(place).alias("z")).select("key", "whole", "a", (F.col("a") != F.col("z")).alias("full"))
     kinds = written(kinds)
