@@ -36,6 +36,7 @@ from . import words as W
 from .tables import written
 
 LEXICON = 50_000
+BROADCAST_LABELS = 250_000  # labels of at most so many rows are broadcast; more are joined by shuffle
 PRIOR, FLOOR = 500.0, 0.5
 MIN_Z, MIN_ODDS = 3.0, 1.5
 DRIFT = -0.7
@@ -226,7 +227,9 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Lexicon and calibration from the labelled texts given."""
     named = labels.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label")).where("label IN (0, 1) AND key IS NOT NULL")
-    joined = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(named, "key")
+    named = written(named)
+    side = F.broadcast(named) if named.count() <= BROADCAST_LABELS else named
+    joined = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(side, "key")
     first = lexicon(joined)
     raw = written(scan(docs, first, key, text, spans=False))
     by = raw.join(named, "key").groupBy(F.round(F.least(F.greatest(F.col("stat"), F.lit(-50.0)), F.lit(200.0)), 1).alias("bin"), "label").agg(F.count("*").alias("c"), F.avg(F.log("n_tokens")).alias("ln"))
