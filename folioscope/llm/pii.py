@@ -17,6 +17,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ ANY = "|".join([EMAIL, KEY_ID, SECRET, DATE, DATE_EU, IPV4, PHONE, SSN, CARD])
 QUICK = r"[0-9@]|(?i:password|passwd|secret|token|api_key)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
@@ -62,40 +69,47 @@ def permuted_digits(digits: Column, kind: str, key: str) -> Column:
     u = F.floor(n / 2).cast("int")
     ten = lambda k: F.element_at(F.array(*[F.lit(10**j).cast("long") for j in range(19)]), k + 1)
     form = F.concat(F.lit(kind), n.cast("string"))
-    s = _rounds(digits.substr(F.lit(1), u), digits.substr(u + 1, n), ten(u), ten(n - u), form, key)
-    return F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), n - u, "0"))
+    halves = _rounds(digits.substr(F.lit(1), u), digits.substr(u + 1, n), ten(u), ten(n - u), form, key)
+    return _let(halves, lambda s: F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), n - u, "0")))
 
 
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum; the last digit counts once."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = digits.substr(n - i, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 0, d).otherwise(F.floor(d * 2 / 10).cast("int") + d * 2 % 10)
+    def total(x: Column) -> Column:
+        n = F.length(x)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+        def add(so_far: Column, i: Column) -> Column:
+            d = x.substr(n - i, F.lit(1)).cast("int")
+            return so_far + F.when(i % 2 == 0, d).otherwise(F.floor(d * 2 / 10).cast("int") + d * 2 % 10)
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+
+    return _let(digits, total)
 
 
 def refilled(found: Column, digits: Column) -> Column:
     """``found`` with its digits, in order, replaced by ``digits``."""
 
-    def put(s: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
-        return F.struct(
-            F.concat(s["out"], F.when(is_digit, digits.substr(s["k"], F.lit(1))).otherwise(c)).alias("out"),
-            (s["k"] + is_digit.cast("int")).alias("k"),
-        )
+    def fill(new: Column) -> Column:
+        def put(s: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct(
+                F.concat(s["out"], F.when(is_digit, new.substr(s["k"], F.lit(1))).otherwise(c)).alias("out"),
+                (s["k"] + is_digit.cast("int")).alias("k"),
+            )
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+        return F.aggregate(F.split(found, ""), start, put)["out"]
 
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
-    return F.aggregate(F.split(found, ""), start, put)["out"]
+    return _let(digits, fill)
 
 
 def _date(found: Column, form: str, key: str) -> Column:
     day = F.try_to_timestamp(found, F.lit(form)).cast("date")
     n = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    s = _rounds(F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A).cast("long"), F.lit(DAYS_B).cast("long"), F.lit("date"), key)
-    moved = F.date_add(F.lit("1800-01-01").cast("date"), (s["a"] * DAYS_B + s["b"]).cast("int"))
+    halves = _rounds(F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A).cast("long"), F.lit(DAYS_B).cast("long"), F.lit("date"), key)
+    moved = F.date_add(F.lit("1800-01-01").cast("date"), _let(halves, lambda s: (s["a"] * DAYS_B + s["b"]).cast("int")))
     return F.when(day.isNotNull() & n.between(0, DAYS_A * DAYS_B - 1), F.date_format(moved, form)).otherwise(found)
 
 
@@ -104,19 +118,17 @@ def pseudonym(found: Column, key: str) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     n = F.length(digits)
     body = permuted_digits(digits.substr(F.lit(1), n - 1), "card", key)
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    card = F.when(luhn_sum(digits) % 10 == 0, refilled(found, F.concat(body, check.cast("string")))).otherwise(found)
+    checked = _let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+    card = F.when(luhn_sum(digits) % 10 == 0, refilled(found, checked)).otherwise(found)
     phone = refilled(found, F.concat(digits.substr(F.lit(1), n - 10), permuted_digits(digits.substr(n - 9, F.lit(10)), "phone", key)))
     area = digits.substr(1, 3)
     valid_ssn = ~area.isin("000", "666") & (area < "900") & (digits.substr(4, 2) != "00") & (digits.substr(6, 4) != "0000")
     ssn = F.when(valid_ssn, refilled(found, permuted_digits(digits, "ssn", key))).otherwise(found)
     octet = [F.split(found, r"\.")[k].cast("int") for k in range(4)]
     two16 = F.lit(65536).cast("long")
-    s = _rounds(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], two16, two16, F.lit("ipv4"), key)
-    ip = F.when(
-        F.greatest(*octet) <= 255,
-        F.concat_ws(".", *[x.cast("string") for h in ("a", "b") for x in (F.floor(s[h] / 256), s[h] % 256)]),
-    ).otherwise(found)
+    halves = _rounds(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], two16, two16, F.lit("ipv4"), key)
+    dotted = _let(halves, lambda s: F.concat_ws(".", *[x.cast("string") for h in ("a", "b") for x in (F.floor(s[h] / 256), s[h] % 256)]))
+    ip = F.when(F.greatest(*octet) <= 255, dotted).otherwise(found)
     hexed = F.md5(F.concat(F.lit(f"{key}|mail|"), F.lower(found)).cast("binary"))
     mail = F.concat(F.lit("u"), F.substring(hexed, 1, 12), F.lit("@example.invalid"))
     key_id = F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(F.concat(F.lit(f"{key}|key|"), found).cast("binary")), 1, 16)))
@@ -143,10 +155,9 @@ def pseudonym(found: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str = "folioscope", text: str = "text") -> DataFrame:
     """``docs`` with PII in ``text`` replaced, and ``n_found`` values replaced or kept."""
     t = F.col(text)
-    found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    parts = F.split(t, ANY, -1)
+    none = F.array().cast("array<string>")
+    out = docs.withColumn("n_found", F.when(t.rlike(QUICK), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))
+    found = F.col("n_found")
     put = F.transform(found, lambda m: pseudonym(m, key))
-    merged = F.array_join(F.flatten(F.zip_with(parts, F.concat(put, F.array(F.lit(""))), lambda p, v: F.array(p, v))), "")
-    some = t.rlike(QUICK)
-    out = docs.withColumn("n_found", F.when(some, F.size(found)).otherwise(F.lit(0)))
-    return out.withColumn(text, F.when(some & (F.col("n_found") > 0), merged).otherwise(t))
+    merged = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), F.concat(put, F.array(F.lit(""))), lambda p, v: F.array(p, v))), "")
+    return out.withColumns({"n_found": F.size(found), text: F.when(F.size(found) > 0, merged).otherwise(t)})
