@@ -14,8 +14,14 @@ not make a large block; any choice of crowded buckets gives the same result.
 First rounds pair every class with one other, the most shared of its blocks (in a family of
 near copies, its model). Their links join classes to components; then blocks that hold
 different components are searched, small ones pair by pair and larger ones through an
-R-tree each. In all rounds pairs must pass the bound of the count vectors and are then verified on the exact sets of the texts. Pairs
-within one component are not listed, which keeps a group of k copies at about k checks.
+R-tree each. In all rounds pairs must pass the bound of the count vectors and are then
+verified on the exact sets of the texts. Pairs within one component are not listed, which
+keeps a group of k copies at about k checks.
+
+A vector has 8 to 16 groups per shingle and is kept as the packed steps between its occupied
+groups, less than a byte per shingle: with so many groups the bound is close to the overlap, so
+few texts are fetched for pairs that then fail. Groups are ranges of the hash, so a coarser
+vector, as the tree's boxes use it, is a fold of the same points.
 
 Null, empty or white-space texts have an empty set: one row, no link. Repeated rows are
 copies like others. Extra columns are ignored; an empty table gives an empty table.
@@ -23,11 +29,12 @@ copies like others. Extra columns are ignored; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -39,6 +46,9 @@ CROWDED = 64
 STAR_ROUNDS = 2
 LEAF = 32
 TREE_FROM = 8  # smaller blocks are paired directly
+STAR_YIELD = 0.1  # another round of pairs with hubs if the last linked at least this share of the classes
+SPREAD = 512  # blocks of a model are dealt over one more lot for every so many rows in them
+HELD = 1 << 16  # rows of a block that are held to count it; a larger one is counted in parts
 BROADCAST_IDS = 100_000  # ids of at most so many texts are broadcast
 
 
@@ -57,22 +67,45 @@ def set_id(s: np.ndarray) -> int:
         return int(W.mix64(np.array([h], np.uint64)).view(np.int64)[0])
 
 
-def group_counts(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group (their low bits); about two to a group, and
-    never so many that a count needs more than a byte."""
-    g = 1 << max(6, (len(s) // 2).bit_length())
-    while True:
-        counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
-        if counts.max(initial=0) < 256:
-            return counts.astype(np.uint8)
-        g *= 2
+def count_vector(s: np.ndarray) -> bytes:
+    """The set's counts by hash group: the number of bits that name a group, then, packed, the
+    steps between the groups of the (sorted) shingles, 255 for each 255 and then the rest."""
+    bits = max(10, (8 * len(s)).bit_length())
+    times, rest = np.divmod(np.diff((s >> np.uint64(64 - bits)).astype(np.int64), prepend=0), 255)
+    out = np.full(len(s) + int(times.sum()), 255, np.uint8)
+    out[np.cumsum(times + 1) - 1] = rest
+    return bytes([bits]) + zlib.compress(out.tobytes(), 1)
+
+
+def groups(v: bytes) -> tuple[int, np.ndarray]:
+    """Bits and the sorted groups of a count vector; a group is listed once per count."""
+    x = np.frombuffer(zlib.decompress(v[1:]), np.uint8)
+    return v[0], np.cumsum(x, dtype=np.int64)[x != 255]
+
+
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Sorted groups -> distinct numbers, of the group and of its occurrence."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return (x << 20) + np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
+
+
+def minima(v: tuple[int, np.ndarray], w: tuple[int, np.ndarray]) -> int:
+    """Sum of the coordinates' minima of two count vectors, over the coarser one's groups."""
+    bits = min(v[0], w[0])
+    a, b = _numbered(v[1] >> (v[0] - bits)), _numbered(w[1] >> (w[0] - bits))
+    return len(a) + len(b) - len(np.union1d(a, b))
+
+
+def _dense(v: tuple[int, np.ndarray], g: int) -> np.ndarray:
+    return np.bincount(v[1] >> (v[0] - g.bit_length() + 1), minlength=g).astype(np.int32)
 
 
 def _fold(v: np.ndarray, g: int) -> np.ndarray:
-    """The same counts over g groups (groups are the hash's low bits)."""
+    """The same counts over g groups, which are ranges of finer ones."""
     while v.shape[-1] > g:
-        half = v.shape[-1] // 2
-        v = v[..., :half] + v[..., half:]
+        v = v[..., ::2] + v[..., 1::2]
     return v
 
 
@@ -84,14 +117,14 @@ class CountVectorTree:
     the similarity and whose labels differ.
     """
 
-    def __init__(self, sizes: np.ndarray, vectors: list[np.ndarray], num: int = 3, den: int = 4) -> None:
+    def __init__(self, sizes: np.ndarray, vectors: list[tuple[int, np.ndarray]], num: int = 3, den: int = 4) -> None:
         self.num, self.den = num, den
         self.order = np.argsort(sizes, kind="stable")
         self.leaves = []
         for k in range(0, len(sizes), LEAF):
             rows = self.order[k : k + LEAF]
-            g = min(len(vectors[r]) for r in rows)
-            points = np.stack([_fold(vectors[r].astype(np.int32), g) for r in rows])
+            g = 1 << max(6, (int(sizes[rows[0]]) // 2).bit_length())  # about two shingles to a group
+            points = np.stack([_dense(vectors[r], g) for r in rows])
             self.leaves.append((rows, sizes[rows], points, points.max(0)))
 
     def pairs(self, labels: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -123,7 +156,7 @@ def _profile(key: str, text: str, bits: int):
             sid, n, vectors = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for row, s in W.sets(W.column(batch, text)):
                 sid[row], n[row] = set_id(s), len(s)
-                vectors.append(group_counts(s).tobytes() if len(s) else None)
+                vectors.append(count_vector(s) if len(s) else None)
                 counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1
             nothing = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([W.column(batch, key).cast(pa.int64()), pa.array(sid), pa.array(n), pa.array(vectors, pa.binary()), nothing, nothing], names)
@@ -161,33 +194,35 @@ def _postings(text: str, crowded, bits: int, num: int, den: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, sid) -> those of keys with at least two different sids. A key may
-    run on over batches: its first row waits for a second sid."""
-    last_h = last = None
-    waiting = False
+    """Rows sorted by (h, sid) -> those of keys with at least two different sids, each once,
+    and the number of the key's sids. A key may run on over batches: its rows are held until
+    it ends or they are ``HELD``."""
+    held = [np.zeros(0, np.int64)] * 2
+    before = None  # last (h, sid) that was counted in part
+
+    def rows(h: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        c = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
+        keep = c > 1
+        if before is not None and len(h):
+            keep |= h == before[0]
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, sid, c)], ["h", "sid", "c"])
+
     for batch in batches:
-        h, sid = (W.column(batch, c).to_numpy() for c in ("h", "sid"))
-        if not len(h):
-            continue
+        h, sid = (np.concatenate([old, W.column(batch, c).to_numpy()]) for old, c in zip(held, ("h", "sid"), strict=True))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-        new[0] = last_h is None or h[0] != last_h or sid[0] != last
-        ends = (int(h[-1]), int(sid[-1]))
+        if before is not None and len(h):
+            new[0] = (h[0], sid[0]) != before
         h, sid = h[new], sid[new]
-        if not len(h):
-            continue
-        head = np.ones(len(h), bool)
-        head[1:] = h[1:] != h[:-1]
-        carried = last_h is not None and h[0] == last_h
-        head[0] = not carried
-        keep = ~head
-        keep[:-1] |= ~head[1:]
-        out_h, out_sid = h[keep], sid[keep]
-        if carried and waiting and not head[0]:
-            out_h, out_sid = np.append(last_h, out_h), np.append(last, out_sid)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (out_h, out_sid)], ["h", "sid"])
-        waiting = bool(head[-1])
-        last_h, last = ends
+        end = int(np.searchsorted(h, h[-1])) if len(h) else 0
+        if len(h) - end >= HELD:
+            end = len(h)
+        yield rows(h[:end], sid[:end])
+        if end and end == len(h):
+            before = (h[-1], sid[-1])
+        held = [h[end:], sid[end:]]
+    yield rows(*held)
 
 
 def _bound(num: int, den: int):
@@ -199,9 +234,7 @@ def _bound(num: int, den: int):
             n, m = (W.column(batch, c).to_numpy() for c in ("n_a", "n_b"))
             keep = (n * num <= m * den) & (m * num <= n * den)
             for k in np.flatnonzero(keep):
-                v, w = (np.frombuffer(x, np.uint8).astype(np.int32) for x in (a[k], b[k]))
-                g = min(len(v), len(w))
-                keep[k] = np.minimum(_fold(v, g), _fold(w, g)).sum() * (num + den) >= num * (n[k] + m[k])
+                keep[k] = minima(groups(a[k]), groups(b[k])) * (num + den) >= num * (n[k] + m[k])
             yield pa.RecordBatch.from_arrays([W.column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -233,12 +266,15 @@ def _check(num: int, den: int):
 
 
 def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the wanted set (an id may have several texts)."""
+    """Rows whose text has the wanted set (an id may have several texts), each set once in a task."""
+    seen = set()
     for batch in batches:
         sid = W.column(batch, "sid").to_numpy()
         keep = np.zeros(len(sid), bool)
         for k, s in W.sets(W.column(batch, "text")):
-            keep[k] = set_id(s) == sid[k]
+            keep[k] = set_id(s) == sid[k] and int(sid[k]) not in seen
+            if keep[k]:
+                seen.add(int(sid[k]))
         yield pa.RecordBatch.from_arrays([W.column(batch, c).filter(pa.array(keep)) for c in ("sid", "text")], ["sid", "text"])
 
 
@@ -248,52 +284,59 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, de
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = written(ids.join(classes, "sid").select("sid", F.col("low").alias("wanted_key")))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(side, docs.key.eqNullSafe(F.col("wanted_key"))).select("sid", "text").mapInArrow(_same_set, "sid long, text string").dropDuplicates(["sid"])
+    texts = docs.join(side, docs.key.eqNullSafe(F.col("wanted_key"))).select("sid", "text").mapInArrow(_same_set, "sid long, text string")
     texts = written(texts)
+    if texts.count() > wanted.count():  # rows that repeat, in several tasks
+        texts = texts.dropDuplicates(["sid"])
     one = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_check(num, den), "a long, b long")
 
 
 def _search(num: int, den: int):
-    """Rows sorted by (lot, h) -> pairs of different components that the R-tree cannot rule
-    out; within a lot (blocks of one model, which repeat their pairs) each pair once."""
-
-    def of(block: list) -> tuple[list[int], list[int]]:
-        sid, label, n = (np.concatenate([x[k] for x in block]) for k in range(3))
-        vectors = [np.frombuffer(v, np.uint8) for x in block for v in x[3]]
-        found = list(CountVectorTree(n, vectors, num, den).pairs(label))
-        return [int(sid[i]) for i, _ in found], [int(sid[j]) for _, j in found]
+    """Rows sorted by (lot, kind, h) -> pairs of different components that neither the R-tree
+    nor the finer vectors rule out. A lot holds blocks of one model, which repeat their pairs;
+    each is looked at once. Rows of kind 0 are the lot's vectors, those of kind 1 its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_h, open_lot, block, seen = None, None, [], set()
-
-        def fresh(pairs: tuple[list[int], list[int]], left: list[int], right: list[int]) -> None:
-            for a, b in zip(*pairs, strict=True):
-                if (a, b) not in seen and (b, a) not in seen:
+        packed, vectors, seen = {}, {}, set()
+        at, block = None, []
+
+        def pairs(left: list[int], right: list[int]) -> None:
+            sid, label, n = (np.concatenate([x[k] for x in block]) for k in range(3))
+            size = dict(zip(sid.tolist(), n.tolist(), strict=True))
+            for x in size:
+                if x not in vectors:
+                    vectors[x] = groups(packed[x])
+            for i, j in CountVectorTree(n, [vectors[x] for x in sid.tolist()], num, den).pairs(label):
+                a, b = sorted((int(sid[i]), int(sid[j])))
+                if (a, b) not in seen:
                     seen.add((a, b))
-                    left.append(a)
-                    right.append(b)
+                    if minima(vectors[a], vectors[b]) * (num + den) >= num * (size[a] + size[b]):
+                        left.append(a)
+                        right.append(b)
 
         for batch in batches:
-            lot, h, sid, label, n = (W.column(batch, c).to_numpy() for c in ("lot", "h", "sid", "label", "n"))
-            vectors = W.column(batch, "vector").to_pylist()
-            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            lot, kind, h, sid, label, n = (W.column(batch, c).to_numpy() for c in ("lot", "kind", "h", "sid", "label", "n"))
+            cuts = np.flatnonzero((lot[1:] != lot[:-1]) | (kind[1:] != kind[:-1]) | (h[1:] != h[:-1])) + 1
             left, right = [], []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
                 if x == y:
                     continue
-                if block and h[x] != open_h:
-                    fresh(of(block), left, right)
+                if block and at != (lot[x], kind[x], h[x]):
+                    pairs(left, right)
                     block = []
-                    if lot[x] != open_lot:
-                        seen.clear()
-                open_h, open_lot = h[x], lot[x]
-                block.append((sid[x:y], label[x:y], n[x:y], vectors[x:y]))
+                if at is None or at[0] != lot[x]:
+                    packed, vectors, seen = {}, {}, set()
+                at = (lot[x], kind[x], h[x])
+                if kind[x]:
+                    block.append((sid[x:y], label[x:y], n[x:y]))
+                else:
+                    packed.update(zip(sid[x:y].tolist(), W.column(batch, "vector").slice(x, y - x).to_pylist(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         if block:
             left, right = [], []
-            fresh(of(block), left, right)
+            pairs(left, right)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
@@ -313,21 +356,21 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     posted = docs.select("text").mapInArrow(_postings("text", high, bits, num, den), "h long, sid long")
-    shared = written(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long"))
+    shared = written(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long, c long"))
 
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("low"))
     some = shared.select("sid").distinct()
     vectors = written(profile.where("n > 0").select("sid", "n", "vector").join(some, "sid", "left_semi").dropDuplicates(["sid"]))
 
-    size = shared.groupBy("h").agg(F.count("*").alias("c"))
-    fame = shared.join(size, "h").groupBy("sid").agg(F.sum("c").alias("fame"))  # a family's model shares the most
-    ranked = written(shared.select("h", "sid").join(fame, "sid").withColumn("rank", F.struct("fame", "sid")).select("h", "sid", "rank"))
+    fame = shared.groupBy("sid").agg(F.sum("c").alias("fame")).join(vectors.select("sid", "n"), "sid")  # a family's model shares the most
+    ranked = written(shared.select("h", "sid").join(fame, "sid"))
+    famous = Window.partitionBy("h").orderBy(F.desc("fame"), F.desc("sid")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hub, hub_label = F.first("sid").over(famous).alias("hub"), F.first("label").over(famous).alias("hub_label")
     links, tried = None, None
     labelled = ranked.withColumn("label", F.col("sid"))
     for _ in range(STAR_ROUNDS):
         # of each block that still holds several components, the most shared class that a row isn't joined to
-        hubs = labelled.groupBy("h").agg(F.max("rank").alias("hub"), F.max_by("label", "rank").alias("hub_label"))
-        votes = labelled.join(hubs, "h").where("label != hub_label").groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count("*").alias("c"))
+        votes = labelled.select("sid", "label", hub, hub_label).where("label != hub_label").groupBy("sid", "hub").agg(F.count("*").alias("c"))
         if tried is not None:
             votes = votes.join(tried, ["sid", "hub"], "left_anti")
         star = written(votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")))
@@ -336,19 +379,23 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         links = new if links is None else links.unionByName(new)
         tried = star if tried is None else tried.unionByName(star)
         roots = components(links).withColumnRenamed("node", "sid")
-        labelled = ranked.join(roots, "sid", "left").select("h", "sid", "rank", F.coalesce("root", "sid").alias("label"))
-    split = labelled.groupBy("h").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("top"))
-    split = split.where("lo != hi").select("h", "c", F.col("top.sid").alias("hub"))
-    labelled = labelled.select("h", "sid", "label")
-    blocks = written(labelled.join(split, "h").join(vectors.select("sid", "n"), "sid"))
+        labelled = ranked.join(roots, "sid", "left").select("h", "sid", "fame", "n", F.coalesce("root", "sid").alias("label"))
+        if new.count() < STAR_YIELD * star.count():
+            break
+    lo, hi, c = F.min("label").over(famous).alias("lo"), F.max("label").over(famous).alias("hi"), F.count("*").over(famous).alias("c")
+    blocks = written(labelled.select("h", "sid", "label", "n", hub, lo, hi, c).where("lo != hi").drop("lo", "hi"))
     small = blocks.where(F.col("c") < TREE_FROM)
     x, y = (small.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "label", "n")]) for side in ("a", "b"))
     near = x.join(y, "h").where(f"sid_a < sid_b AND label_a != label_b AND n_a * {num} <= n_b * {den} AND n_b * {num} <= n_a * {den}")
     near = bounded(near.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), vectors, num, den)
-    large = blocks.where(F.col("c") >= TREE_FROM).withColumn("lot", F.xxhash64("hub", F.pmod("h", F.lit(16))))
-    large = large.join(vectors.select("sid", "vector"), "sid").select("lot", "h", "sid", "label", "n", "vector")
-    far = large.repartition(parts, "lot").sortWithinPartitions("lot", "h").mapInArrow(_search(num, den), "a long, b long")
-    found = near.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    # blocks of one model are searched together; large ones are spread by their key
+    large = blocks.where(F.col("c") >= TREE_FROM).withColumn("lot", F.xxhash64("hub", F.pmod("h", 1 + F.floor(F.col("c") / SPREAD))))
+    points = large.select("lot", "sid").distinct().join(vectors.select("sid", "vector"), "sid")
+    none = F.lit(0).cast("long")
+    points = points.select("lot", F.lit(0).alias("kind"), none.alias("h"), "sid", none.alias("label"), none.alias("n"), "vector")
+    large = points.unionByName(large.select("lot", F.lit(1).alias("kind"), "h", "sid", "label", "n", F.lit(None).cast("binary").alias("vector")))
+    far = large.repartition(parts, "lot").sortWithinPartitions("lot", "kind", "h").mapInArrow(_search(num, den), "a long, b long")
+    found = near.unionByName(far).distinct()
     more = verified(written(found), classes, docs, num, den)
     roots = components(links.unionByName(more))
 
