@@ -29,6 +29,7 @@ copies like others. Extra columns are ignored; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -95,7 +96,9 @@ def minima(v: tuple[int, np.ndarray], w: tuple[int, np.ndarray]) -> int:
     """Sum of the coordinates' minima of two count vectors, over the coarser one's groups."""
     bits = min(v[0], w[0])
     a, b = _numbered(v[1] >> (v[0] - bits)), _numbered(w[1] >> (w[0] - bits))
-    return len(a) + len(b) - len(np.union1d(a, b))
+    if not len(a):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
 def _dense(v: tuple[int, np.ndarray], g: int) -> np.ndarray:
@@ -296,14 +299,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, de
 def _search(num: int, den: int):
     """Rows sorted by (lot, kind, h) -> pairs of different components that neither the R-tree
     nor the finer vectors rule out. A lot holds blocks of one model, which repeat their pairs;
-    each is looked at once. Rows of kind 0 are the lot's vectors, those of kind 1 its blocks."""
+    each is looked at once, and so is each set of classes. Rows of kind 0 are the lot's vectors, those of kind 1 its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, vectors, seen = {}, {}, set()
+        packed, vectors, seen, done = {}, {}, set(), set()
         at, block = None, []
 
         def pairs(left: list[int], right: list[int]) -> None:
             sid, label, n = (np.concatenate([x[k] for x in block]) for k in range(3))
+            same = hashlib.blake2b(np.sort(sid).tobytes(), digest_size=16).digest()
+            if same in done:
+                return
+            done.add(same)
             size = dict(zip(sid.tolist(), n.tolist(), strict=True))
             for x in size:
                 if x not in vectors:
@@ -327,7 +334,7 @@ def _search(num: int, den: int):
                     pairs(left, right)
                     block = []
                 if at is None or at[0] != lot[x]:
-                    packed, vectors, seen = {}, {}, set()
+                    packed, vectors, seen, done = {}, {}, set(), set()
                 at = (lot[x], kind[x], h[x])
                 if kind[x]:
                     block.append((sid[x:y], label[x:y], n[x:y]))
