@@ -5,10 +5,14 @@ is parsed against it from left to right into longest matches; the fewer phrases
 per byte, the closer the language. Parsing runs in lockstep: all segments of a block and
 all languages advance one byte at a time, over dense transition tables.
 
-Texts are lower-cased; runs of bytes that are not letters become one space. Long texts are
-parsed whole, in segments of ``SEGMENT`` bytes whose phrases add up. Counts are
-normalised by length and by the phrases that each language's held-back text needs against
-its own automaton (a language whose text is richer needs more).
+Texts are lower-cased; runs of bytes that are not letters become one space. Long texts are parsed
+whole, in segments of ``SEGMENT`` bytes whose phrases add up; the phrase that is open at a
+segment's end counts half. Counts are divided by the phrases per byte that each language's
+held-back text needs against its own automaton (a language whose text is richer, or of
+which less is known, needs more): the sample is cut into ``FOLDS`` runs of bytes, each is
+parsed against an automaton of the others, and the median over its segments, 1 at most, is
+kept, so that near copies within a sample don't decide. A sample of one document is cut
+likewise; one of fewer than ``FOLDS`` bytes counts as a phrase per byte.
 
 Training takes at most ``SAMPLE_BYTES`` bytes of whole documents per language, those of the
 smallest id hash, and at most ``SAMPLE_DOCS`` documents: a bounded sample. At most
@@ -33,6 +37,7 @@ SAMPLE_BYTES = 24_000
 SAMPLE_DOCS = 64
 LANGUAGES = 64
 SEGMENT = 1024
+FOLDS = 4
 UNDETERMINED = "und"
 
 
@@ -84,12 +89,29 @@ class Model:
     own: np.ndarray  # phrases per byte of a language's own held-back text
 
 
+def held_back(text: bytes) -> float:
+    """Phrases per byte that parts of the text need against the rest of it."""
+    if len(text) < FOLDS:
+        return 1.0
+    cuts, rates = [len(text) * k // FOLDS for k in range(FOLDS + 1)], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rest = tabulated({"": text[:a] + text[b:]}, np.ones(1))
+        parts = [text[k : min(k + SEGMENT, b)] for k in range(a, b, SEGMENT)]
+        rates += list(phrases(rest, parts)[:, 0] / [len(p) for p in parts])
+    return min(float(np.median(rates)), 1.0)
+
+
 def build(texts: dict[str, list[bytes]]) -> Model | None:
     texts = {k: [t for t in v if t] for k, v in texts.items()}
     names = sorted(k for k, v in texts.items() if v)
     if not names:
         return None
     joined = {k: b" ".join(texts[k]) for k in names}
+    return tabulated(joined, np.array([held_back(joined[k]) for k in names]))
+
+
+def tabulated(joined: dict[str, bytes], own: np.ndarray) -> Model:
+    names = list(joined)
     known = sorted(set().union(*joined.values()))
     symbols = np.zeros(256, np.int64)
     symbols[known] = np.arange(1, len(known) + 1)
@@ -104,8 +126,7 @@ def build(texts: dict[str, list[bytes]]) -> Model | None:
         roots.append(base)
         tables.append(t)
         base += len(states)
-    model = Model(names, symbols, np.concatenate(tables).ravel(), np.array(roots), width, np.ones(len(names)))
-    return model
+    return Model(names, symbols, np.concatenate(tables).ravel(), np.array(roots), width, own)
 
 
 def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -115,7 +136,7 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
         for a in range(0, len(t), SEGMENT):
             seg.append(t[a : a + SEGMENT])
             of.append(k)
-    out = np.zeros((len(texts), len(model.names)), np.int64)
+    out = np.zeros((len(texts), len(model.names)))
     if not seg:
         return out
     size = np.array([len(s) for s in seg])
@@ -143,8 +164,7 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
         np.copyto(to, again, where=miss)
         np.copyto(to, model.roots[None].astype(np.int32), where=to == 0)
         state[:active] = to
-    count += 1  # the phrase that is open at the end
-    np.add.at(out, np.array(of)[order], count)
+    np.add.at(out, np.array(of)[order], count + 0.5)  # half of the phrase that is open at the end
     return out
 
 
