@@ -6,17 +6,22 @@ per byte, the closer the language. Parsing runs in lockstep: all segments of a b
 all languages advance one byte at a time, over dense transition tables.
 
 Texts are lower-cased; runs of bytes that are not letters become one space. Long texts are parsed
-whole, in segments of ``SEGMENT`` bytes whose phrases add up; the phrase that is open at a
-segment's end counts half. Counts are divided by the phrases per byte that each language's
+whole, in segments of ``SEGMENT`` bytes whose phrases add up. Counts are divided by those
+expected: one for each segment, open at its end, and by length what each language's
 held-back text needs against its own automaton (a language whose text is richer, or of
 which less is known, needs more): the sample is cut into ``FOLDS`` runs of bytes, each is
 parsed against an automaton of the others, and the median over its segments, 1 at most, is
 kept, so that near copies within a sample don't decide. A sample of one document is cut
 likewise; one of fewer than ``FOLDS`` bytes counts as a phrase per byte.
 
-Training takes at most ``SAMPLE_BYTES`` bytes of whole documents per language, those of the
-smallest id hash, and at most ``SAMPLE_DOCS`` documents: a bounded sample. At most
-``LANGUAGES`` languages, the most frequent, are learned.
+Every language that has a text with a letter is learned. Training takes at most
+``SAMPLE_BYTES`` bytes of whole documents per language, those of the smallest text hash,
+and at most ``SAMPLE_DOCS`` documents: a bounded sample. Equal texts of a language count
+once. Texts of more than ``SAMPLE_BYTES`` bytes come last, the shortest first, so that a
+language with no shorter text learns from its smallest, whole. Automata are built by
+language in parallel and scored in blocks of ``BLOCK`` languages, of which the best two are
+kept; a worker holds all languages' transitions in compact form (about half a MB each) and
+the dense tables of one block.
 
 The prediction is ``und`` with score 0 for a null text, one without letters, or if there is
 nothing to learn from. Ties go to the smaller name. Rows that repeat are predicted alike;
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 24_000
 SAMPLE_DOCS = 64
-LANGUAGES = 64
+BLOCK = 16
 SEGMENT = 1024
 FOLDS = 4
 UNDETERMINED = "und"
@@ -80,13 +85,51 @@ class Automaton:
 
 
 @dataclass(frozen=True)
-class Model:
-    names: list[str]
+class Language:
+    """One automaton's transitions, in compact form."""
+
+    name: str
+    states: int
+    source: np.ndarray
+    byte: np.ndarray
+    target: np.ndarray
+    own: float  # phrases per byte of the language's own held-back text
+
+
+@dataclass(frozen=True)
+class Block:
+    """Dense tables of some languages."""
+
     symbols: np.ndarray  # byte -> symbol; 0 is a byte never learned
     table: np.ndarray  # all automata's transitions, flat; 0 is none
     roots: np.ndarray
     width: int
-    own: np.ndarray  # phrases per byte of a language's own held-back text
+
+
+@dataclass(frozen=True)
+class Model:
+    """Languages by name, in blocks."""
+
+    blocks: list[list[Language]]
+
+
+def learned(name: str, text: bytes, own: float = 1.0) -> Language:
+    states = Automaton(text).next
+    source = np.repeat(np.arange(len(states), dtype=np.int32), [len(row) for row in states])
+    byte = np.fromiter((c for row in states for c in row), np.uint8, len(source))
+    target = np.fromiter((to for row in states for to in row.values()), np.int32, len(source))
+    return Language(name, len(states), source, byte, target, own)
+
+
+def tabulated(languages: list[Language]) -> Block:
+    known = np.unique(np.concatenate([x.byte for x in languages]))
+    symbols = np.zeros(256, np.int64)
+    symbols[known] = np.arange(1, len(known) + 1)
+    roots = np.cumsum([1, *[x.states for x in languages]])
+    table = np.zeros((roots[-1], len(known) + 1), np.int32)
+    for x, base in zip(languages, roots, strict=False):
+        table[base + x.source, symbols[x.byte]] = base + x.target
+    return Block(symbols, table.ravel(), roots[:-1], len(known) + 1)
 
 
 def held_back(text: bytes) -> float:
@@ -95,48 +138,30 @@ def held_back(text: bytes) -> float:
         return 1.0
     cuts, rates = [len(text) * k // FOLDS for k in range(FOLDS + 1)], []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        rest = tabulated({"": text[:a] + text[b:]}, np.ones(1))
+        rest = tabulated([learned("", text[:a] + text[b:])])
         parts = [text[k : min(k + SEGMENT, b)] for k in range(a, b, SEGMENT)]
-        rates += list(phrases(rest, parts)[:, 0] / [len(p) for p in parts])
+        rates += list((phrases(rest, parts)[:, 0] - 1) / [len(p) for p in parts])
     return min(float(np.median(rates)), 1.0)
 
 
+def grouped(languages: list[Language]) -> Model | None:
+    known = sorted(languages, key=lambda x: x.name)
+    return Model([known[k : k + BLOCK] for k in range(0, len(known), BLOCK)]) if known else None
+
+
 def build(texts: dict[str, list[bytes]]) -> Model | None:
-    texts = {k: [t for t in v if t] for k, v in texts.items()}
-    names = sorted(k for k, v in texts.items() if v)
-    if not names:
-        return None
-    joined = {k: b" ".join(texts[k]) for k in names}
-    return tabulated(joined, np.array([held_back(joined[k]) for k in names]))
+    joined = {k: b" ".join(t for t in v if t) for k, v in texts.items()}
+    return grouped([learned(k, t, held_back(t)) for k, t in joined.items() if t])
 
 
-def tabulated(joined: dict[str, bytes], own: np.ndarray) -> Model:
-    names = list(joined)
-    known = sorted(set().union(*joined.values()))
-    symbols = np.zeros(256, np.int64)
-    symbols[known] = np.arange(1, len(known) + 1)
-    width = len(known) + 1
-    tables, roots, base = [np.zeros((1, width), np.int32)], [], 1
-    for k in names:
-        states = Automaton(joined[k]).next
-        t = np.zeros((len(states), width), np.int32)
-        for s, row in enumerate(states):
-            for c, to in row.items():
-                t[s, symbols[c]] = base + to
-        roots.append(base)
-        tables.append(t)
-        base += len(states)
-    return Model(names, symbols, np.concatenate(tables).ravel(), np.array(roots), width, own)
-
-
-def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
+def phrases(model: Block, texts: list[bytes]) -> np.ndarray:
     """Phrases that each text needs in each language: (texts, languages)."""
     seg, of = [], []
     for k, t in enumerate(texts):
         for a in range(0, len(t), SEGMENT):
             seg.append(t[a : a + SEGMENT])
             of.append(k)
-    out = np.zeros((len(texts), len(model.names)))
+    out = np.zeros((len(texts), len(model.roots)), np.int64)
     if not seg:
         return out
     size = np.array([len(s) for s in seg])
@@ -145,7 +170,7 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
     flat = np.frombuffer(b"".join(seg[k] for k in order), np.uint8)
     first = np.append(0, np.cumsum(size)[:-1])
     code = model.symbols[flat]
-    langs, width, table = len(model.names), model.width, model.table
+    langs, width, table = len(model.roots), model.width, model.table
     root_rows = np.stack([table[r * width : (r + 1) * width] for r in model.roots], 1)  # symbol x language
     state = np.tile(model.roots, (len(seg), 1))
     count = np.zeros((len(seg), langs), np.int32)
@@ -164,48 +189,76 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
         np.copyto(to, again, where=miss)
         np.copyto(to, model.roots[None].astype(np.int32), where=to == 0)
         state[:active] = to
-    np.add.at(out, np.array(of)[order], count + 0.5)  # half of the phrase that is open at the end
+    count += 1  # the phrase that is open at the end
+    np.add.at(out, np.array(of)[order], count)
     return out
 
 
-def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def predict(model: Model | None, texts: list[str | None], tables: dict[int, Block] | None = None) -> tuple[list[str], list[float]]:
+    """Names and scores. ``tables`` keeps the block's tables between calls if there is one block."""
     plain_texts = [plain(t) for t in texts]
     if model is None:
         return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    need = phrases(model, plain_texts) / model.own
-    best = need.argmin(1)
-    low = need[np.arange(len(texts)), best]
-    rest = need.copy()
-    rest[np.arange(len(texts)), best] = np.inf
-    second = rest.min(1)
+    tables = {} if tables is None else tables
+    length = np.array([len(t) for t in plain_texts]).reshape(-1, 1)
+    segments = np.maximum(-(-length // SEGMENT), 1)
+    best, low, second = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.full(len(texts), np.inf)
+    for k, block in enumerate(model.blocks):
+        if k not in tables:
+            tables.clear()
+            tables[k] = tabulated(block)
+        need = phrases(tables[k], plain_texts) / (length * np.array([x.own for x in block]) + segments)
+        here = need.argmin(1)
+        least = need[np.arange(len(texts)), here]
+        need[np.arange(len(texts)), here] = np.inf
+        better = least < low  # ties go to the smaller name
+        second = np.minimum(np.where(better, low, least), np.minimum(second, need.min(1)))
+        best, low = np.where(better, k * BLOCK + here, best), np.minimum(low, least)
+    all_names = [x.name for block in model.blocks for x in block]
     names, scores = [], []
     for t, k, a, b in zip(plain_texts, best, low, second, strict=True):
-        names.append(model.names[k] if t else UNDETERMINED)
+        names.append(all_names[k] if t else UNDETERMINED)
         scores.append(0.0 if not t else 1.0 if not np.isfinite(b) else float(1 - a / b) if b > 0 else 0.0)
     return names, scores
 
 
+FITTED = "name string, states long, source binary, byte binary, target binary, own double"
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    """The automaton of one language from its ranked texts."""
+    have, size = [], 0
+    for row in sorted(table.to_pylist(), key=lambda r: r["r"]):
+        t = plain(row["text"])
+        if t and (not have or size + len(t) <= SAMPLE_BYTES):
+            have.append(t)
+            size += len(t)
+    text = b" ".join(have)
+    found = [learned(table["lang"][0].as_py(), text, held_back(text))] if text else []
+    cols = [[getattr(x, c) for x in found] for c in ("name", "states", "own")] + [[getattr(x, c).tobytes() for x in found] for c in ("source", "byte", "target")]
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table({c: pa.array(v, kind) for c, v, kind in zip(("name", "states", "own", "source", "byte", "target"), cols, kinds, strict=True)}).select(["name", "states", "source", "byte", "target", "own"])
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Automata from the given rows' text and language."""
-    d = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.length(F.col(text)).alias("n"), F.col(text).cast("string").alias("text"))
-    usable = d.where("lang IS NOT NULL AND n > 0 AND n <= 8000")
-    names = [r.lang for r in usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "n")
-    chosen = usable.where(F.col("lang").isin(names)).select("key", "lang", "n").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
-    # at most LANGUAGES * SAMPLE_DOCS ids
-    rows = usable.join(F.broadcast(chosen.select("key", "lang", "n", "r")), ["key", "lang", "n"]).select("lang", "r", "text").collect() if names else []
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.r, r.text)):
-        have = texts.setdefault(r.lang, [])
-        t = plain(r.text)
-        if not have or sum(map(len, have)) + len(t) <= SAMPLE_BYTES:
-            have.append(t)
-    return build(texts)
+    d = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    usable = d.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("*", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    distinct = usable.groupBy("lang", "h", "n").agg(F.min("key").alias("key"))
+    over = F.greatest("n", F.lit(SAMPLE_BYTES))  # texts within the budget first, then by length
+    order = Window.partitionBy("lang").orderBy(over, "h", "n")
+    ranked = distinct.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
+    # at most SAMPLE_DOCS ids a language; of the rows of one id and text, one
+    chosen = F.broadcast(ranked.select(*[F.col(c).alias(f"its_{c}") for c in ("lang", "h", "n", "key")], "r"))
+    rows = usable.join(chosen, (F.col("lang") == F.col("its_lang")) & (F.col("h") == F.col("its_h")) & (F.col("n") == F.col("its_n")) & F.col("key").eqNullSafe(F.col("its_key")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    fitted = rows.select("lang", "r", "text").dropDuplicates(["lang", "r"]).repartition(parts, "lang").groupBy("lang").applyInArrow(_fit, FITTED).collect()
+    return grouped([Language(r.name, r.states, np.frombuffer(r.source, np.int32), np.frombuffer(r.byte, np.uint8), np.frombuffer(r.target, np.int32), r.own) for r in fitted])
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m, tables = model.value, {}
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             names, scores, block, size = [], [], [], 0
@@ -213,9 +266,9 @@ def _predict(model):
                 block.append(t)
                 size += len(t or "")
                 if size > 1 << 22:
-                    got = predict(m, block)
+                    got = predict(m, block, tables)
                     names, scores, block, size = names + got[0], scores + got[1], [], 0
-            got = predict(m, block)
+            got = predict(m, block, tables)
             yield pa.RecordBatch.from_arrays([keys, pa.array(names + got[0], pa.string()), pa.array(scores + got[1], pa.float64())], ["key", "lang_pred", "score"])
 
     return run
