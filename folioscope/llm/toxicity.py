@@ -12,8 +12,9 @@ E < ``significance`` are reported. A document's statistic is the sum of -ln E ov
 significant segments, or else that of its best; a logistic curve fitted to counts by
 statistic and label turns it into a score between 0 and 1.
 
-Counts and calibration use every labelled text that may be learned from. The lexicon is
-bounded (``LEXICON`` tokens, those of the largest z), so it can be broadcast.
+Counts and calibration use every labelled text that may be learned from; labels are joined
+by one shuffle plan at every size. The lexicon holds every token over both thresholds, 16
+bytes each in every worker; one beyond ``spark.driver.maxResultSize`` is an error.
 
 A null or empty text has no token and gets the score of a text without a segment. Null
 labels and labels without a document are not learned from; several labels of one id each
@@ -35,8 +36,6 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import written
 
-LEXICON = 50_000
-BROADCAST_LABELS = 250_000  # labels of at most so many rows are broadcast; more are joined by shuffle
 PRIOR, FLOOR = 500.0, 0.5
 MIN_Z, MIN_ODDS = 3.0, 1.5
 DRIFT = -0.7
@@ -122,14 +121,14 @@ def lexicon(labelled: DataFrame, text: str = "text", label: str = "label") -> Le
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + mass) - F.col(y) - prior))
     delta = odds("ones", all1) - odds("zeros", all0)
     z = delta / F.sqrt(1 / (F.col("ones") + prior) + 1 / (F.col("zeros") + prior))
-    top = counts.select("token", "zeros", delta.alias("delta"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_ODDS)).orderBy(F.col("z").desc(), "token").limit(LEXICON).collect()
-    if not top:
+    top = counts.select("token", "zeros", delta.alias("delta"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_ODDS)).drop("z").toArrow()
+    if not len(top):
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
-    hashes = np.array([r.token for r in top], np.int64).view(np.uint64)
-    scores = np.minimum([r.delta for r in top], CEILING)
-    chance = np.array([r.zeros for r in top]) / all0
+    hashes = top["token"].to_numpy().view(np.uint64)
+    scores = np.minimum(top["delta"].to_numpy(), CEILING)
+    chance = top["zeros"].to_numpy() / all0
     order = np.argsort(hashes)
-    return Lexicon(hashes[order], np.asarray(scores)[order], _solve(1 - chance.sum(), chance, np.asarray(scores)), 1.0)
+    return Lexicon(hashes[order], scores[order], _solve(1 - chance[order].sum(), chance[order], scores[order]), 1.0)
 
 
 def _statistics(m: Lexicon, texts: pa.Array, spans: bool) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
@@ -224,15 +223,18 @@ class Model:
     curve: Curve
 
 
+def labelled(docs: DataFrame, named: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, label), by a merge join whatever the number of labels."""
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(named.hint("merge"), "key")
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Lexicon and calibration from the labelled texts given."""
     named = labels.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label")).where("label IN (0, 1) AND key IS NOT NULL")
     named = written(named)
-    side = F.broadcast(named) if named.count() <= BROADCAST_LABELS else named
-    joined = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(side, "key")
-    first = lexicon(joined)
+    first = lexicon(labelled(docs, named, key, text))
     raw = written(scan(docs, first, key, text, spans=False))
-    by = raw.join(named, "key").groupBy(F.round(F.least(F.greatest(F.col("stat"), F.lit(-50.0)), F.lit(200.0)), 1).alias("bin"), "label").agg(F.count("*").alias("c"), F.avg(F.log("n_tokens")).alias("ln"))
+    by = raw.join(named.hint("merge"), "key").groupBy(F.round(F.least(F.greatest(F.col("stat"), F.lit(-50.0)), F.lit(200.0)), 1).alias("bin"), "label").agg(F.count("*").alias("c"), F.avg(F.log("n_tokens")).alias("ln"))
     rows = by.collect()  # bins of a bounded range
     bins: dict = {}
     for r in rows:
