@@ -154,7 +154,7 @@ def _profile(key: str, text: str, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
-        names = ["key", "sid", "n", "vector", "bucket", "cnt"]
+        names = ["key", "t", "sid", "n", "vector", "bucket", "cnt"]
         for batch in batches:
             sid, n, vectors = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for row, s in W.sets(W.column(batch, text)):
@@ -162,11 +162,11 @@ def _profile(key: str, text: str, bits: int):
                 vectors.append(count_vector(s) if len(s) else None)
                 counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1
             nothing = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([W.column(batch, key).cast(pa.int64()), pa.array(sid), pa.array(n), pa.array(vectors, pa.binary()), nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([W.column(batch, key).cast(pa.int64()), W.column(batch, "t"), pa.array(sid), pa.array(n), pa.array(vectors, pa.binary()), nothing, nothing], names)
         mean = counts.mean()
         at = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 3)
         nothing = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at].astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at].astype(np.int64))], names)
 
     return run
 
@@ -351,11 +351,19 @@ def _search(num: int, den: int):
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 3, den: int = 4, bits: int = BUCKET_BITS) -> DataFrame:
     """(key, n_shingles, component_id) for every row; the similarity is num/den or more."""
+    return _components(docs, key, text, num, den, bits).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
+    )
+
+
+def _components(docs: DataFrame, key: str, text: str, num: int, den: int, bits: int) -> DataFrame:
+    """(key, t, sid, n, root, component_id) for every row: the text's hash, its class, and the
+    component's smallest class and smallest id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    schema = "key long, sid long, n long, vector binary, bucket long, cnt long"
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    schema = "key long, t long, sid long, n long, vector binary, bucket long, cnt long"
     profile = written(docs.mapInArrow(_profile("key", "text", bits), schema))
-    rows = profile.where("bucket IS NULL").select("key", "sid", "n")
+    rows = profile.where("bucket IS NULL").select("key", "t", "sid", "n")
     crowded = np.zeros(1 << bits, bool)  # a fixed number of buckets, whatever the corpus
     full = profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= CROWDED)
     crowded[[r.bucket for r in full.select("bucket").toLocalIterator()]] = True
@@ -408,19 +416,20 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     sized = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lows = sized.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = sized.select("sid", "root").join(lows, "root").select("sid", "component_id")
-    return rows.join(of, "sid", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
-    )
+    of = sized.select("sid", "root").join(lows, "root").select("sid", "root", "component_id")
+    return rows.join(of, "sid", "left").select("key", "t", "sid", "n", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 3, den: int = 4) -> DataFrame:
-    """``docs`` with the smallest id of every component; of rows of one id and text, one.
+    """``docs`` with one row of every component: that of the smallest id, of no id if none has one.
 
-    Texts without words are in no component and stay. Rows of one id with different texts
-    stay if the id is the smallest of a component.
+    Among an id's texts in one component the class and then the hash decide. Texts without
+    words are in no component and stay; of rows of one id and text, one.
     """
-    found = similar_components(docs, key, text, num, den)
-    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_id")).distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep.kept_id), "left_semi")
-    return kept.withColumn("kept_text", F.xxhash64(text)).dropDuplicates([key, "kept_text"]).drop("kept_text")
+    found = _components(docs, key, text, num, den, BUCKET_BITS)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "sid", "t")).alias("first")
+    single = found.where("n > 0").groupBy("root").agg(first).select(F.col("first.key").alias("kept_id"), F.col("first.t").alias("kept_t"))
+    keep = single.unionByName(found.where("n = 0").select(F.col("key").alias("kept_id"), F.col("t").alias("kept_t"))).distinct()
+    hashed = docs.withColumn("kept_text", F.xxhash64(F.col(text).cast("string")))
+    kept = hashed.join(keep, F.col(key).eqNullSafe(F.col("kept_id")) & (F.col("kept_text") == F.col("kept_t")), "left_semi")
+    return kept.dropDuplicates([key, "kept_text"]).drop("kept_text")
