@@ -35,12 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import written
+from .tables import Scratch
 
 BUCKET_BITS = 20
 CROWDED = 64
@@ -48,9 +48,8 @@ STAR_ROUNDS = 2
 LEAF = 32
 TREE_FROM = 8  # smaller blocks are paired directly
 STAR_YIELD = 0.1  # another round of pairs with hubs if the last linked at least this share of the classes
-SPREAD = 512  # blocks of a model are dealt over one more lot for every so many rows in them
+SPREAD = 512  # rows of a block's main component in one lot
 HELD = 1 << 16  # rows of a block that are held to count it; a larger one is counted in parts
-BROADCAST_IDS = 100_000  # ids of at most so many texts are broadcast
 
 
 def _limits(num: int, den: int):
@@ -268,29 +267,34 @@ def _check(num: int, den: int):
     return run
 
 
-def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the wanted set (an id may have several texts), each set once in a task."""
-    seen = set()
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of which equal ids lie side by side -> the first of each id."""
+    last = None
     for batch in batches:
         sid = W.column(batch, "sid").to_numpy()
-        keep = np.zeros(len(sid), bool)
-        for k, s in W.sets(W.column(batch, "text")):
-            keep[k] = set_id(s) == sid[k] and int(sid[k]) not in seen
-            if keep[k]:
-                seen.add(int(sid[k]))
-        yield pa.RecordBatch.from_arrays([W.column(batch, c).filter(pa.array(keep)) for c in ("sid", "text")], ["sid", "text"])
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose exact sets are similar enough. ``pairs`` is a written
-    table; only the texts of its classes are fetched, by the class's smallest id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = written(ids.join(classes, "sid").select("sid", F.col("low").alias("wanted_key")))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(side, docs.key.eqNullSafe(F.col("wanted_key"))).select("sid", "text").mapInArrow(_same_set, "sid long, text string")
-    texts = written(texts)
-    if texts.count() > wanted.count():  # rows that repeat, in several tasks
-        texts = texts.dropDuplicates(["sid"])
+        keep = np.ones(len(sid), bool)
+        keep[1:] = sid[1:] != sid[:-1]
+        if len(sid):
+            keep[0] = int(sid[0]) != last
+            last = int(sid[-1])
+        yield batch.filter(pa.array(keep))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """The columns that name a row's id and text, none of them null."""
+    return rows.withColumns({"none": F.col("key").isNull(), "at": F.coalesce("key", F.lit(0)), "hash": F.coalesce("t", F.lit(0))})
+
+
+def class_texts(docs: DataFrame, classes: DataFrame, some: DataFrame) -> DataFrame:
+    """(sid, text) of the classes in ``some``: each one's text of smallest id. The corpus'
+    texts are shuffled once, for all rounds."""
+    wanted = _named(classes.join(some, "sid", "left_semi").select("sid", F.col("low").alias("key"), F.col("low_t").alias("t"))).select("sid", "none", "at", "hash")
+    found = _named(docs).join(wanted.hint("merge"), ["none", "at", "hash"]).select("sid", "text")
+    return found.mapInArrow(_once, "sid long, text string")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes whose exact sets are similar enough."""
     one = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_check(num, den), "a long, b long")
@@ -360,10 +364,11 @@ def _components(docs: DataFrame, key: str, text: str, num: int, den: int, bits:
     """(key, t, sid, n, root, component_id) for every row: the text's hash, its class, and the
     component's smallest class and smallest id."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     schema = "key long, t long, sid long, n long, vector binary, bucket long, cnt long"
-    profile = written(docs.mapInArrow(_profile("key", "text", bits), schema))
-    rows = profile.where("bucket IS NULL").select("key", "t", "sid", "n")
+    profile = scratch.put(docs.mapInArrow(_profile("key", "text", bits), schema), "profile")
+    rows = scratch.put(profile.where("bucket IS NULL").select("key", "t", "sid", "n"), "rows")
     crowded = np.zeros(1 << bits, bool)  # a fixed number of buckets, whatever the corpus
     full = profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= CROWDED)
     crowded[[r.bucket for r in full.select("bucket").toLocalIterator()]] = True
@@ -371,48 +376,52 @@ def _components(docs: DataFrame, key: str, text: str, num: int, den: int, bits:
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     posted = docs.select("text").mapInArrow(_postings("text", high, bits, num, den), "h long, sid long")
-    shared = written(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long, c long"))
+    shared = scratch.put(posted.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long, c long"), "shared")
 
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("low"))
-    some = shared.select("sid").distinct()
-    vectors = written(profile.where("n > 0").select("sid", "n", "vector").join(some, "sid", "left_semi").dropDuplicates(["sid"]))
+    low = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("low")
+    classes = scratch.put(rows.where("n > 0").groupBy("sid").agg(low).select("sid", F.col("low.key").alias("low"), F.col("low.t").alias("low_t")), "classes")
+    some = scratch.put(shared.groupBy("sid").agg(F.sum("c").alias("fame")), "some")  # a family's model shares the most
+    vectors = scratch.put(profile.where("n > 0").select("sid", "n", "vector").join(some, "sid", "left_semi").dropDuplicates(["sid"]), "vectors")
+    scratch.drop(profile)
+    texts = scratch.put(class_texts(docs, classes, some), "texts")
+    ranked = scratch.put(shared.select("h", "sid").join(some.join(vectors.select("sid", "n"), "sid"), "sid"), "ranked")
+    scratch.drop(shared, some)
 
-    fame = shared.groupBy("sid").agg(F.sum("c").alias("fame")).join(vectors.select("sid", "n"), "sid")  # a family's model shares the most
-    ranked = written(shared.select("h", "sid").join(fame, "sid"))
-    famous = Window.partitionBy("h").orderBy(F.desc("fame"), F.desc("sid")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hub, hub_label = F.first("sid").over(famous).alias("hub"), F.first("label").over(famous).alias("hub_label")
     links, tried = None, None
-    labelled = ranked.withColumn("label", F.col("sid"))
+    labelled = scratch.put(ranked.withColumn("label", F.col("sid")), "labelled")
     for _ in range(STAR_ROUNDS):
         # of each block that still holds several components, the most shared class that a row isn't joined to
-        votes = labelled.select("sid", "label", hub, hub_label).where("label != hub_label").groupBy("sid", "hub").agg(F.count("*").alias("c"))
+        votes = labelled.join(_heads(labelled), "h").where("label != hub_label").groupBy("sid", "hub").agg(F.count("*").alias("c"))
         if tried is not None:
             votes = votes.join(tried, ["sid", "hub"], "left_anti")
-        star = written(votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")))
-        near = written(bounded(star.select(F.col("sid").alias("a"), F.col("hub").alias("b")), vectors, num, den))
-        new = written(verified(near, classes, docs, num, den))
+        star = scratch.put(votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")), "star")
+        near = scratch.put(bounded(star.select(F.col("sid").alias("a"), F.col("hub").alias("b")), vectors, num, den), "near")
+        new = scratch.put(verified(near, texts, num, den), "links")
+        scratch.drop(near, labelled)
         links = new if links is None else links.unionByName(new)
         tried = star if tried is None else tried.unionByName(star)
-        roots = components(links).withColumnRenamed("node", "sid")
-        labelled = ranked.join(roots, "sid", "left").select("h", "sid", "fame", "n", F.coalesce("root", "sid").alias("label"))
+        roots = components(links, scratch=scratch).withColumnRenamed("node", "sid")
+        labelled = scratch.put(ranked.join(roots, "sid", "left").select("h", "sid", "fame", "n", F.coalesce("root", "sid").alias("label")), "labelled")
         if new.count() < STAR_YIELD * star.count():
             break
-    lo, hi, c = F.min("label").over(famous).alias("lo"), F.max("label").over(famous).alias("hi"), F.count("*").over(famous).alias("c")
-    blocks = written(labelled.select("h", "sid", "label", "n", hub, lo, hi, c).where("lo != hi").drop("lo", "hi"))
+    scratch.drop(ranked)
+    blocks = scratch.put(labelled.join(_heads(labelled), "h").select("h", "sid", "label", "n", "hub", "hub_label", "c"), "blocks")
+    scratch.drop(labelled)
     small = blocks.where(F.col("c") < TREE_FROM)
     x, y = (small.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "label", "n")]) for side in ("a", "b"))
     near = x.join(y, "h").where(f"sid_a < sid_b AND label_a != label_b AND n_a * {num} <= n_b * {den} AND n_b * {num} <= n_a * {den}")
     near = bounded(near.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), vectors, num, den)
-    # blocks of one model are searched together; large ones are spread by their key
-    large = blocks.where(F.col("c") >= TREE_FROM).withColumn("lot", F.xxhash64("hub", F.pmod("h", 1 + F.floor(F.col("c") / SPREAD))))
+    large = _dealt(blocks.where(F.col("c") >= TREE_FROM))
     points = large.select("lot", "sid").distinct().join(vectors.select("sid", "vector"), "sid")
     none = F.lit(0).cast("long")
     points = points.select("lot", F.lit(0).alias("kind"), none.alias("h"), "sid", none.alias("label"), none.alias("n"), "vector")
     large = points.unionByName(large.select("lot", F.lit(1).alias("kind"), "h", "sid", "label", "n", F.lit(None).cast("binary").alias("vector")))
-    far = large.repartition(parts, "lot").sortWithinPartitions("lot", "kind", "h").mapInArrow(_search(num, den), "a long, b long")
-    found = near.unionByName(far).distinct()
-    more = verified(written(found), classes, docs, num, den)
-    roots = components(links.unionByName(more))
+    far = scratch.put(large.repartition(parts, "lot").sortWithinPartitions("lot", "kind", "h").mapInArrow(_search(num, den), "a long, b long"), "far")
+    found = scratch.put(near.unionByName(far).distinct(), "found")
+    scratch.drop(blocks, far, vectors)
+    more = scratch.put(verified(found, texts, num, den), "links")
+    scratch.drop(found, texts)
+    roots = components(links.unionByName(more), scratch=scratch)
 
     sized = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lows = sized.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -420,16 +429,39 @@ def _components(docs: DataFrame, key: str, text: str, num: int, den: int, bits:
     return rows.join(of, "sid", "left").select("key", "t", "sid", "n", "root", "component_id")
 
 
+def _heads(labelled: DataFrame) -> DataFrame:
+    """Of every block that holds several components: its most shared class, that class' label
+    and the number of rows. Partial maxima and a join, so no block is gathered in one task."""
+    best = F.max(F.struct("fame", "sid", "label")).alias("best")
+    heads = labelled.groupBy("h").agg(best, F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo != hi")
+    return heads.select("h", F.col("best.sid").alias("hub"), F.col("best.label").alias("hub_label"), "c")
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Large blocks dealt to lots, blocks of one hub together. In a block of more than
+    ``SPREAD`` rows those of the hub's component, which are not compared with each other, are
+    dealt over as many lots as it has ``SPREAD`` rows; all others go to each of these."""
+    slots = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("c") / SPREAD, F.lit(1.0))))).cast("long")
+    home = F.pmod(F.xxhash64("sid"), F.col("slots"))
+    own = F.when(F.col("label") == F.col("hub_label"), F.array(home)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
+    dealt = blocks.withColumn("slots", slots).withColumn("slot", F.explode(own))
+    return dealt.withColumn("lot", F.xxhash64("hub", "slots", "slot")).select("lot", "h", "sid", "label", "n")
+
+
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 3, den: int = 4) -> DataFrame:
     """``docs`` with one row of every component: that of the smallest id, of no id if none has one.
 
     Among an id's texts in one component the class and then the hash decide. Texts without
-    words are in no component and stay; of rows of one id and text, one.
+    words are in no component and stay; of rows of one id and text, one. All columns are kept
+    (names that begin with ``_kept_`` are ours).
     """
     found = _components(docs, key, text, num, den, BUCKET_BITS)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "sid", "t")).alias("first")
-    single = found.where("n > 0").groupBy("root").agg(first).select(F.col("first.key").alias("kept_id"), F.col("first.t").alias("kept_t"))
-    keep = single.unionByName(found.where("n = 0").select(F.col("key").alias("kept_id"), F.col("t").alias("kept_t"))).distinct()
-    hashed = docs.withColumn("kept_text", F.xxhash64(F.col(text).cast("string")))
-    kept = hashed.join(keep, F.col(key).eqNullSafe(F.col("kept_id")) & (F.col("kept_text") == F.col("kept_t")), "left_semi")
-    return kept.dropDuplicates([key, "kept_text"]).drop("kept_text")
+    single = found.where("n > 0").groupBy("root").agg(first).select(F.col("first.key").alias("key"), F.col("first.t").alias("t"))
+    keep = single.unionByName(found.where("n = 0").select("key", "t"))
+    names = [f"_kept_{c}" for c in ("none", "at", "hash")]
+    mark = lambda k, t: [k.isNull().alias(names[0]), F.coalesce(k.cast("long"), F.lit(0)).alias(names[1]), t.alias(names[2])]
+    hashed = docs.select("*", *mark(F.col(key), F.xxhash64(F.col(text).cast("string"))))
+    # rows meet the decision by one shuffle, and repeated rows each other by the same one
+    kept = hashed.join(keep.select(*mark(F.col("key"), F.col("t"))).distinct(), names, "left_semi")
+    return kept.dropDuplicates(names).drop(*names)
