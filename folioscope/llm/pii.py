@@ -1,18 +1,28 @@
 """PII pseudonyms that keep their format, in DataFrame functions only.
 
 Found values are validated (Luhn for cards, octets for addresses, the calendar for dates,
-the issued ranges for social security numbers) and then permuted within their format by a
-keyed Feistel network whose round function is an MD5 of the key, the round, the format and
-one half. Equal values get equal pseudonyms in every document, different values different
-ones. Cards stay Luhn-valid, dates stay dates (a permutation of the 146,097 days of 1800 to
-2199), IPv4 addresses stay addresses. Mail addresses and secrets, which are not numbers,
-get keyed digests of the same kind of form. Values that fail validation stay as they are.
+the issued ranges for social security numbers, leading digits for telephone numbers) and
+then permuted within their format by a keyed Feistel network whose round function is an MD5
+of the key, the round, the format and one half. The network runs over the ranks of the
+valid values, so it is a permutation of just these: equal values get equal pseudonyms in
+every document, different values different ones, and no pseudonym equals a value that was
+left as it is. Cards stay Luhn-valid, dates stay dates (a permutation of the 146,097 days of
+1800 to 2199), IPv4 addresses stay addresses, social security numbers stay in the issued
+ranges; of a telephone number the country code stays, and a leading digit of 0 or 1 (which no
+area code or exchange has) stays among these. Mail addresses, key ids and secrets, which
+are not numbers, get keyed digests of the same kind of form. Values that fail validation
+stay as they are.
 
 The text is split at the matches and the pseudonyms are put between the parts, so nothing
-else changes. Texts without a digit, an at sign or a secret's keyword are passed through.
-Null texts stay null, with 0 found. Repeated rows are treated alike; all other columns are
-kept as they are, ``n_found`` is added (a column of that name is replaced); an empty table
-gives an empty table.
+else changes. All patterns are bounded or loops over single characters, with a start that
+no run of like characters repeats, so their time grows with the text and not with its
+square, and no text can exhaust the stack: a mail address has at most 64 characters before
+the at sign and 127 labels after it (longer ones are no addresses). Texts without a digit,
+an at sign, a key prefix or a secret's keyword are passed through.
+
+Null texts stay null, with 0 found; empty and very long texts are texts like others. Repeated
+rows are treated alike; all other columns are kept as they are, ``n_found`` is added (a column
+of that name is replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +34,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 DAYS_A, DAYS_B = 27, 5411  # 27 * 5411 = 146,097 days, 400 Gregorian years
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 KEY_ID = r"AKIA[0-9A-Z]{16}"
 SECRET = r"(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9]{8,}\"?"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
@@ -35,7 +45,7 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = PHONE.replace("([.-])", "[.-]")
 ANY = "|".join([EMAIL, KEY_ID, SECRET, DATE, DATE_EU, IPV4, PHONE, SSN, CARD])
-QUICK = r"[0-9@]|(?i:password|passwd|secret|token|api_key)"
+QUICK = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,7 +63,7 @@ def _number(key: str, what: Column) -> Column:
 
 
 def _rounds(a: Column, b: Column, ma: Column, mb: Column, form: Column, key: str) -> Column:
-    """An alternating Feistel network over (a mod ma, b mod mb); an even number of rounds."""
+    """An alternating Feistel network over pairs (a < ma, b < mb); an even number of rounds."""
 
     def step(s: Column, i: Column) -> Column:
         m = F.when(i % 2 == 0, ma).otherwise(mb)
@@ -120,17 +130,30 @@ def pseudonym(found: Column, key: str) -> Column:
     body = permuted_digits(digits.substr(F.lit(1), n - 1), "card", key)
     checked = _let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
     card = F.when(luhn_sum(digits) % 10 == 0, refilled(found, checked)).otherwise(found)
-    phone = refilled(found, F.concat(digits.substr(F.lit(1), n - 10), permuted_digits(digits.substr(n - 9, F.lit(10)), "phone", key)))
-    area = digits.substr(1, 3)
-    valid_ssn = ~area.isin("000", "666") & (area < "900") & (digits.substr(4, 2) != "00") & (digits.substr(6, 4) != "0000")
-    ssn = F.when(valid_ssn, refilled(found, permuted_digits(digits, "ssn", key))).otherwise(found)
+    # ten digits of a phone: three and three, neither of which may begin with 0 or 1, and four
+    last = digits.substr(n - 9, F.lit(10))
+    part = [last.substr(1, 3).cast("long"), last.substr(4, 3).cast("long")]
+    low = [p < 200 for p in part]
+    base, span = ([F.when(x, lo).otherwise(hi).cast("long") for x in low] for lo, hi in ((0, 200), (200, 800)))
+    country = digits.substr(F.lit(1), n - 10)
+    rank = (part[0] - base[0]) * span[1] + part[1] - base[1]
+    halves = _rounds(rank, last.substr(7, 4).cast("long"), span[0] * span[1], F.lit(10_000).cast("long"), F.concat(F.lit("phone"), country, F.lit("/"), *[x.cast("string") for x in low]), key)
+    moved = _let(halves, lambda s: F.concat(*[F.lpad(x.cast("string"), w, "0") for x, w in ((base[0] + F.floor(s["a"] / span[1]), 3), (base[1] + s["a"] % span[1], 3), (s["b"], 4))]))
+    phone = refilled(found, F.concat(country, moved))
+    # areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999
+    area, group, serial = digits.substr(1, 3).cast("long"), digits.substr(4, 2).cast("long"), digits.substr(6, 4).cast("long")
+    valid_ssn = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    halves = _rounds((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), F.lit("ssn"), key)
+    place = lambda s: F.floor(s["a"] / 99) + 1
+    nine = _let(halves, lambda s: F.concat(F.lpad((place(s) + (place(s) >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((s["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((s["b"] + 1).cast("string"), 4, "0")))
+    ssn = F.when(valid_ssn, refilled(found, nine)).otherwise(found)
     octet = [F.split(found, r"\.")[k].cast("int") for k in range(4)]
     two16 = F.lit(65536).cast("long")
     halves = _rounds(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], two16, two16, F.lit("ipv4"), key)
     dotted = _let(halves, lambda s: F.concat_ws(".", *[x.cast("string") for h in ("a", "b") for x in (F.floor(s[h] / 256), s[h] % 256)]))
     ip = F.when(F.greatest(*octet) <= 255, dotted).otherwise(found)
     hexed = F.md5(F.concat(F.lit(f"{key}|mail|"), F.lower(found)).cast("binary"))
-    mail = F.concat(F.lit("u"), F.substring(hexed, 1, 12), F.lit("@example.invalid"))
+    mail = F.concat(F.lit("u"), F.substring(hexed, 1, 24), F.lit("@example.invalid"))
     key_id = F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(F.concat(F.lit(f"{key}|key|"), found).cast("binary")), 1, 16)))
     value = F.regexp_extract(found, r"([A-Za-z0-9]{8,})\"?$", 1)
     secret = F.concat(
@@ -152,8 +175,9 @@ def pseudonym(found: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = "folioscope", text: str = "text") -> DataFrame:
-    """``docs`` with PII in ``text`` replaced, and ``n_found`` values replaced or kept."""
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with PII in ``text`` replaced, and ``n_found`` values replaced or kept. Who has
+    ``key`` can link a value to its pseudonym; keep it as a secret."""
     t = F.col(text)
     none = F.array().cast("array<string>")
     out = docs.withColumn("n_found", F.when(t.rlike(QUICK), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))

@@ -5,7 +5,7 @@ import duckdb
 import corpus_pipeline as cp
 from folioscope.llm import toxicity
 from folioscope.llm.pii import pseudonymised
-from folioscope.llm.queries import SQL, SQL_MIX
+from folioscope.llm.queries import SQL, SQL_MIX, pii_key
 from folioscope.llm.tables import table, written
 
 SF = "/root/testdata/sf0.01"
@@ -36,7 +36,7 @@ def test_stages(spark):
     leaks = {x for (x,) in db.execute(f"SELECT DISTINCT doc_id FROM ({SQL['op6_benchmark_decontamination']})").fetchall()}
     assert set(fresh.doc_id) == set(single.doc_id) - leaks
 
-    want = pseudonymised(spark.createDataFrame(fresh[["doc_id", "text"]])).toPandas().set_index("doc_id").text
+    want = pseudonymised(spark.createDataFrame(fresh[["doc_id", "text"]]), pii_key(spark)).toPandas().set_index("doc_id").text
     assert private.set_index("doc_id").text.to_dict() == want.to_dict()
 
     db.register("private", private)
