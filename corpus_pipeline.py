@@ -17,6 +17,7 @@ from folioscope.llm.decontaminate import decontaminated
 from folioscope.llm.mixing import mix, repeated
 from folioscope.llm.ngram_join import one_per_group
 from folioscope.llm.pii import pseudonymised
+from folioscope.llm.queries import pii_key
 from folioscope.llm.tables import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by pseudonyms of the same format."""
-    return pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pseudonymised(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
