@@ -8,7 +8,8 @@ most 64 letters are kept, the last of which stands for the rest of the text. Two
 fingerprints are compared at a size they share: 1 - edit distance / longer length, and 0
 if they share none; equal fingerprints are 1.
 
-Null is the empty text, whose fingerprint is ``3::``. Equal texts have equal
+Null is the empty text, whose fingerprint is ``3::``. Very long texts are hashed whole, one at
+a time. Equal texts have equal
 fingerprints. Lone texts are their own next text. Rows of equal id are ordered by text;
 null ids come first. Extra columns are ignored; an empty table gives an empty table.
 """
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,10 +137,11 @@ _ENDS = "key long, n_chars long, edited_sha256 string, fingerprint string, edite
 
 
 def _batch(rows: list[tuple], ends: list[tuple]) -> pa.RecordBatch:
-    """Result rows, then rows that carry the text at one end of a partition."""
-    rows = [(*r, None, None) for r in rows] + [(k, None, None, p, None, None, None, end, t) for end, k, t, p in ends]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*_TYPES, pa.string(), pa.string()], strict=True)], [*_NAMES, "edge", "text"])
+    """Result rows, then rows that carry the text at one end of a partition, and its number."""
+    part = TaskContext.get().partitionId()
+    rows = [(*r, None, None, None) for r in rows] + [(k, None, None, p, None, None, None, end, t, part) for end, k, t, p in ends]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*_TYPES, pa.string(), pa.string(), pa.int64()], strict=True)], [*_NAMES, "edge", "text", "part"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +178,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    walked = written(d.repartitionByRange(parts, "key").sortWithinPartitions("key", "text").mapInArrow(_walk, f"{_ENDS}, edge string, text string"))
+    walked = written(d.repartitionByRange(parts, "key").sortWithinPartitions("key", "text").mapInArrow(_walk, f"{_ENDS}, edge string, text string, part long"))
     inner = walked.where("edge IS NULL").select(*_NAMES)
-    order = Window.orderBy("key", "text", "edge")  # two rows a partition
-    ends = walked.where("edge IS NOT NULL").select("key", "text", "fingerprint", "edge")
-    for name, of in (("next_text", "text"), ("next_print", "fingerprint")):
-        ends = ends.withColumn(name, F.coalesce(F.lead(of).over(order), F.first(of).over(order)))
-    lasts = ends.where("edge = 'last'")
+    ends = walked.where("edge IS NOT NULL")
+    firsts = ends.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
+    order = Window.orderBy("part")  # one number a partition, no texts
+    after = firsts.select(F.col("next").alias("part")).withColumn("next", F.coalesce(F.lead("part").over(order), F.first("part").over(order)))
+    lasts = ends.where("edge = 'last'").join(after, "part").join(firsts, "next")
     met = lasts.select("key", "text", "fingerprint", "next_text", "next_print").mapInArrow(_meet, _ENDS)
     return inner.unionByName(met).withColumnRenamed("key", key)

@@ -7,9 +7,11 @@ document is taken floor(rate) times plus once more if a hash of its id (and the
 read as a number in [0, 1), is below the fraction. The per-source table has one row per
 source, so its window is as small as the list of sources.
 
-A null text has size 0; a null source is a source of its own, last in order. Rows that
+The draw is one per document, so a source's taken words have the spread of its documents:
+with few documents, or one that is most of its source, they can be far from the target.
+A null, empty or very long text is counted like any other (null: size 0); a null source is a source of its own, last in order. Rows that
 repeat a doc_id share one draw; a null id draws as the word null. Sources of size 0 get
-target 0. Extra columns are kept. An empty table gives an empty table.
+target 0. Extra columns are kept (those named like the results are replaced). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -56,11 +58,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = "mix"
 ) -> DataFrame:
-    """Every row of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies."""
-    docs = docs.withColumn("mix_size", size_of(F.col(text)))
+    """Every row of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies; columns
+    of these names in ``docs`` are replaced, unless they are the key, text or source."""
+    ours = {"mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies"}
+    if taken := ours & {key, text, source}:
+        raise ValueError(f"rename the input columns {sorted(taken)}")
+    docs = docs.drop(*ours).withColumn("mix_size", size_of(F.col(text)))
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum("mix_size").alias("source_size"))
     plan = source_targets(sizes, weights, max_repeat).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    out = docs.join(plan, docs[source].eqNullSafe(plan.mix_source)).drop("mix_source")
+    out = docs.join(plan, F.col(source).eqNullSafe(F.col("mix_source"))).drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(max_repeat)))).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (draw(F.col(key), seed) < rate - whole).cast("long")

@@ -49,6 +49,7 @@ LEAF = 32
 TREE_FROM = 8  # smaller blocks are paired directly
 STAR_YIELD = 0.1  # another round of pairs with hubs if the last linked at least this share of the classes
 SPREAD = 512  # rows of a block's main component in one lot
+SHARES = 8  # lots for the blocks of one hub and slot
 HELD = 1 << 16  # rows of a block that are held to count it; a larger one is counted in parts
 
 
@@ -440,12 +441,14 @@ def _heads(labelled: DataFrame) -> DataFrame:
 def _dealt(blocks: DataFrame) -> DataFrame:
     """Large blocks dealt to lots, blocks of one hub together. In a block of more than
     ``SPREAD`` rows those of the hub's component, which are not compared with each other, are
-    dealt over as many lots as it has ``SPREAD`` rows; all others go to each of these."""
+    dealt over as many lots as it has ``SPREAD`` rows; all others go to each of these. The
+    blocks of a hub that has so many rows are dealt over ``SHARES`` more by their key."""
     slots = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("c") / SPREAD, F.lit(1.0))))).cast("long")
     home = F.pmod(F.xxhash64("sid"), F.col("slots"))
     own = F.when(F.col("label") == F.col("hub_label"), F.array(home)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
     dealt = blocks.withColumn("slots", slots).withColumn("slot", F.explode(own))
-    return dealt.withColumn("lot", F.xxhash64("hub", "slots", "slot")).select("lot", "h", "sid", "label", "n")
+    share = F.pmod("h", F.least(F.col("slots"), F.lit(SHARES)))
+    return dealt.withColumn("lot", F.xxhash64("hub", "slots", "slot", share)).select("lot", "h", "sid", "label", "n")
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 3, den: int = 4) -> DataFrame:

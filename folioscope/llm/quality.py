@@ -10,9 +10,10 @@ mean, and a logistic curve fitted on the training documents turns its log-odds i
 probability of label 1.
 
 Training uses at most ``SAMPLE`` labelled documents (those of the smallest hash of their
-id): a bounded sample of whole texts. Everything else covers all rows.
+id), and of these, in the same order, whole ones of at most ``SAMPLE_LINES`` lines in all: a
+bounded sample, so the driver holds about 80 MB of line features. Everything else covers all rows.
 
-A null or empty text is one empty line. Without labels of both kinds every score is 0.5.
+A null or empty text is one empty line; a very long one is scored whole, line by line. Without labels of both kinds every score is 0.5.
 Rows that repeat are scored alike; extra columns are ignored; an empty table gives an
 empty table.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-SAMPLE = 4000
+SAMPLE, SAMPLE_LINES = 4000, 200_000
 THRESHOLD = 0.3
 EPOCHS = 150
 _B = np.arange(256)
@@ -199,11 +200,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([W.column(batch, "key").slice(a, b - a), W.column(batch, "label").slice(a, b - a), pa.array(rows, pa.binary())], ["key", "label", "rows"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` labelled documents; None without both labels."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model | None:
+    """Train on at most ``sample`` labelled documents and ``sample_lines`` lines; None without both labels."""
     named = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND key IS NOT NULL")
-    chosen = F.broadcast(named.orderBy(F.xxhash64("key"), "key", "label").limit(sample))  # at most ``sample`` rows
+    chosen = F.broadcast(named.orderBy(F.xxhash64("key"), "key", "label").limit(sample).withColumn("h", F.xxhash64("key")))  # at most ``sample`` rows
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
+    sizes = d.join(chosen, "key").groupBy("key", "label", "h").agg(F.sum(size).alias("lines")).collect()  # no more rows than ``chosen``
+    left, within = sample_lines, []
+    for r in sorted(sizes, key=lambda r: (r.h, r.key, r.label)):
+        if r.lines <= left:
+            within.append((r.key, r.label))
+            left -= r.lines
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(within, "key long, label int"))
     got = sorted(d.join(chosen, "key").select("key", "label", "text").mapInArrow(_features, "key long, label int, rows binary").toLocalIterator(), key=lambda r: (r.key, r.label, bytes(r.rows)))
     if len({r.label for r in got}) < 2:
         return None

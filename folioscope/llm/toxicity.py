@@ -234,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     named = written(named)
     first = lexicon(labelled(docs, named, key, text))
     raw = written(scan(docs, first, key, text, spans=False))
-    by = raw.join(named.hint("merge"), "key").groupBy(F.round(F.least(F.greatest(F.col("stat"), F.lit(-50.0)), F.lit(200.0)), 1).alias("bin"), "label").agg(F.count("*").alias("c"), F.avg(F.log("n_tokens")).alias("ln"))
+    by = raw.join(named.hint("merge"), "key").groupBy(F.round(F.least(F.greatest(F.col("stat"), F.lit(-50.0)), F.lit(200.0)), 1).alias("bin"), "label").agg(F.count("*").alias("c"))
     rows = by.collect()  # bins of a bounded range
     bins: dict = {}
     for r in rows:

@@ -5,11 +5,14 @@ by a skippable frame with the seek table (sizes of every frame). The archive tab
 row per frame, in order: ``bundle``, ``seq``, ``data`` (the frame's bytes) and ``records``
 (record id, offset in the decompressed frame, length). Concatenating a bundle's ``data``
 by ``seq`` gives the .warc.zst file; any reader of the seekable format can open it. Rows
-go through Spark's committer, so a lost executor's bundle is written anew.
+go through Spark's committer, so a lost executor's bundle is written anew. Records are read
+back one by one from their offsets in the frame. Payloads are dealt by id and digest, so
+neither empty pages nor one page with very many copies meet in one task; only ids are joined
+by digest.
 
 Of the records with equal payloads of at least ``min_bytes`` bytes, the one with the
 smallest id is a response and the others revisit it; the payload is not stored again.
-A null html is an empty payload. Rows that repeat the smallest id with the same payload
+A null html is an empty payload; a very long one is a frame of its own. Rows that repeat the smallest id with the same payload
 are responses too; a null id is written as ``null`` and is never referred to while
 another id exists. Extra columns are ignored; an empty table gives an empty archive.
 """
@@ -116,28 +119,34 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """The archive table of all pages; write it as Parquet."""
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    large = p.where(F.octet_length("payload") >= min_bytes)
+    large = p.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    rows = p.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    named = lambda d: d.withColumns({"none": F.col("page_id").isNull(), "at": F.coalesce("page_id", F.lit(0))})
+    marks = named(large.distinct().join(firsts, "digest")).select("none", "at", "digest", "first")
+    rows = named(p).join(marks, ["none", "at", "digest"], "left").select("page_id", "url", "payload", "digest", "first")
     return rows.mapInArrow(_bundles, ARCHIVE)
 
 
-def parse_records(data: bytes) -> Iterator[tuple]:
-    """The records of a decompressed frame, in RECORD's columns; digests are checked."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        block = data[end + 4 : end + 4 + int(head["Content-Length"])]
-        at = end + 4 + len(block) + 4
-        cut = block.index(b"\r\n\r\n") + 4
-        http = dict(x.split(b": ", 1) for x in block[: cut - 4].split(b"\r\n")[1:])
-        digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-        revisit = head["WARC-Type"] == "revisit"
-        payload = None if revisit else block[cut:]
-        if not revisit and hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError(f"{head['WARC-Record-ID']}: payload does not match its digest")
-        yield page_of(head["WARC-Record-ID"]), head["WARC-Type"], page_of(head.get("WARC-Refers-To")), int(http[b"Content-Length"]), digest, head.get("WARC-Target-URI"), payload
+def parse_record(data: bytes) -> tuple:
+    """One record in RECORD's columns; its digest is checked."""
+    end = data.index(b"\r\n\r\n")
+    head = dict(x.split(": ", 1) for x in data[:end].decode().split("\r\n")[1:])
+    block = data[end + 4 : end + 4 + int(head["Content-Length"])]
+    cut = block.index(b"\r\n\r\n") + 4
+    http = dict(x.split(b": ", 1) for x in block[: cut - 4].split(b"\r\n")[1:])
+    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+    revisit = head["WARC-Type"] == "revisit"
+    payload = None if revisit else block[cut:]
+    if not revisit and hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"{head['WARC-Record-ID']}: payload does not match its digest")
+    return page_of(head["WARC-Record-ID"]), head["WARC-Type"], page_of(head.get("WARC-Refers-To")), int(http[b"Content-Length"]), digest, head.get("WARC-Target-URI"), payload
+
+
+def frame_of(bundle: bytes, seq: int) -> bytes:
+    """One decompressed frame of a whole bundle, found by its seek table."""
+    sizes = read_seek_table(bundle)
+    start = sum(packed for packed, _ in sizes[:seq])
+    return zstandard.ZstdDecompressor().decompress(bundle[start : start + sizes[seq][0]], max_output_size=sizes[seq][1])
 
 
 def _unpack(with_payload: bool):
@@ -146,25 +155,25 @@ def _unpack(with_payload: bool):
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         names = [c.split()[0] for c in RECORD.split(", ")]
         for batch in batches:
-            for frame in batch.column(batch.schema.get_field_index("data")):
-                packed = frame.as_py()
-                if struct.unpack("<I", packed[:4])[0] == SKIPPABLE:
-                    continue
-                rows = [r if with_payload else (*r[:-1], None) for r in parse_records(unpress.decompress(packed))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            for packed, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if wanted:  # a seek table has no records
+                    frame = unpress.decompress(packed.as_py())
+                    rows = [parse_record(frame[r["offset"] : r["offset"] + r["length"]]) for r in wanted]
+                    rows = [r if with_payload else (*r[:-1], None) for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
 
 def records(stored: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of an archive table."""
-    return stored.select("data").mapInArrow(_unpack(with_payload), RECORD)
+    """Every record that an archive table (or rows of it with some of their records) names."""
+    return stored.select("data", "records").mapInArrow(_unpack(with_payload), RECORD)
 
 
 def fetch(stored: DataFrame, ids: DataFrame, key: str = "page_id") -> DataFrame:
-    """Records by id: only the frames that hold a wanted id are opened."""
+    """Records by id: only the frames that hold a wanted id are opened, and in them only the
+    wanted offsets are read."""
     wanted = ids.select(F.when(F.col(key).isNull(), "<urn:page:null>").otherwise(F.concat(F.lit("<urn:page:"), F.col(key).cast("string"), F.lit(">"))).alias("id")).distinct()
-    index = stored.select("bundle", "seq", F.explode("records").alias("r")).select("bundle", "seq", F.col("r.id").alias("id"))
-    frames = index.join(wanted, "id", "left_semi").select("bundle", "seq").distinct()
-    found = records(stored.join(frames, ["bundle", "seq"], "left_semi"))
-    return found.join(ids.select(F.col(key).alias("page_id")).distinct(), "page_id", "left_semi")
+    index = stored.select("bundle", "seq", F.explode("records").alias("r")).select("bundle", "seq", "r", F.col("r.id").alias("id"))
+    frames = index.join(wanted, "id", "left_semi").groupBy("bundle", "seq").agg(F.collect_list("r").alias("records"))  # of one frame
+    return records(stored.drop("records").join(frames, ["bundle", "seq"]))
