@@ -1,14 +1,14 @@
 """Line and text predicates as Column functions: no shuffle, no Python.
 
 All are null-safe in the sense that a null text gives a null result for text functions and
-false (or 0) for predicates and counts.
+false (or 0) for predicates and counts. Predicates clean the text first; ``clean=True`` says
+that it is clean already, as the text of a line table is, so that a plan with many predicates
+over one column cleans nothing twice.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Patterns and word lists that decide what counts as a heading.
@@ -45,31 +45,36 @@ def normalize_whitespace(c: Column | str) -> Column:
 
 
 def clean_line(c: Column | str) -> Column:
-    return strip(F.regexp_replace(normalize_whitespace(c), r"(?U)\s+", " "))
+    """Any white space, NBSP too, to single spaces; no soft hyphens; trimmed."""
+    return F.trim(F.regexp_replace(F.translate(_c(c), "\u00a0\u00ad", " "), r"(?U)\s+", " "))
+
+
+def _cleaned(c: Column | str, clean: bool) -> Column:
+    return _c(c) if clean else clean_line(c)
 
 
-def counting_key(c: Column | str) -> Column:
-    return strip(F.lower(clean_line(c)), " \\-—–_")
+def counting_key(c: Column | str, clean: bool = False) -> Column:
+    return strip(F.lower(_cleaned(c, clean)), " \\-—–_")
 
 
-def is_page_number(c: Column | str) -> Column:
-    t = clean_line(c)
+def is_page_number(c: Column | str, clean: bool = False) -> Column:
+    t = _cleaned(c, clean)
     return F.coalesce(t == "", F.lit(True)) | matches(t, rf"(?i)^(?:(?:page\s+)?\d{{1,4}}|(?:page\s+)?\d{{1,4}}\s+(?:of|/)\s+\d{{1,4}}|{ROMAN})$")
 
 
-def is_numeric_only(c: Column | str) -> Column:
-    t = strip(F.regexp_replace(clean_line(c), r"[.)]+$", ""))
+def is_numeric_only(c: Column | str, clean: bool = False) -> Column:
+    t = F.rtrim(F.regexp_replace(_cleaned(c, clean), r"[.)]+$", ""))
     return matches(t, rf"(?i)^(?:\d{{1,3}}|{ROMAN})$")
 
 
-def is_all_caps(c: Column | str) -> Column:
-    t = clean_line(c)
+def is_all_caps(c: Column | str, clean: bool = False) -> Column:
+    t = _cleaned(c, clean)
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     return F.coalesce((letters > 0) & (F.regexp_count(t, F.lit(r"\p{Lu}")) >= letters * 0.8), F.lit(False))
 
 
-def is_title_case(c: Column | str) -> Column:
-    words = F.filter(F.split(clean_line(c), " "), lambda w: w.rlike("[A-Za-z]"))
+def is_title_case(c: Column | str, clean: bool = False) -> Column:
+    words = F.filter(F.split(_cleaned(c, clean), " "), lambda w: w.rlike("[A-Za-z]"))
     good = F.filter(words, lambda w: w.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))
     return F.coalesce((F.size(words) > 0) & (F.size(good) >= F.size(words) * 0.7), F.lit(False))
 
@@ -78,25 +83,25 @@ def count_words(c: Column | str) -> Column:
     return F.coalesce(F.regexp_count(_c(c), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _matter(c: Column | str, words: str) -> Column:
-    t = clean_line(c)
-    return matches(t, rf"(?i)^(?:{words})\b") & ((count_words(t) <= 4) | is_all_caps(t) | is_title_case(t))
+def _matter(c: Column | str, words: str, clean: bool) -> Column:
+    t = _cleaned(c, clean)
+    return matches(t, rf"(?i)^(?:{words})\b") & ((count_words(t) <= 4) | is_all_caps(t, True) | is_title_case(t, True))
 
 
-def is_front_heading(c: Column | str) -> Column:
-    return _matter(c, FRONT_WORDS)
+def is_front_heading(c: Column | str, clean: bool = False) -> Column:
+    return _matter(c, FRONT_WORDS, clean)
 
 
-def is_back_heading(c: Column | str) -> Column:
-    return _matter(c, BACK_WORDS)
+def is_back_heading(c: Column | str, clean: bool = False) -> Column:
+    return _matter(c, BACK_WORDS, clean)
 
 
-def is_section_marker(c: Column | str) -> Column:
-    return matches(clean_line(c), SECTION)
+def is_section_marker(c: Column | str, clean: bool = False) -> Column:
+    return matches(_cleaned(c, clean), SECTION)
 
 
-def is_structured_heading(c: Column | str) -> Column:
-    t = clean_line(c)
+def is_structured_heading(c: Column | str, clean: bool = False) -> Column:
+    t = _cleaned(c, clean)
     return matches(t, STRUCTURED) | matches(t, DASHED)
 
 
@@ -106,13 +111,15 @@ def prefixed_title(section: Column, title: Column) -> Column:
 
 
 def matches_optional(c: Column, pattern: str | None) -> Column:
-    """Search by a user's pattern; ValueError if it does not compile; none matches nothing."""
+    """Search by a user's pattern, of Java's dialect; ValueError if it does not compile; none
+    matches nothing."""
     if not pattern:
         return F.lit(False)
+    jvm = SparkSession.active()._jvm
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"invalid pattern {pattern!r}: {e}") from e
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # of the gateway, around Java's
+        raise ValueError(f"invalid pattern {pattern!r}") from e
     return matches(c, f"(?i){pattern}")
 
 
@@ -120,27 +127,27 @@ def has_bad_prefix(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike("^(?:" + "|".join(BAD_PREFIXES) + ")"), F.lit(False))
 
 
-def is_heading_line(c: Column | str) -> Column:
-    t = clean_line(c)
+def is_heading_line(c: Column | str, clean: bool = False) -> Column:
+    t = _cleaned(c, clean)
     words = F.size(F.split(t, " "))
     fits = (F.length(t) > 0) & (F.length(t) <= 120) & (words <= 16) & ~has_bad_prefix(t)
-    structured, numeric = is_structured_heading(t), is_numeric_only(t)
-    sentence = matches(t, r"[.?!;]$") & ~structured & ~numeric & (words > 8) & ~is_all_caps(t)
-    kinds = numeric | structured | is_front_heading(t) | is_back_heading(t) | is_section_marker(t) | is_all_caps(t) | is_title_case(t)
+    structured, numeric = is_structured_heading(t, True), is_numeric_only(t, True)
+    sentence = matches(t, r"[.?!;]$") & ~structured & ~numeric & (words > 8) & ~is_all_caps(t, True)
+    kinds = numeric | structured | is_front_heading(t, True) | is_back_heading(t, True) | is_section_marker(t, True) | is_all_caps(t, True) | is_title_case(t, True)
     return F.coalesce(fits & ~sentence & kinds, F.lit(False))
 
 
-def is_body_like(c: Column | str) -> Column:
-    t = clean_line(c)
+def is_body_like(c: Column | str, clean: bool = False) -> Column:
+    t = _cleaned(c, clean)
     return F.coalesce((F.length(t) >= 80) | ((F.size(F.split(t, " ")) >= 14) & matches(t, r'[.,;:?!"]$')), F.lit(False))
 
 
-def candidate_kind(c: Column | str) -> Column:
-    return F.when(is_front_heading(c), "front").when(is_back_heading(c), "back").otherwise("chapter")
+def candidate_kind(c: Column | str, clean: bool = False) -> Column:
+    return F.when(is_front_heading(c, clean), "front").when(is_back_heading(c, clean), "back").otherwise("chapter")
 
 
-def excerpt(c: Column | str, chars: int = 900) -> Column:
-    t = clean_line(c)
+def excerpt(c: Column | str, chars: int = 900, clean: bool = False) -> Column:
+    t = _cleaned(c, clean)
     cut = F.regexp_replace(F.substring(t, 1, chars), " [^ ]*$", "")
     return F.when(F.length(t) <= chars, t).otherwise(F.concat(F.rtrim(cut), F.lit("...")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .layout import matched
 
 #: The cue lexicon and the words that are no names.
 LEXICON = {
@@ -22,10 +23,7 @@ LEXICON = {
 NO_NAMES = "I He She It We They The A An This That But And Then There When Where What Why How Chapter Part Book".split()
 NAME = r"\b(?:Mr|Mrs|Miss|Madame|Princess|Prince|Doctor|Dr)\.?\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'-]+|\b[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'-]{2,}\b"
 CONFLICT = r"\b(against|quarrel|argue|angry|refuse|jealous|struggle|fight|fear|hate|threat)\b"
-REPLY = (
-    "summary string, events array<string>, characters array<string>, speaker_emotions map<string,array<string>>, character_emotions map<string,array<string>>, "
-    "narrator_emotions array<string>, narrator_tone array<string>, scene_tone array<string>, conflict string, dominant_perspective string"
-)
+WARNING = "heuristic context fallback"
 
 
 def cues(text: Column, lexicon: dict[str, str] | None = None) -> Column:
@@ -40,12 +38,15 @@ def has_approval(text: Column) -> Column:
     return cue & ~T.matches(t, r"\b(not|never|no|without|rather than|instead of|refuse(?:d)? to)\b.{0,35}\b(approve|approved|praise|praised)\b")
 
 
-def names(rows: DataFrame, keys: list[str], text: str = "text", limit: int = 8) -> DataFrame:
-    """(keys, name, n, rank): the most frequent names of a row, ties by first seen."""
+def _name_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     found = rows.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"(?U){NAME}"), F.lit(0))).alias("pos", "raw"))
     name = T.strip(T.clean_line("raw"), r".,;:!?\"'()\[\]")
-    named = found.withColumn("name", name).where((F.length("name") > 2) & ~F.split("name", " ")[0].isin(NO_NAMES))
-    n = named.groupBy(*keys, "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    return found.withColumn("name", name).where((F.length("name") > 2) & ~F.split("name", " ")[0].isin(NO_NAMES))
+
+
+def names(rows: DataFrame, keys: list[str], text: str = "text", limit: int = 8) -> DataFrame:
+    """(keys, name, n, rank): the most frequent names of a row, ties by first seen."""
+    n = _name_rows(rows, keys, text).groupBy(*keys, "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "pos"))
     return n.withColumn("rank", rank).where(F.col("rank") <= limit).drop("pos")
 
@@ -53,21 +54,35 @@ def names(rows: DataFrame, keys: list[str], text: str = "text", limit: int = 8)
 def heuristic(scenes: DataFrame, lexicon: dict[str, str] | None = None, quote_min: int = 4) -> DataFrame:
     """Scenes (book_id, scene_pos, text, ...) with a heuristic context in columns.
 
-    Only small features of the neighbours (the excerpt's length) are taken through the
-    window, not their texts.
+    ``characters`` are the scene's eight most frequent names, those of the scene before (its
+    twelve) first and then by name; the first scene's are by frequency. Of the neighbours only
+    names go through the window, not texts. In dialogue the first four characters get the
+    first four tones, else the tones are the narrator's.
     """
+    keys = ["book_id", "scene_pos"]
     t = F.coalesce(F.col("text"), F.lit(""))
     tones, quotes, direct = cues(t, lexicon), F.regexp_count(t, F.lit("[\"']")), has_approval(t)
+    ranked = names(scenes, keys, limit=12).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("ranked"))
     w = Window.partitionBy("book_id").orderBy("scene_pos")
-    some = F.lag(F.lit(1)).over(w).isNotNull() | F.lead(F.lit(1)).over(w).isNotNull()
-    soft = F.arrays_overlap("tones", F.array(F.lit("caring"), F.lit("remorse"), F.lit("sadness")))
-    out = scenes.withColumns({"tones": tones, "quotes": quotes, "direct": direct, "neighbour": some})
+    some = matched(scenes.select(*keys), ranked, keys, "left").withColumn("known", F.coalesce(F.transform("ranked", lambda x: x["name"]), F.array().cast("array<string>")))
+    some = some.withColumns({"before": F.lag("known").over(w), "neighbour": F.lag(F.lit(1)).over(w).isNotNull() | F.lead(F.lit(1)).over(w).isNotNull()})
+    eight = F.slice("known", 1, 8)
+    again = lambda x: F.struct((~F.array_contains("before", x)).alias("new"), x.alias("name"))
+    ordered = F.when(F.col("before").isNull(), eight).otherwise(F.transform(F.array_sort(F.transform(eight, again)), lambda x: x["name"]))
+    some = some.select(*keys, "neighbour", ordered.alias("characters"))
+    out = matched(scenes.withColumns({"tones": tones, "quotes": quotes, "direct": direct}), some.dropDuplicates(keys), keys)
+    none, soft = F.array().cast("array<string>"), F.arrays_overlap("tones", F.array(F.lit("caring"), F.lit("remorse"), F.lit("sadness")))
+    spoken = F.col("quotes") >= quote_min
+    four = F.when(F.size("tones") > 0, F.slice("characters", 1, 4)).otherwise(none)
     return out.withColumns({
-        "dominant_perspective": F.when(F.col("quotes") >= quote_min, "dialogue").otherwise("narrator"),
+        "dominant_perspective": F.when(spoken, "dialogue").otherwise("narrator"),
+        "narrator_emotions": F.when(spoken, none).otherwise(F.col("tones")),
+        "character_emotions": F.map_from_arrays(F.when(spoken, four).otherwise(none), F.transform(F.when(spoken, four).otherwise(none), lambda _: F.slice("tones", 1, 4))),
         "approval_meaning": F.when(F.col("direct"), "direct approval").when(soft, "compassion/moral acceptance").otherwise("unclear"),
         "approval_present": F.col("direct") | F.arrays_overlap("tones", F.array(F.lit("caring"), F.lit("remorse"))),
         "conflict": T.matches(F.lower(t), CONFLICT),
         "confidence": F.least(F.lit(0.75), 0.45 + F.when(F.size("tones") > 0, 0.15).otherwise(0.0) + F.when(F.col("quotes") > 0, 0.05).otherwise(0.0) + F.when(F.col("neighbour"), 0.05).otherwise(0.0)),
+        "warnings": F.array(F.lit(WARNING)),
     })
 
 
@@ -79,20 +94,22 @@ def reply_context(reply: Column, source: str = "llm", confidence: float = 0.78)
     def listed(k: str) -> Column:
         raw = text(k)
         many = F.from_json(raw, "array<string>")
-        return F.when(raw.isNull() | raw.startswith("{"), F.array().cast("array<string>")).when(raw.startswith("["), many).otherwise(F.array(raw))
+        none = F.array().cast("array<string>")
+        return F.when(raw.isNull() | raw.startswith("{") | (raw == ""), none).when(raw.startswith("["), F.coalesce(many, none)).otherwise(F.array(raw))
 
-    def mapped(k: str) -> Column:
-        raw = text(k)
+    def mapped(raw: Column) -> Column:
         ok = F.coalesce(raw.startswith("{"), F.lit(False))
         pairs = F.transform(F.json_object_keys(F.when(ok, raw).otherwise(F.lit("{}"))), lambda n: F.struct(n.alias("k"), F.call_function("get_json_object", raw, F.concat(F.lit("$['"), n, F.lit("']"))).alias("v")))
-        value = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+        value = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v.startswith("{") | (v == ""), F.array().cast("array<string>")).otherwise(F.array(v))
         return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), value(p["v"]).alias("v"))))
 
-    speakers, people = mapped("speaker_emotions"), mapped("character_emotions")
+    speakers = text("speaker_emotions")
+    people = F.when(text("character_emotions").isNull(), speakers).otherwise(text("character_emotions"))
+    approval = F.from_json(text("approval_interpretation"), "is_present boolean, meaning string, is_direct_approval boolean, explanation string")
     fields = [
-        text("summary").alias("summary"), listed("characters").alias("characters"), speakers.alias("speaker_emotions"),
-        F.when(F.size(people) > 0, people).otherwise(speakers).alias("character_emotions"), listed("narrator_tone").alias("narrator_tone"),
-        listed("scene_tone").alias("scene_tone"), text("conflict").alias("conflict"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"),
+        F.coalesce(text("summary"), F.lit("")).alias("summary"), listed("events").alias("events"), listed("characters").alias("characters"), mapped(speakers).alias("speaker_emotions"), mapped(people).alias("character_emotions"),
+        listed("narrator_emotions").alias("narrator_emotions"), listed("narrator_tone").alias("narrator_tone"), listed("scene_tone").alias("scene_tone"), text("conflict").alias("conflict"), approval.alias("approval"),
+        F.coalesce(text("dominant_perspective"), F.lit("unknown")).alias("dominant_perspective"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.array().cast("array<string>").alias("warnings"),
     ]
     return F.when(F.json_object_keys(reply).isNotNull(), F.struct(*fields))
 
@@ -107,7 +124,29 @@ def prompt(title: Column, text: Column, before: Column, after: Column) -> Column
     )
 
 
-def chosen(scenes: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
-    """Heuristic rows with the reply's struct where it is valid, and the source used."""
-    joined = scenes.join(replies, keys, "left").withColumn("llm", reply_context(F.col("reply")))
-    return joined.withColumn("source", F.when(F.col("llm").isNotNull(), "llm").otherwise("heuristic")).drop("reply")
+def chosen(scenes: DataFrame, replies: DataFrame, keys: list[str], use_heuristic: bool = True) -> DataFrame:
+    """Scenes with the reply's struct (``llm``) where it is valid, and the source used: llm, else
+    heuristic; without heuristics llm_error for an invalid reply and none for no reply."""
+    asked = replies.select(*keys, "reply").dropDuplicates(keys).withColumn("asked", F.lit(True))
+    joined = matched(scenes, asked, keys, "left").withColumn("llm", reply_context(F.col("reply")))
+    other = F.lit("heuristic") if use_heuristic else F.when(F.col("asked").isNotNull(), "llm_error").otherwise("none")
+    failed = F.col("asked").isNotNull() & F.col("llm").isNull()
+    return joined.withColumns({
+        "source": F.when(F.col("llm").isNotNull(), "llm").otherwise(other),
+        "context_confidence": F.when(F.col("llm").isNotNull(), F.col("llm.confidence")).when(F.lit(use_heuristic), F.col("confidence") if "confidence" in scenes.columns else F.lit(0.45)).otherwise(0.0),
+        "error": F.when(failed, F.concat(F.lit("invalid reply for scene "), F.concat_ws(".", *[F.col(k).cast("string") for k in keys]))),
+    }).drop("reply", "asked")
+
+
+def diagnostics(chosen_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per book: contexts by source, the first ten errors and warnings."""
+    keys = keys or ["book_id"]
+    count = lambda k: F.count_if(F.col("source") == k)
+    g = chosen_rows.groupBy(*keys).agg(
+        count("llm").alias("llm_contexts"), count("heuristic").alias("heuristic_contexts"), count("llm_error").alias("llm_error_contexts"), count("none").alias("no_contexts"),
+        F.slice(F.array_sort(F.collect_set("error")), 1, 10).alias("errors"),
+    )
+    warn = F.array_compact(F.array(
+        F.when(F.col("llm_contexts") == 0, "language model requested, but no scene received a context from it"), F.when(F.size("errors") > 0, F.concat(F.lit("first error: "), F.try_element_at("errors", F.lit(1)))),
+    ))
+    return g.withColumn("warnings", warn)

@@ -1,42 +1,37 @@
-"""Heading candidates, their selection, and chapters.
+"""Heading candidates, their selection, the body window, and chapters.
 
-Works on a line table with global_index and gaps. Candidate groups are at most five lines,
-so they come from a window of five rows; folds over a page's or a book's candidates are
-``aggregate`` over a sorted array of candidates only, never of lines.
+Works on a line table with clean texts. Candidate groups are at most five lines, so they come
+from a window of five rows; folds over a page's or a book's candidates are ``aggregate`` over a
+sorted array of candidates only, never of lines. Lines meet their book's headings through one
+sorted array of headings a book, so no window runs over all lines of a book.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .layout import page_medians, paragraphs, with_gaps, with_index
-
-CANDIDATE = "start_global long, end_global long, page_num int, kind string, score double, title string"
-
+from .cut import cut
+from .layout import is_centered, matched, page_medians, paragraphs, settled, with_gaps, with_index
 
-def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """withColumns behind a generator, so that long expressions are computed once and not
-    copied into every expression that uses them."""
-    names = [c for c in df.columns if c not in columns]
-    one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
-    return df.select(*names, one.alias("settled")).select(*names, *[F.col(f"settled.{k}").alias(k) for k in columns])
+PAGE = ["book_id", "page_num"]
 
 
 def marked_lines(lines: DataFrame) -> DataFrame:
     """Lines with the flags that candidates need, computed once."""
-    m = with_gaps(with_index(lines)).join(page_medians(lines), ["book_id", "page_num"])
+    m = matched(with_gaps(with_index(lines)), page_medians(lines), PAGE)
     t = F.col("text")
-    m = m.withColumn("place", F.row_number().over(Window.partitionBy("book_id", "page_num").orderBy("line_no")) - 1)
-    m = _settled(m, {
-        "structured": T.is_structured_heading(t), "front": T.is_front_heading(t), "back": T.is_back_heading(t), "numeric": T.is_numeric_only(t),
-        "heading": T.is_heading_line(t), "body": T.is_body_like(t), "titled": T.is_title_case(t),
-        "centered": F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2) <= 0.14 * F.col("page_width"),
+    m = m.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no")) - 1)
+    m = settled(m, {
+        "structured": T.is_structured_heading(t, True), "front": T.is_front_heading(t, True), "back": T.is_back_heading(t, True), "numeric": T.is_numeric_only(t, True),
+        "heading": T.is_heading_line(t, True), "body": T.is_body_like(t, True), "titled": T.is_title_case(t, True), "number": T.is_page_number(t, True), "centered": is_centered(),
     })
     m = m.withColumn("explicit", F.col("structured") | F.col("front") | F.col("back"))
     words = F.size(F.split(t, " "))
-    plain = ~F.col("body") & ~F.col("explicit") & (words <= 12) & (F.length(t) <= 90)
+    plain = ~F.col("body") & ~F.col("explicit") & ~F.col("number") & (words <= 12) & (F.length(t) <= 90)
     large = F.col("font_size") >= 1.15 * F.col("median_font")
     narrow = F.col("centered") & (F.col("x1") - F.col("x0") <= 0.78 * F.col("page_width")) & F.col("titled")
     return m.withColumn("subtitle", plain & (large | narrow))
@@ -44,11 +39,11 @@ def marked_lines(lines: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Scored candidates before overlaps are resolved."""
-    page = Window.partitionBy("book_id", "page_num").orderBy("line_no")
+    page = Window.partitionBy(*PAGE).orderBy("line_no")
     fields = ["text", "y0", "font_size", "centered", "gap_before", "explicit", "numeric", "heading", "body", "subtitle", "global_index"]
     group = F.collect_list(F.struct(*fields)).over(page.rowsBetween(0, 4))
     m = marked_lines(lines)
-    n = F.count("*").over(Window.partitionBy("book_id", "page_num"))
+    n = F.count("*").over(Window.partitionBy(*PAGE))
     m = m.withColumns({"group": group, "n": n, "after": F.lead("body", 5).over(page)})
     top = F.greatest(F.lit(8), F.least(F.col("n"), F.lit(20)))
     near = F.col("y0") <= 0.40 * F.col("page_height")
@@ -69,14 +64,16 @@ def candidates(lines: DataFrame) -> DataFrame:
     title = F.when(~F.col("explicit") & ~F.col("numeric") & near & (F.col("place") < top), grown(3, lambda x: x["heading"], 2.2)).otherwise(none)
     sized = starts.withColumn("k", F.explode(F.array_distinct(F.concat(single, numeric, explicit, title))))
     taken = F.slice("group", 1, F.col("k"))
-    sized = _settled(sized, {"title": F.array_join(F.transform(taken, lambda x: x["text"]), " "), "last": F.element_at(taken, -1), "next": F.try_element_at("group", F.col("k") + 1)})
+    sized = settled(sized, {"title": F.array_join(F.transform(taken, lambda x: x["text"]), " "), "last": F.element_at(taken, -1), "next": F.try_element_at("group", F.col("k") + 1)})
     return scored(sized, taken)
 
 
 def scored(c: DataFrame, taken: Column) -> DataFrame:
     """The additive score; 5.0 and more for chapters, 4.5 for front and back matter."""
     t, k = F.col("title"), F.col("k")
-    c = _settled(c, {"kind": T.candidate_kind(t), "known": F.col("structured") | T.is_structured_heading(t), "display": T.is_all_caps(t) | T.is_title_case(t)})
+    c = settled(c, {
+        "kind": T.candidate_kind(t, True), "known": F.col("structured") | T.is_structured_heading(t, True), "display": T.is_all_caps(t, True) | T.is_title_case(t, True), "norm": T.counting_key(t, True),
+    })
     kind, structured = F.col("kind"), F.col("known")
     h, y = F.col("page_height"), F.col("y0")
     words = F.size(F.split(t, " "))
@@ -99,8 +96,16 @@ def scored(c: DataFrame, taken: Column) -> DataFrame:
     )
     loose = (kind == "chapter") & ~F.col("structured") & ~first_numeric
     score = score + F.when(loose, plus(~centered & ~large, -1.2) + plus(y > 0.38 * h, -1.5) + plus(k == 1, -2.5) + plus(words > 18, -2.0)).otherwise(0.0)
+    tag = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), name)
+    reasons = F.array_compact(F.array(
+        F.when(structured, "structured-heading").when(kind != "chapter", F.concat(kind, F.lit("-heading"))).when(first_numeric, "numeric-heading").otherwise("title-only"),
+        tag(~structured & (kind == "chapter") & first_numeric & (k > 1), "numeric-with-subtitle"),
+        F.when(y <= 0.12 * h, "very-top").when(y <= 0.25 * h, "top").when((kind == "chapter") & (y <= 0.45 * h) & F.col("structured"), "midpage-structured"),
+        tag(centered, "centered"), tag(large, "large-font"), tag(words <= 14, "short"), tag(F.col("display"), "display-case"),
+        tag((F.col("gap_before") >= wide) | (F.col("place") == 0), "isolated-before"), tag(F.coalesce(ahead, F.col("gap_after")) >= wide, "isolated-after"), tag(F.col("next")["body"], "followed-by-body"),
+    ))
     out = c.select(
-        "book_id", "page_num", F.col("global_index").alias("start_global"), F.col("last")["global_index"].alias("end_global"), "title", "kind", F.round(score, 3).alias("score"),
+        "book_id", "page_num", "norm", reasons.alias("reasons"), F.col("global_index").alias("start_global"), F.col("last")["global_index"].alias("end_global"), "title", "kind", F.round(score, 3).alias("score"),
         structured.alias("structured"), first_numeric.alias("numeric"), F.coalesce(F.col("next")["body"], F.lit(False)).alias("followed"),
     )
     return out.where(F.col("score") >= F.when(F.col("kind") == "chapter", 5.0).otherwise(4.5))
@@ -125,18 +130,24 @@ def _folded(c: DataFrame, keys: list[str], clash) -> DataFrame:
 def resolved(c: DataFrame) -> DataFrame:
     """Overlaps on a page, then equal titles at most one page apart."""
     one = _folded(c, ["book_id", "page_num"], lambda last, x: x["start_global"] <= last["end_global"])
-    near = lambda last, x: (F.lower(last["title"]) == F.lower(x["title"])) & (x["page_num"] - last["page_num"] <= 1)
+    near = lambda last, x: (last["norm"] == x["norm"]) & (x["page_num"] - last["page_num"] <= 1)
     return _folded(one, ["book_id"], near)
 
 
-def without_contents(c: DataFrame) -> DataFrame:
-    """Candidates that are not lines of a table of contents."""
+def contents_candidates(c: DataFrame) -> DataFrame:
+    """Candidates that are lines of a table of contents: three or more "chapter" headings on a
+    page that is near a contents heading, or dense."""
     chapters = c.where(F.lower("title").startswith("chapter") & F.col("structured"))
-    pages = chapters.groupBy("book_id", "page_num").agg(F.count("*").alias("n"), (F.max("end_global") - F.min("start_global") + 1).alias("span")).where("n >= 3")
+    pages = chapters.groupBy(*PAGE).agg(F.count("*").alias("n"), (F.max("end_global") - F.min("start_global") + 1).alias("span")).where("n >= 3")
     heads = c.where((F.col("kind") == "front") & F.lower("title").rlike(r"contents")).select("book_id", F.col("page_num").alias("head_page"))
-    near = pages.join(heads, "book_id", "left").where((F.abs(F.col("page_num") - F.col("head_page")) <= 1) | ((F.col("n") >= 6) & (F.col("span") <= 3 * F.col("n"))))
-    listed = chapters.join(near.select("book_id", "page_num").distinct(), ["book_id", "page_num"], "left_semi")
-    return c.join(listed.select("book_id", "start_global"), ["book_id", "start_global"], "left_anti")
+    near = matched(pages, heads, ["book_id"], "left").where((F.abs(F.col("page_num") - F.col("head_page")) <= 1) | ((F.col("n") >= 6) & (F.col("span") <= 3 * F.col("n"))))
+    return matched(chapters, near.select(*PAGE).distinct(), PAGE)
+
+
+def without_contents(c: DataFrame) -> DataFrame:
+    """Candidates that are not lines of a table of contents."""
+    listed = contents_candidates(c).select("book_id", "start_global").withColumn("listed", F.lit(True))
+    return matched(c, listed, ["book_id", "start_global"], "left").where("listed IS NULL").drop("listed")
 
 
 def selected(c: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
@@ -146,7 +157,7 @@ def selected(c: DataFrame, include: str | None = None, exclude: str | None = Non
     major = F.col("structured") | F.col("numeric") | (~t.rlike("^(?:by|from|to|with|concerning|comments) ") & (F.size(F.split("title", " ")) <= 10) & (F.col("score") >= 7) & F.col("followed"))
     c = c.where("kind = 'chapter'").withColumn("major", major)
     c = c.withColumn("any_major", F.max("major").over(book)).where("major OR NOT any_major").drop("any_major")
-    marker = T.is_section_marker("title")
+    marker = T.is_section_marker("title", True)
     strong = F.sum((F.col("structured") & ~marker).cast("int")).over(book)
     c = c.withColumn("strong", strong).where((F.col("strong") < 3) | F.col("structured")).drop("major", "strong")
     if include:
@@ -154,41 +165,154 @@ def selected(c: DataFrame, include: str | None = None, exclude: str | None = Non
     return c.where(~T.matches_optional(F.col("title"), exclude))
 
 
-def chapters(lines: DataFrame, chosen: DataFrame, backs: DataFrame | None = None) -> DataFrame:
-    """Lines between chosen headings -> (book_id, chapter_index, chapter_title, text, pages).
+def aliased(chosen: DataFrame, contents: DataFrame) -> DataFrame:
+    """Where a book has as many contents lines as chapters, its n-th numeric title becomes the
+    title of the n-th contents line."""
+    order, book = Window.partitionBy("book_id").orderBy("start_global"), Window.partitionBy("book_id")
+    ranked = lambda c: c.withColumns({"nth": F.row_number().over(order), "of": F.count("*").over(book)})
+    titles = ranked(contents).select("book_id", "nth", "of", F.col("title").alias("listed"))
+    named = matched(ranked(chosen), titles, ["book_id", "nth", "of"], "left")
+    change = F.col("listed").isNotNull() & T.is_numeric_only("title", True)
+    reasons = F.when(change, F.array_union("reasons", F.array(F.lit("toc-title-alias")))).otherwise(F.col("reasons"))
+    return named.withColumns({"reasons": reasons, "title": F.when(change, F.col("listed")).otherwise(F.col("title"))}).drop("nth", "of", "listed")
+
 
-    Headings are forward-filled over the book's lines; section markers are context for the
-    titles that follow and end the chapter before them; empty chapters are skipped; a book
-    without a chosen heading is one chapter, "Full Text".
+def body_window(
+    lines: DataFrame, chosen: DataFrame, candidates: DataFrame, keep_front: bool = False, keep_back: bool = False, start_page: int | None = None, end_page: int | None = None
+) -> DataFrame:
+    """(book_id, start_idx, end_idx, start_reason, end_reason): the lines of the main text.
+
+    It starts at the first chapter and ends before the first back-matter heading that is on the
+    last chapter's page or later, and in the last 45 % of the pages. On one page (a text file)
+    any back-matter heading counts, also one before the first chapter, which leaves the book
+    without a body; ``with_fallback`` gives such books one chapter. Lines have global_index.
     """
-    lines = with_index(lines)
-    marker = T.is_section_marker("title")
+    page = F.col("page_num")
+    book = lines.groupBy("book_id").agg(
+        F.max("global_index").alias("last_idx"), F.max("page_num").alias("total_pages"),
+        F.min(F.when(page >= F.lit(start_page), F.col("global_index"))).alias("from_page"), F.max(F.when(page <= F.lit(end_page), F.col("global_index"))).alias("to_page"),
+    )
+    first = chosen.groupBy("book_id").agg(F.min("start_global").alias("first_start"), F.max(F.struct("start_global", "page_num"))["page_num"].alias("last_chapter"))
+    book = matched(book, first, ["book_id"], "left")
+    backs = candidates.where("kind = 'back'").select("book_id", F.col("page_num").alias("back_page"), "start_global")
+    usable = F.col("back_page") >= F.greatest(F.coalesce("last_chapter", F.lit(1)), F.ceil(0.55 * F.col("total_pages")))
+    stops = matched(backs, book, ["book_id"]).groupBy("book_id").agg(F.min(F.when(usable, F.col("start_global"))).alias("stop"), F.lit(True).alias("has_back"))
+    book = matched(book, stops, ["book_id"], "left")
+    if start_page is not None:
+        start, why = F.coalesce("from_page", F.lit(0)), F.lit(f"manual-start-page-{start_page}")
+    elif keep_front:
+        start, why = F.lit(0), F.lit("keep-front-matter")
+    else:
+        start, why = F.coalesce("first_start", F.lit(0)), F.when(F.col("first_start").isNotNull(), "first-chapter-candidate").otherwise("no-chapters-detected")
+    if end_page is not None:
+        end, because = F.coalesce("to_page", "last_idx"), F.lit(f"manual-end-page-{end_page}")
+    elif keep_back:
+        end, because = F.col("last_idx"), F.lit("keep-back-matter")
+    else:
+        end = F.coalesce(F.col("stop") - 1, F.col("last_idx"))
+        because = F.when(F.col("has_back").isNull(), "no-back-matter-candidate").when(F.col("stop").isNull(), "no-usable-back-matter-candidate").otherwise("first-back-matter-candidate-after-body")
+    return book.select("book_id", start.alias("start_idx"), end.alias("end_idx"), why.alias("start_reason"), because.alias("end_reason"))
+
+
+def body_lines(lines: DataFrame, window: DataFrame) -> DataFrame:
+    inside = F.col("global_index").between(F.col("start_idx"), F.col("end_idx"))
+    return matched(lines, window.select("book_id", "start_idx", "end_idx"), ["book_id"]).where(inside).drop("start_idx", "end_idx")
+
+
+def _joined(body: DataFrame, keys: list[str]) -> DataFrame:
+    """The rebuilt text of every group of lines, and its pages."""
+    texts = paragraphs(body, keys)
+    whole = texts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    pages = body.groupBy(*keys).agg(F.min("page_num").alias("start_page"), F.max("page_num").alias("end_page"))
+    return matched(whole, pages, keys)
+
+
+def full_text(body: DataFrame) -> DataFrame:
+    """Each book's body as one chapter."""
+    return _joined(body, ["book_id"]).select("book_id", F.lit(1).alias("chapter_index"), F.lit("Full Text").alias("chapter_title"), "text", "start_page", "end_page")
+
+
+def chapters(body: DataFrame, chosen: DataFrame, window: DataFrame) -> DataFrame:
+    """Body lines between chosen headings -> (book_id, chapter_index, chapter_title, text, pages).
+
+    Section markers are context for the titles that follow and end the chapter before them,
+    unless a book has no other headings; empty chapters are skipped; a book whose headings give
+    no chapter is one, "Full Text".
+    """
+    inside = F.col("start_global").between(F.col("start_idx"), F.col("end_idx"))
+    heads = matched(chosen, window.select("book_id", "start_idx", "end_idx"), ["book_id"]).where(inside)
+    marker = T.is_section_marker("title", True)
     others = F.max((~marker).cast("int")).over(Window.partitionBy("book_id"))
-    heads = chosen.withColumn("marker", marker & (others == 1)).select("book_id", F.col("start_global").alias("global_index"), "end_global", "title", "marker")
-    order = Window.partitionBy("book_id").orderBy("global_index")
-    joined = lines.join(heads, ["book_id", "global_index"], "left")
-    filled = joined.withColumns({
-        "head": F.last(F.when(F.col("title").isNotNull(), F.struct("global_index", "end_global", "title", "marker")), ignorenulls=True).over(order),
-        "section": F.last(F.when(F.col("marker"), F.col("title")), ignorenulls=True).over(order),
-        "any_head": F.max(F.col("title").isNotNull().cast("int")).over(Window.partitionBy("book_id")),
-    })
-    if backs is not None:
-        first = backs.groupBy("book_id").agg(F.min("start_global").alias("stop"))
-        filled = filled.join(first, "book_id", "left").where(F.col("stop").isNull() | (F.col("global_index") < F.col("stop"))).drop("stop")
-    body = filled.where((F.col("any_head") == 0) | (F.col("head").isNotNull() & ~F.col("head.marker") & (F.col("global_index") > F.col("head.end_global"))))
-    body = body.withColumns({
-        "start": F.coalesce("head.global_index", F.lit(-1)),
-        "chapter_title": F.when(F.col("any_head") == 0, F.lit("Full Text")).otherwise(T.prefixed_title(F.col("section"), F.col("head.title"))),
-    })
-    texts = paragraphs(body, ["book_id", "start", "chapter_title"])
-    whole = texts.groupBy("book_id", "start", "chapter_title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    pages = body.groupBy("book_id", "start").agg(F.min("page_num").alias("start_page"), F.max("page_num").alias("end_page"))
+    order = Window.partitionBy("book_id").orderBy("start_global")  # a book's headings only
+    heads = heads.withColumn("marker", marker & (others == 1))
+    section = F.last(F.when(F.col("marker"), F.col("title")), ignorenulls=True).over(order)
+    heads = heads.withColumn("full_title", T.prefixed_title(section, F.col("title")))
+    listed = heads.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("start_global", "end_global", "full_title", "marker"))).alias("heads"))
+    at = F.try_element_at(F.filter("heads", lambda x: x["start_global"] <= F.col("global_index")), F.lit(-1))
+    owned = matched(body, listed, ["book_id"]).withColumn("head", at).drop("heads")
+    owned = owned.where(F.col("head").isNotNull() & ~F.col("head.marker") & (F.col("global_index") > F.col("head.end_global")))
+    owned = owned.withColumns({"start": F.col("head.start_global"), "chapter_title": F.col("head.full_title")}).drop("head")
     index = F.row_number().over(Window.partitionBy("book_id").orderBy("start"))
-    return whole.join(pages, ["book_id", "start"]).where("text != ''").withColumn("chapter_index", index).drop("start")
+    owned = cut(owned)
+    found = _joined(owned, ["book_id", "start", "chapter_title"]).where("text != ''").withColumn("chapter_index", index)
+    found = cut(found.select("book_id", "chapter_index", "chapter_title", "text", "start_page", "end_page"))
+    have = found.select("book_id").distinct().withColumn("has", F.lit(True))
+    rest = matched(body, have, ["book_id"], "left").where("has IS NULL").drop("has")
+    return found.unionByName(full_text(rest))
+
+
+class Detection(NamedTuple):
+    candidates: DataFrame
+    selected: DataFrame
+    window: DataFrame
+    body: DataFrame
+    chapters: DataFrame
+
+
+def detect(
+    lines: DataFrame, include: str | None = None, exclude: str | None = None, keep_front: bool = False, keep_back: bool = False,
+    start_page: int | None = None, end_page: int | None = None, max_chapters: int | None = None, force_single: bool = False,
+) -> Detection:
+    """Chapters of cleaned lines, and what led to them."""
+    if max_chapters is not None and max_chapters < 1:
+        raise ValueError("max_chapters must be greater than zero")
+    lines = cut(lines)  # read for the candidates, the index and the body
+    c = cut(resolved(candidates(lines)))
+    chosen = cut(aliased(selected(without_contents(c), include, exclude), contents_candidates(c)))
+    indexed = with_index(lines)
+    window = cut(body_window(indexed, chosen, c, keep_front, keep_back, start_page, end_page))
+    body = cut(body_lines(indexed, window))
+    found = full_text(body) if force_single else chapters(body, chosen, window)
+    if max_chapters is not None:
+        found = found.where(F.col("chapter_index") <= max_chapters)
+    return Detection(c, chosen, window, body, found)
+
+
+def main_text(d: Detection, max_chapters: int | None = None) -> DataFrame:
+    """(book_id, text): the whole body, or with ``max_chapters`` the titles and texts of these."""
+    if max_chapters is None:
+        return full_text(d.body).select("book_id", "text")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "chapter_title", "text"))), lambda x: F.concat_ws("\n\n", x["chapter_title"], x["text"]))
+    return d.chapters.where(F.col("chapter_index") <= max_chapters).groupBy("book_id").agg(F.array_join(parts, "\n\n").alias("text"))
+
+
+def expected_count(d: Detection, expected: int, strict: bool = False) -> DataFrame:
+    """(book_id, chapters, warnings) of every book; ``strict`` makes a wrong count an error when
+    the rows are read."""
+    n = d.chapters.groupBy("book_id").agg(F.count("*").alias("chapters"))
+    n = matched(d.window.select("book_id"), n, ["book_id"], "left").withColumn("chapters", F.coalesce("chapters", F.lit(0)))
+    said = F.format_string("Expected %d chapters, detected %d.", F.lit(expected), F.col("chapters"))
+    wrong = F.col("chapters") != expected
+    if strict:
+        return n.withColumn("warnings", F.when(wrong, F.array(F.raise_error(said).cast("string"))).otherwise(F.array().cast("array<string>")))
+    return n.withColumn("warnings", F.when(wrong, F.array(said)).otherwise(F.array().cast("array<string>")))
 
 
-def detect(lines: DataFrame, include: str | None = None, exclude: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates, chapters) of cleaned lines."""
-    c = resolved(candidates(lines))
-    chosen = selected(without_contents(c), include, exclude)
-    return c, chapters(lines, chosen, c.where("kind = 'back'"))
+def with_fallback(books: DataFrame, found: DataFrame) -> DataFrame:
+    """Chapters, and for a book with a text but without a chapter the whole text as one, flagged."""
+    have = found.select("book_id").distinct().withColumn("has", F.lit(True))
+    lost = matched(books.select("book_id", "text"), have, ["book_id"], "left").where("has IS NULL").drop("has")
+    text = T.strip(F.col("text"))
+    one = lost.where(text != "").select("book_id", F.lit(1).alias("chapter_index"), F.lit("Chapter 1. Full Text").alias("chapter_title"), text.alias("text"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    flagged = lambda df, flag: df.withColumn("fallback_single_chapter", F.lit(flag))
+    return flagged(found, False).unionByName(flagged(one, True))

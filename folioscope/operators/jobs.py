@@ -63,6 +63,16 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
 
 
+def transitions(events: DataFrame) -> DataFrame:
+    """Every event with the state before it and whether the step is allowed: to pending from
+    nothing, to processing from pending, to completed or failed from processing. Events of one
+    time are ordered by status rank."""
+    order = Window.partitionBy("job_id").orderBy("updated_at", status_rank(F.col("status")), "status")
+    before, now = F.col("previous"), F.col("status")
+    ok = F.when(before.isNull(), now == "pending").when(before == "pending", now == "processing").when(before == "processing", now.isin("completed", "failed")).otherwise(False)
+    return events.withColumn("previous", F.lag("status").over(order)).withColumn("allowed", ok)
+
+
 def overdue(jobs: DataFrame, now, seconds: int = 14_400) -> DataFrame:
     """Jobs in processing for longer than ``seconds`` become failed with an error text."""
     late = (F.col("status") == "processing") & (F.unix_timestamp(now) - F.unix_timestamp("updated_at") > seconds)

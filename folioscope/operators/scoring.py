@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .layout import matched
 from .profiles import NEUTRAL
+from .segment import chunks
 
+#: Tones that speak against joy and approval, and meanings that aren't approval.
 NEGATIVE_TONES = ("sadness", "grief", "remorse", "fear", "anxiety", "despair", "tragic", "tense")
 MORAL = "compassion|forgiveness|moral acceptance|respect"
 
@@ -48,7 +52,25 @@ def combine_chunks(chunks: DataFrame, keys: list[str], peak_blend: float = 0.3)
     b = min(max(peak_blend, 0.0), 0.75)
     w = F.greatest(F.col("words"), F.lit(1)).cast("double")
     g = chunks.groupBy(*keys, "label").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("mean"), F.max("score").alias("peak"))
-    return g.select(*keys, "label", F.when(F.col("label") == NEUTRAL, F.col("mean")).otherwise(F.col("mean") * (1 - b) + F.col("peak") * b).alias("score"))
+    blend = F.when(F.col("label") == NEUTRAL, F.col("mean")).otherwise(F.col("mean") * (1 - b) + F.col("peak") * b)
+    return g.select(*keys, "label", F.least(F.greatest(blend, F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
+def scene_scores(
+    scenes: DataFrame, score: Callable[[Column], Column], most: int = 512, overlap: int = 64, tokens: Callable[[str], list[str]] = str.split, peak_blend: float = 0.3, parts: int | None = None
+) -> DataFrame:
+    """Scenes -> (book_id, chapter_index, scene_index, scores, chunk_count): chunks, scored one by
+    one and combined. ``score`` maps a text column to a map of scores, a plug-in (``scorer``) or
+    built-in functions. Scenes without a chunk are dropped. ``parts`` deals chunks over so many
+    tasks before a costly scorer; a book with many chunks is no task of its own then."""
+    keys = ["book_id", "chapter_index", "scene_index"]
+    c = chunks(scenes, most, overlap, tokens)
+    if parts:
+        c = c.repartition(parts)
+    scored = c.withColumns({"words": T.count_words("text"), "scores": score(F.col("text"))}).drop("text")
+    long = combine_chunks(scored.select(*keys, "words", F.explode("scores").alias("label", "score")), keys, peak_blend)
+    whole = long.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "score")))).alias("scores"))
+    return matched(whole, scored.groupBy(*keys).agg(F.count("*").alias("chunk_count")), keys)
 
 
 def intensity(scores: Column, include_neutral: bool = False) -> Column:
@@ -60,10 +82,14 @@ def scene_weight(words: Column, scores: Column, confidence: Column) -> Column:
     return F.greatest(words, F.lit(1)) * (0.75 + F.least(F.lit(0.75), 2 * intensity(scores))) * (0.5 + confidence)
 
 
+def _top_gap(scores: Column) -> Column:
+    top = F.sort_array(F.map_values(F.map_filter(scores, lambda k, _: F.lower(k) != NEUTRAL)), asc=False)
+    return F.when(F.size(top) >= 2, F.element_at(top, 1) - F.element_at(top, 2))
+
+
 def confidence(words: Column, scores: Column, context_confidence: Column | None = None) -> Column:
     """.62, less for short, long or undecided scenes, more for clear or explained ones."""
-    top = F.sort_array(F.map_values(F.map_filter(scores, lambda k, _: k != NEUTRAL)), asc=False)
-    gap = F.when(F.size(top) >= 2, F.element_at(top, 1) - F.element_at(top, 2))
+    gap = _top_gap(scores)
     c = F.lit(0.62) + F.when(words < 80, -0.18).when(words > 1200, -0.08).otherwise(0.0)
     c = c + F.when(gap < 0.025, -0.12).when(gap > 0.12, 0.08).otherwise(0.0)
     if context_confidence is not None:
@@ -71,18 +97,33 @@ def confidence(words: Column, scores: Column, context_confidence: Column | None
     return F.least(F.greatest(c, F.lit(0.05)), F.lit(1.0))
 
 
-def correct(scores: Column, meaning: Column, tones: Column, direct: Column, enabled: Column) -> Column:
-    """Approval that is really compassion is damped, and joy in tragic scenes."""
+def confidence_reasons(words: Column, scores: Column, source: Column | None = None) -> Column:
+    """Why: length, then the gap between the two strongest, then the kind of context."""
+    gap = _top_gap(scores)
+    context = F.when(source == "heuristic", "heuristic context").when(source == "llm", "llm context") if source is not None else F.lit(None).cast("string")
+    return F.array_compact(F.array(
+        F.when(words < 80, "short scene").when(words > 1200, "long scene"), F.when(gap < 0.025, "close competing emotions").when(gap > 0.12, "clear dominant emotion"), context,
+    ))
+
+
+def _correction(scores: Column, meaning: Column, tones: Column, direct: Column, enabled: Column) -> tuple[Column, Column, Column, Column]:
+    """(old approval, is it damped, the raised sadness, is joy lowered)."""
     at = lambda k: F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0))
     a = at("approval")
-    evidence = F.coalesce(F.lower(meaning).rlike(MORAL), F.lit(False)) | F.coalesce(F.arrays_overlap(tones, F.array(*[F.lit(t) for t in NEGATIVE_TONES])), F.lit(False))
-    evidence = evidence | (at("sadness") >= 0.65 * a) | (at("fear") >= 0.55 * a) | (at("remorse") >= 0.45 * a)
-    on = enabled & (a > 0)
-    damp = on & evidence & ~direct
+    tragic = F.coalesce(F.arrays_overlap(F.transform(tones, F.lower), F.array(*[F.lit(t) for t in NEGATIVE_TONES])), F.lit(False))
+    evidence = F.coalesce(F.lower(meaning).rlike(MORAL), F.lit(False)) | tragic | (at("sadness") >= 0.65 * a) | (at("fear") >= 0.55 * a) | (at("remorse") >= 0.45 * a)
+    direct = F.coalesce(direct, F.lit(False))
+    on = enabled & (a > 0) & ~direct
+    damp = on & evidence
+    has = F.map_contains_key(scores, "sadness")
+    sad = F.when(damp & has, F.least(F.lit(1.0), at("sadness") + 0.12 * a)).otherwise(at("sadness"))
+    return a, damp, sad, on & (at("joy") > 0) & (tragic | (sad > at("joy")))
+
+
+def correct(scores: Column, meaning: Column, tones: Column, direct: Column, enabled: Column) -> Column:
+    """Approval that is really compassion is damped, and joy in tense or tragic scenes."""
+    a, damp, _, less_joy = _correction(scores, meaning, tones, direct, enabled)
     bump = lambda v, share: F.when(damp, F.least(F.lit(1.0), v + share * a)).otherwise(v)
-    sad = bump(at("sadness"), 0.12)
-    tragic = F.coalesce(F.array_contains(tones, "tragic"), F.lit(False))
-    less_joy = on & ~direct & (at("joy") > 0) & (tragic | (sad > at("joy")))
     return F.transform_values(
         scores,
         lambda k, v: F.when((k == "approval") & damp, v * 0.55)
@@ -94,6 +135,16 @@ def correct(scores: Column, meaning: Column, tones: Column, direct: Column, enab
     )
 
 
+def correction_notes(scores: Column, meaning: Column, tones: Column, direct: Column, enabled: Column) -> Column:
+    """What ``correct`` has done, in words."""
+    _, damp, _, less_joy = _correction(scores, meaning, tones, direct, enabled)
+    return F.array_compact(F.array(
+        F.when(~enabled, "context normalization disabled"),
+        F.when(damp, "approval lowered: context or co-emotions suggest compassion/moral acceptance, not direct approval"),
+        F.when(less_joy, "joy softened: scene appears tense or tragic"),
+    ))
+
+
 def medians(scores: DataFrame) -> DataFrame:
     """Exact median per book and label; equal scores are counted before the shuffle's end."""
     return scores.groupBy("book_id", "label").agg(F.median("score").alias("median"))

@@ -7,10 +7,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .layout import matched
 
 #: What opens a new scene.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
@@ -35,6 +36,11 @@ def is_scene_break(text: Column | str) -> Column:
 
 def pack_scenes(paragraphs: list[str], breaks: list[bool], least: int, target: int) -> list[tuple[int, int]]:
     """[first, last) paragraph of every scene; a short last scene joins the one before."""
+    found = _pieces(paragraphs, breaks, least, target)
+    return [*found[:-2], (found[-2][0], found[-1][1])] if _short_tail(paragraphs, found, least) else found
+
+
+def _pieces(paragraphs: list[str], breaks: list[bool], least: int, target: int) -> list[tuple[int, int]]:
     scenes, start, words = [], 0, 0
     for k, p in enumerate(paragraphs):
         n = len(WORD.findall(p))
@@ -42,36 +48,71 @@ def pack_scenes(paragraphs: list[str], breaks: list[bool], least: int, target: i
             scenes.append((start, k))
             start, words = k, 0
         words += n
-    if start < len(paragraphs):
-        if scenes and words < least:
-            scenes[-1] = (scenes[-1][0], len(paragraphs))
-        else:
-            scenes.append((start, len(paragraphs)))
-    return scenes
+    return [*scenes, (start, len(paragraphs))] if paragraphs else []
+
+
+def _short_tail(paragraphs: list[str], pieces: list[tuple[int, int]], least: int) -> bool:
+    return len(pieces) > 1 and sum(len(WORD.findall(p)) for p in paragraphs[pieces[-1][0] :]) < least
+
+
+def cut_scenes(text: str, paragraphs: list[str], breaks: list[bool], least: int, target: int) -> list[dict]:
+    """Scenes with offsets: each paragraph is looked for after the one before. A scene ends
+    where its joined text would, counted from its start, or, if a short last piece joined it,
+    where that piece would."""
+    starts, at = [], 0
+    for p in paragraphs:
+        found = text.find(p, at)
+        starts.append(found if found >= 0 else at)
+        at = starts[-1] + len(p)
+    pieces = _pieces(paragraphs, breaks, least, target)
+    body = lambda a, b: "\n\n".join(paragraphs[a:b]).strip()
+    out = [{"text": body(a, b), "start_char": starts[a], "end_char": starts[a] + len(body(a, b))} for a, b in pieces]
+    if _short_tail(paragraphs, pieces, least):
+        tail = out.pop()
+        out[-1] |= {"text": body(pieces[-2][0], pieces[-1][1]), "end_char": tail["end_char"]}
+    return out or [{"text": text, "start_char": 0, "end_char": len(text)}]
 
 
 def scenes(chapters: DataFrame, least: int = 250, target: int = 1000) -> DataFrame:
-    """(book_id, chapter_index, text) -> scenes with offsets and their place in the book."""
+    """(book_id, chapter_index, text) -> scenes with offsets and their place in the book.
+
+    Scenes are numbered within their chapter; a book's chapters meet by their numbers of scenes
+    only, never by their texts.
+    """
 
     @F.pandas_udf("array<struct<text:string,start_char:long,end_char:long>>")
     def cut(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for whole, parts, breaks in texts:
-            out = []
-            for t, ps, bs in zip(whole.fillna(""), parts, breaks, strict=True):
-                ps = [] if ps is None else list(ps)
-                rows, at = [], 0
-                for a, b in pack_scenes(ps, list(bs) if ps else [], least, target):
-                    body = "\n\n".join(ps[a:b])
-                    start = t.find(ps[a], at)
-                    at = start + len(ps[a])
-                    rows.append({"text": body, "start_char": start, "end_char": start + len(body)})
-                out.append(rows or [{"text": t, "start_char": 0, "end_char": len(t)}])
-            yield pd.Series(out)
-
-    parts = split_paragraphs("text")
-    found = chapters.withColumn("parts", parts).select("book_id", "chapter_index", F.posexplode(cut("text", "parts", F.transform("parts", is_scene_break))).alias("k", "s"))
-    rows = found.select("book_id", "chapter_index", (F.col("k") + 1).alias("scene_index"), "s.text", "s.start_char", "s.end_char")
-    return rows.withColumn("scene_pos", F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_index", "scene_index")))
+            rows = zip(whole.fillna(""), parts, breaks, strict=True)
+            yield pd.Series([cut_scenes(t, [] if ps is None else list(ps), [] if bs is None else list(bs), least, target) for t, ps, bs in rows])
+
+    found = chapters.withColumn("parts", split_paragraphs("text")).withColumn("found", cut("text", "parts", F.transform("parts", is_scene_break)))
+    found = found.select("book_id", "chapter_index", "found")
+    before = Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.groupBy("book_id", "chapter_index").agg(F.sum(F.size("found")).alias("n"))
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rows = matched(found, counts, ["book_id", "chapter_index"]).select("book_id", "chapter_index", "ahead", F.posexplode("found").alias("k", "s"))
+    return rows.select("book_id", "chapter_index", (F.col("k") + 1).alias("scene_index"), "s.text", "s.start_char", "s.end_char", (F.col("ahead") + F.col("k") + 1).cast("int").alias("scene_pos"))
+
+
+class SceneRows:
+    """The table function ``scenes``: a chapter's text -> its scenes."""
+
+    def eval(self, text: str, least: int, target: int):
+        parts = [p for p in (x.strip() for x in re.split(r"\n\s*\n", text or "")) if p]
+        for k, r in enumerate(cut_scenes(text or "", parts, [bool(_is_break(p)) for p in parts], least, target)):
+            yield k + 1, r["text"], r["start_char"], r["end_char"]
+
+
+def _is_break(paragraph: str) -> bool:
+    t = " ".join(paragraph.split())
+    return bool(re.search(SCENE_BREAK, t)) or (len(WORD.findall(t)) <= 18 and bool(re.search(TIME_SHIFT, t)))
+
+
+def register_scenes(spark: SparkSession, name: str = "scenes") -> None:
+    """``SELECT ... FROM chapters, LATERAL scenes(text, 250, 1000)``."""
+    kind = F.udtf(returnType="scene_index int, text string, start_char long, end_char long", useArrow=True)
+    spark.udtf.register(name, kind(SceneRows))
 
 
 def pack_chunks(paragraphs: list[str], tokens: Callable[[str], list[str]], most: int, overlap: int) -> list[str]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +15,7 @@ from ..operators import scoring as S
 from ..operators import segment as G
 from ..sources import books as B
 from ..sources import sinks as K
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def r4(c):
-    """Four decimals; scores have six, so products tie at the fifth and get 1e-9 first."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 4)
-
+from .registry import QUERIES, SQL, query, r4, read
 
 LABELS = ["neutral", *[f"L{k:02d}" for k in range(1, 28)]]
 
@@ -48,9 +24,8 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings as a long score table: book = label % 3, chapter = label, scene = vec_id."""
     e = read(spark, sf, "embeddings")
     keys = [(F.col("label") % 3).alias("book_id"), F.col("label").alias("chapter_index"), F.col("vec_id").alias("scene_index"), (1 + F.col("vec_id") % 5).cast("double").alias("weight")]
-    rows = e.select(*keys, F.posexplode(F.slice("embedding", 1, 28)).alias("k", "x"))
-    label = F.when(F.col("k") == 0, "neutral").otherwise(F.concat(F.lit("L"), F.lpad(F.col("k").cast("string"), 2, "0")))
-    return rows.select("book_id", "chapter_index", "scene_index", "weight", label.alias("label"), F.round(1 / (1 + F.exp(-8 * F.col("x").cast("double"))), 6).alias("score"))
+    logits = F.transform(F.slice("embedding", 1, 28), lambda x: 8 * x.cast("double"))
+    return e.select(*keys, F.explode(S.sigmoid_scores(logits, LABELS)).alias("label", "score")).withColumn("score", F.round("score", 6))
 
 
 BASE = """
@@ -156,7 +131,7 @@ def _(spark, sf):
 
 @query("blocks", f"WITH {BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_index, scene_index ORDER BY score DESC, label) AS r FROM s) SELECT book_id, chapter_index, scene_index, coalesce(string_agg(label, ',' ORDER BY r) FILTER (r <= 5), '') AS top, coalesce(string_agg(label, ',' ORDER BY r) FILTER (score >= 0.7), '') AS above, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, scene_index) AS block_index FROM r GROUP BY book_id, chapter_index, scene_index")
 def _(spark, sf):
-    return P.blocks(scores(spark, sf), 0.7)
+    return P.blocks(scores(spark, sf), 0.7).drop("scene_ref")
 
 
 @query("percent_display", f"WITH {PROFILE} SELECT book_id, chapter_index, label, round(average_score * 100, 1) AS pct FROM p")
@@ -245,6 +220,11 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     ).where("text != ''")
 
 
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page, those without a line too."""
+    return read(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_num"))
+
+
 CLEAN = r"trim(regexp_replace(replace(replace(x, chr(160), ' '), chr(173), ''), '\s+', ' ', 'g'))"
 LINES = f"""
 raw AS (SELECT source AS book_id, doc_id AS page_num, string_split(text, chr(10)) AS parts FROM documents),
@@ -252,7 +232,7 @@ ex AS (SELECT book_id, page_num, len(parts) AS n, unnest(range(0, len(parts))) A
 l AS (SELECT book_id, page_num, line_no, n, {CLEAN} AS text, 30.0 + 18.0 * line_no AS y0, 42.0 + 18.0 * line_no AS y1, 18.0 * n + 60 AS h FROM ex WHERE {CLEAN} != '')"""
 KEY = r"regexp_replace(regexp_replace(lower(text), '^[ \-—–_]+', ''), '[ \-—–_]+$', '')"
 EDGES = f"""{LINES},
-k AS (SELECT *, {KEY} AS norm FROM l), pg AS (SELECT book_id, count(DISTINCT page_num) AS pages FROM l GROUP BY 1),
+k AS (SELECT *, {KEY} AS norm FROM l), pg AS (SELECT source AS book_id, count(*) AS pages FROM documents GROUP BY 1),
 c AS (SELECT book_id, norm, count(DISTINCT page_num) AS n_pages, bool_or(regexp_matches(norm, '(?i)\\b[a-z0-9.-]+\\.(com|net|org|ru|io|co)\\b')) AS domain FROM k
       WHERE norm != '' AND (y0 < 0.15 * h OR y1 > 0.85 * h OR regexp_matches(norm, '(?i)\\b[a-z0-9.-]+\\.(com|net|org|ru|io|co)\\b')) GROUP BY ALL),
 rep AS (SELECT c.book_id, norm, n_pages FROM c JOIN pg USING (book_id) WHERE domain OR (n_pages >= greatest(3, ceil(0.05 * pages)) AND length(norm) <= 80))"""
@@ -278,12 +258,13 @@ regexp_matches(trim(regexp_replace(text, '[.)]+$', '')), '(?i)^(?:\\d{{1,3}}|[iv
 length(text) >= 80 OR (len(string_split(text, ' ')) >= 14 AND regexp_matches(text, '[.,;:?!"]$')) AS body FROM f""")
 def _(spark, sf):
     t = "text"
-    return lines(spark, sf).select("page_num", "line_no", T.is_all_caps(t).alias("caps"), T.is_title_case(t).alias("title_case"), T.is_page_number(t).alias("page_number"), T.is_numeric_only(t).alias("numeric"), T.is_body_like(t).alias("body"))
+    flags = {"caps": T.is_all_caps, "title_case": T.is_title_case, "page_number": T.is_page_number, "numeric": T.is_numeric_only, "body": T.is_body_like}
+    return lines(spark, sf).select("page_num", "line_no", *[f(t, clean=True).alias(k) for k, f in flags.items()])
 
 
 @query("excerpts", f"WITH {LINES} SELECT page_num, line_no, CASE WHEN length(text) <= 60 THEN text ELSE rtrim(regexp_replace(substr(text, 1, 60), ' [^ ]*$', '')) || '...' END AS excerpt FROM l")
 def _(spark, sf):
-    return lines(spark, sf).select("page_num", "line_no", T.excerpt("text", 60).alias("excerpt"))
+    return lines(spark, sf).select("page_num", "line_no", T.excerpt("text", 60, clean=True).alias("excerpt"))
 
 
 @query("language_script", r"SELECT doc_id, CASE WHEN len(regexp_extract_all(substr(text, 1, 2000), '\p{L}')) > 0 AND len(regexp_extract_all(substr(text, 1, 2000), '[À-ÿ]')) > 0.05 * len(regexp_extract_all(substr(text, 1, 2000), '\p{L}')) THEN 'accented' ELSE 'plain' END AS script FROM documents")
@@ -291,25 +272,50 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.detect_language("text", script="[À-ÿ]", label="accented", other="plain", share=0.05).alias("script"))
 
 
-@query("heading_lines")
+WORDS_OF = "list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '[A-Za-z]'))"
+TITLED = TITLE.replace("(w)", f"({WORDS_OF})").replace("list_filter(w,", f"list_filter({WORDS_OF},").replace("* len(w)", f"* len({WORDS_OF})")
+NUMERIC = r"regexp_matches(trim(regexp_replace(text, '[.)]+$', '')), '(?i)^(?:\d{1,3}|[ivxlcdm]+)$')"
+NUMBER = r"regexp_matches(text, '(?i)^(?:(?:page\s+)?\d{1,4}|(?:page\s+)?\d{1,4}\s+(?:of|/)\s+\d{1,4}|[ivxlcdm]+)$')"
+BODY = "(length(text) >= 80 OR (len(string_split(text, ' ')) >= 14 AND regexp_matches(text, '[.,;:?!\"]$')))"
+COUNTED = r"len(regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_''-]*'))"
+QUOTED = lambda p: p.replace("'", "''")
+STRUCT = f"(regexp_matches(text, '{QUOTED(T.STRUCTURED)}') OR regexp_matches(text, '{QUOTED(T.DASHED)}'))"
+MATTER = lambda words: f"(regexp_matches(text, '(?i)^(?:{QUOTED(words)})\\b') AND ({COUNTED} <= 4 OR ({CAPS}) OR ({TITLED})))"
+FRONT, BACK = MATTER(T.FRONT_WORDS), MATTER(T.BACK_WORDS)
+SECTIONED = f"regexp_matches(text, '{QUOTED(T.SECTION)}')"
+BAD = f"regexp_matches(lower(text), '^(?:{'|'.join(T.BAD_PREFIXES)})')"
+HEADING = f"""(length(text) > 0 AND length(text) <= 120 AND len(string_split(text, ' ')) <= 16 AND NOT {BAD}
+    AND NOT (regexp_matches(text, '[.?!;]$') AND NOT {STRUCT} AND NOT {NUMERIC} AND len(string_split(text, ' ')) > 8 AND NOT ({CAPS}))
+    AND ({NUMERIC} OR {STRUCT} OR {FRONT} OR {BACK} OR {SECTIONED} OR ({CAPS}) OR ({TITLED})))"""
+
+
+@query("heading_lines", f"WITH {LINES} SELECT page_num, line_no, CASE WHEN {FRONT} THEN 'front' WHEN {BACK} THEN 'back' ELSE 'chapter' END AS kind FROM l WHERE {HEADING}")
 def _(spark, sf):
-    return lines(spark, sf).where(T.is_heading_line("text")).select("page_num", "line_no", T.candidate_kind("text").alias("kind"))
+    marked = L.settled(lines(spark, sf), {"heading": T.is_heading_line("text", clean=True), "kind": T.candidate_kind("text", clean=True)})
+    return marked.where("heading").select("page_num", "line_no", "kind")
+
+
+MARKED = f"""{EDGES},
+f AS (SELECT k.*, rep.norm IS NOT NULL AS repeat, {NUMBER} AS number, {NUMERIC} AS numeric, {HEADING} AS heading, {BODY} AS body, len(string_split(text, ' ')) >= 6 AND NOT {NUMBER} AS worded
+      FROM k LEFT JOIN rep ON k.book_id = rep.book_id AND k.norm = rep.norm),
+g AS (SELECT *, coalesce(lead(heading) OVER w, false) AS nh, coalesce(lead(heading OR body OR worded) OVER w, false) AS nt FROM f WINDOW w AS (PARTITION BY book_id, page_num ORDER BY line_no)),
+marked AS (SELECT *, repeat OR (number AND (y0 < 0.15 * h OR y1 > 0.85 * h) AND NOT (y0 < 0.25 * h AND nh AND length(text) <= 4)) AS removed FROM g)"""
 
 
 @query("repeated_headers", f"WITH {EDGES} SELECT * FROM rep")
 def _(spark, sf):
-    return L.repeated_edges(lines(spark, sf))
+    return L.repeated_edges(lines(spark, sf), pages(spark, sf))
 
 
-@query("lines_without_headers")
+@query("lines_without_headers", f"WITH {MARKED} SELECT book_id, page_num, line_no, text FROM marked WHERE NOT removed")
 def _(spark, sf):
-    return L.without_edges(lines(spark, sf)).select("book_id", "page_num", "line_no", "text")
+    return L.without_edges(lines(spark, sf), pages(spark, sf)).select("book_id", "page_num", "line_no", "text")
 
 
-@query("removed_preview", f"""WITH {EDGES}, g AS (SELECT k.book_id, text, count(*) AS n, min(page_num * 100000 + line_no) AS first FROM k JOIN rep ON k.book_id = rep.book_id AND k.norm = rep.norm GROUP BY ALL)
-SELECT book_id, rank, text || ' (x' || n || ')' AS preview FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first) AS rank FROM g) WHERE rank <= 10""")
+@query("removed_preview", f"""WITH {MARKED}, n AS (SELECT book_id, text, count(*) AS n, min(page_num * 100000 + line_no) AS first FROM marked WHERE removed GROUP BY ALL)
+SELECT book_id, rank, text || ' (x' || n || ')' AS preview FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first) AS rank FROM n) WHERE rank <= 10""")
 def _(spark, sf):
-    return L.removed_preview(lines(spark, sf))
+    return L.removed_preview(lines(spark, sf), 10, pages(spark, sf))
 
 
 @query("page_medians", f"WITH {LINES}, g AS (SELECT *, greatest(0, lead(y0) OVER (PARTITION BY book_id, page_num ORDER BY line_no) - y1) AS gap FROM l) SELECT book_id, page_num, 12.0::DOUBLE AS median_font, coalesce(median(gap), 8.0)::DOUBLE AS median_gap FROM g GROUP BY ALL")
@@ -317,7 +323,7 @@ def _(spark, sf):
     return L.page_medians(lines(spark, sf))
 
 
-@query("line_gaps", f"WITH {LINES} SELECT page_num, line_no, coalesce(y0 - lag(y1) OVER w, y0)::DOUBLE AS gap_before, coalesce(lead(y0) OVER w - y1, h - y1)::DOUBLE AS gap_after FROM l WINDOW w AS (PARTITION BY book_id, page_num ORDER BY line_no)")
+@query("line_gaps", f"WITH {LINES} SELECT page_num, line_no, coalesce(CASE WHEN lag(y1) OVER w IS NOT NULL THEN greatest(0, y0 - lag(y1) OVER w) END, y0)::DOUBLE AS gap_before, coalesce(CASE WHEN lead(y0) OVER w IS NOT NULL THEN greatest(0, lead(y0) OVER w - y1) END, h - y1)::DOUBLE AS gap_after FROM l WINDOW w AS (PARTITION BY book_id, page_num ORDER BY line_no)")
 def _(spark, sf):
     return L.with_gaps(lines(spark, sf)).select("page_num", "line_no", "gap_before", "gap_after")
 
@@ -334,7 +340,12 @@ def _(spark, sf):
     return L.paragraphs(lines(spark, sf))
 
 
-@query("txt_geometry")
+TXT_LINES = """
+tr AS (SELECT doc_id, string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+tl AS (SELECT doc_id, len(parts) AS n, unnest(range(0, len(parts))) AS line_no, unnest(parts) AS x FROM tr)"""
+
+
+@query("txt_geometry", f"WITH {TXT_LINES} SELECT doc_id AS book_id, count(*) AS lines, max(42.0 + 18.0 * line_no)::DOUBLE AS bottom, max(greatest(800, 14.0 * n + 40))::DOUBLE AS page_height FROM tl WHERE {CLEAN} != '' GROUP BY doc_id")
 def _(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), "text")
     return L.txt_lines(d).groupBy("book_id").agg(F.count("*").alias("lines"), F.max("y1").alias("bottom"), F.max("page_height").alias("page_height"))
@@ -352,7 +363,7 @@ def _(spark, sf):
 
 @query("detected_chapters")
 def _(spark, sf):
-    return H.detect(doc_lines(spark, sf))[1].select("book_id", "chapter_index", "chapter_title", F.length("text").alias("chars"), "start_page", "end_page")
+    return H.detect(doc_lines(spark, sf)).chapters.select("book_id", "chapter_index", "chapter_title", F.length("text").alias("chars"), "start_page", "end_page")
 
 
 @query("detection_counts")
@@ -436,10 +447,11 @@ def _(spark, sf):
     return P.character_profiles(v).withColumn("score", r4("score"))
 
 
-@query("short_chapters_dropped", "SELECT source AS book_id, doc_id AS source_chapter_index, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chapter_index FROM documents WHERE length(text) >= 100")
+@query("short_chapters_dropped", """WITH c AS (SELECT source AS book_id, doc_id, length(text) >= 100 AS long, bool_or(coalesce(length(text) < 100, true)) OVER (PARTITION BY source) AS lost FROM documents)
+SELECT book_id, doc_id AS source_chapter_index, CASE WHEN lost THEN row_number() OVER (PARTITION BY book_id ORDER BY doc_id) ELSE doc_id END AS chapter_index FROM c WHERE long""")
 def _(spark, sf):
     d = read(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), "text")
-    return P.drop_short_chapters(d).select("book_id", "source_chapter_index", "chapter_index")
+    return P.drop_short_chapters(d).select("book_id", "source_chapter_index", F.col("chapter_index").cast("long").alias("chapter_index"))
 
 
 @query("result_json_roundtrip", f"WITH {PROFILE} SELECT book_id::VARCHAR AS job_id, chapter_index, label, round(round(average_score, 6) + 1e-9, 4) AS score FROM p")
@@ -507,25 +519,25 @@ def _(spark, sf):
     return J.job_results(asked, jobs, results).select("job_id", "outcome")
 
 
-@query("delete_cascade", "SELECT count(*) AS kept FROM orders WHERE o_custkey % 10 != 0")
+@query("delete_cascade", "SELECT 'text' AS kind, o_orderkey AS id FROM orders WHERE o_custkey % 10 != 0 UNION ALL SELECT 'result', o_orderkey FROM orders WHERE o_custkey % 10 != 0 AND o_orderkey % 3 = 0")
 def _(spark, sf):
     t = texts(spark, sf)
-    kept, _ = J.delete_texts(t, t.select("text_id"), t.where("user_id % 10 = 0").select("text_id"))
-    return kept.agg(F.count("*").alias("kept"))
+    results = t.where("text_id % 3 = 0").select("text_id")
+    kept, left = J.delete_texts(t, results, t.where("user_id % 10 = 0").select("text_id"))
+    return kept.select(F.lit("text").alias("kind"), F.col("text_id").alias("id")).unionByName(left.select(F.lit("result").alias("kind"), F.col("text_id").alias("id")))
 
 
 @query("overdue_jobs", f"WITH {LATEST}, z AS (SELECT max(updated_at) AS now FROM ev) SELECT job_id, CASE WHEN status = 'processing' AND date_diff('second', updated_at, now) > 14400 THEN 'failed' ELSE status END AS status FROM la, z")
 def _(spark, sf):
     jobs = J.latest(job_events(spark, sf))
     now = job_events(spark, sf).agg(F.max("updated_at").alias("now"))
-    return J.overdue(jobs.join(F.broadcast(now)), F.col("now")).select("job_id", "status")
+    return J.overdue(jobs.withColumn("now", now.scalar()), F.col("now")).select("job_id", "status")
 
 
-@query("results_appended", "SELECT count(*) AS added FROM (SELECT DISTINCT event_id // 4 AS job_id FROM events) WHERE job_id % 3 != 0")
+@query("results_appended", "SELECT DISTINCT event_id // 4 AS job_id FROM events WHERE event_id // 4 % 3 != 0")
 def _(spark, sf):
     jobs = J.latest(job_events(spark, sf)).select("job_id")
-    new = J.append_new(jobs.where("job_id % 3 = 0"), jobs.withColumn("result_json", F.lit("{}")))
-    return new.agg(F.count("*").alias("added"))
+    return J.append_new(jobs.where("job_id % 3 = 0"), jobs.withColumn("result_json", F.lit("{}"))).select("job_id")
 
 
 @query("page_formats", r"SELECT page_id, lower(regexp_extract(url, '\.([^.\\/]*)$', 1)) AS format FROM pages")

@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.layout import with_index
 
 SUPPORTED = ("txt", "pdf")
-RESULT = "chapters array<struct<chapter_index:int,title:string,scores:map<string,double>>>"
+RESULT = (
+    "chapters array<struct<chapter_index:int,title:string,scores:map<string,double>>>, "
+    "blocks array<struct<block_index:int,chapter_index:int,scene_index:int,scene_ref:string,top:string,above:string>>"
+)
+TEXTS = "text_id string, user_id string, title string, filename string, content binary, format string, created_at timestamp"
+RESULTS = "result_id string, text_id string, job_id string, result_json string, created_at timestamp"
 
 
 def decoded(books: DataFrame, content: str = "content", fallback: str = "cp1251") -> DataFrame:
@@ -31,8 +37,26 @@ def read_books(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return decoded(kind.where(F.col("format").isin(*SUPPORTED))), kind.where(~F.col("format").isin(*SUPPORTED)).select("book_id", "filename", "format")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where("trim(text) != ''")
+def line_table(rows: DataFrame) -> DataFrame:
+    """Extracted layout lines -> a line table: clean texts, no empty ones, and global_index."""
+    return with_index(rows.withColumn("text", T.clean_line("text")).where("text != ''"))
+
+
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, pages): the extracted line table, and every page it names, empty ones too, with its
+    width and height."""
+    rows = spark.read.parquet(path)
+    pages = rows.groupBy("book_id", "page_num").agg(F.max("page_width").alias("width"), F.max("page_height").alias("height"))
+    return line_table(rows), pages
+
+
+def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet", **options: str) -> DataFrame:
+    """``texts`` or ``analysis_results`` (``TEXTS``, ``RESULTS``) from Parquet, or by ``kind``
+    "jdbc" from the table named ``path``; columns that are absent are null."""
+    reader = spark.read.format(kind).options(**options)
+    rows = reader.option("dbtable", path).load() if kind == "jdbc" else reader.load(path)
+    wanted = spark.createDataFrame([], schema).schema
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def chapters_of(results: DataFrame, column: str = "result_json") -> DataFrame:
@@ -40,3 +64,9 @@ def chapters_of(results: DataFrame, column: str = "result_json") -> DataFrame:
     parsed = results.withColumn("doc", F.from_json(column, RESULT))
     rows = parsed.select("job_id", F.explode("doc.chapters").alias("c"))
     return rows.select("job_id", F.coalesce("c.chapter_index", F.lit(0)).alias("chapter_index"), "c.title", "c.scores")
+
+
+def blocks_of(results: DataFrame, column: str = "result_json") -> DataFrame:
+    """Stored result documents -> a row per block; a missing index is 0."""
+    rows = results.select("job_id", F.explode(F.from_json(column, RESULT)["blocks"]).alias("b"))
+    return rows.select("job_id", F.coalesce("b.block_index", F.lit(0)).alias("block_index"), "b.chapter_index", "b.scene_index", "b.scene_ref", "b.top", "b.above")

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from folioscope.plans.queries import QUERIES, SQL
+import folioscope.plans.books  # noqa: F401
+from folioscope.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

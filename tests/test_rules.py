@@ -76,12 +76,77 @@ def test_repeated_header_needs_three_pages(spark):
 def test_chapters_are_found(spark):
     body = "It was a long and quiet day in the country, and nobody had much to say about anything at all."
     text = "\n".join(["Chapter 1", *[body] * 8, "Chapter 2", *[body] * 8])
-    cands, chapters = H.detect(L.txt_lines(spark.createDataFrame([("b", text)], "book_id string, text string")))
-    rows = sorted(chapters.collect(), key=lambda r: r.chapter_index)
+    found = H.detect(L.txt_lines(spark.createDataFrame([("b", text)], "book_id string, text string")))
+    rows = sorted(found.chapters.collect(), key=lambda r: r.chapter_index)
     assert [r.chapter_title for r in rows] == ["Chapter 1", "Chapter 2"]
     assert all(r.text.count("quiet day") == 8 for r in rows)
 
 
+BODY = "It was a long and quiet day in the country, and nobody had much to say about anything at all."
+
+
+def test_back_matter_before_the_first_chapter_loses_no_text(spark):
+    """On one page a back heading ends the body wherever it is; the book then is one chapter."""
+    text = "\n".join(["Notes", *[BODY] * 3, "Chapter 1", *[BODY] * 8, "Chapter 2", *[BODY] * 8])
+    books = spark.createDataFrame([("b", text), ("e", " \n "), (None, text)], "book_id string, text string")
+    found = H.detect(L.txt_lines(books)).chapters
+    rows = {r.book_id: r for r in H.with_fallback(books, found).collect()}
+    assert set(rows) == {"b", None} and all(r.fallback_single_chapter and r.text == text for r in rows.values())
+    kept = H.detect(L.txt_lines(books.where("book_id = 'b'")), keep_back=True).chapters
+    assert sorted(r.chapter_title for r in kept.collect()) == ["Chapter 1", "Chapter 2"]
+
+
+def test_back_matter_late_in_a_book_ends_it(spark):
+    def page(p, texts):
+        return [("b", p, k, t, 50.0, 550.0, 30.0 + 18 * k, 42.0 + 18 * k, 12.0, 600.0, 800.0) for k, t in enumerate(texts)]
+
+    pages = [["Notes", BODY]] + [[f"Chapter {k}", *[BODY] * 6] for k in range(1, 9)] + [["Notes", BODY]]
+    rows = [r for p, texts in enumerate(pages, 1) for r in page(p, texts)]
+    lines = spark.createDataFrame(rows, "book_id string, page_num int, line_no int, text string, x0 double, x1 double, y0 double, y1 double, font_size double, page_width double, page_height double")
+    d = H.detect(lines)
+    w = d.window.first()
+    assert (w.start_idx, w.end_idx, w.start_reason, w.end_reason) == (2, 57, "first-chapter-candidate", "first-back-matter-candidate-after-body")
+    assert d.chapters.count() == 8
+    with pytest.raises(ValueError):
+        H.detect(lines, max_chapters=0)
+    with pytest.raises(Exception, match="Expected 3 chapters, detected 8"):
+        H.expected_count(d, 3, strict=True).collect()
+
+
+def test_page_numbers_are_removed_and_listed(spark):
+    rows = [("b", p, k, t, 50.0, 550.0, y, y + 12, 12.0, 600.0, 800.0) for p in range(1, 6) for k, (t, y) in enumerate([("some body text " * 8, 300.0), (str(p), 780.0)])]
+    rows += [("b", 9, 0, "IV", 50.0, 550.0, 30.0, 50.0, 20.0, 600.0, 800.0), ("b", 9, 1, BODY, 50.0, 550.0, 60.0, 72.0, 12.0, 600.0, 800.0), ("b", 9, 2, BODY, 50.0, 550.0, 90.0, 102.0, 12.0, 600.0, 800.0)]
+    lines = spark.createDataFrame(rows, "book_id string, page_num int, line_no int, text string, x0 double, x1 double, y0 double, y1 double, font_size double, page_width double, page_height double")
+    assert [r.preview for r in L.removed_preview(lines).orderBy("rank").collect()] == [f"{p} (x1)" for p in range(1, 6)]
+    assert {r.text for r in L.without_edges(lines).where("page_num = 9").collect()} == {"IV", BODY}  # a large number in the middle of the top
+
+
+def test_scene_offsets_move_past_every_paragraph():
+    ps = ["a b", "x", "x", "q r s", "x"]
+    found = G.cut_scenes("\n\n".join(ps), ps, [False] * 5, 3, 3)
+    assert [(r["start_char"], r["end_char"]) for r in found] == [(0, 6), (8, 19)]
+    tail = G.cut_scenes("a b c\n\n\n\nd", ["a b c", "d"], [False, False], 3, 3)
+    assert tail == [{"text": "a b c\n\nd", "start_char": 0, "end_char": 10}]
+
+
+def test_plain_text(spark):
+    lines = spark.createDataFrame([("b", 1, 0, "won-"), ("b", 1, 1, "Derful day"), ("b", 1, 2, "12"), ("b", 2, 0, "end")], "book_id string, page_num int, line_no int, text string")
+    assert L.plain_text(lines).first().text == "wonDerful day\n\nend"
+
+
+def test_outputs_are_replaced_and_removed(spark, tmp_path):
+    from folioscope.sources import sinks as K
+
+    df = spark.createDataFrame([("a", 1, "One", "x"), ("b", 1, "Two é", "y")], "book_id string, chapter_index int, chapter_title string, text string")
+    K.write_stage(df, str(tmp_path), "scenes")
+    K.write_stage(df.where("book_id = 'a'").withColumn("text", F.lit("new")), str(tmp_path), "scenes")
+    assert {(r.book_id, r.text) for r in spark.read.parquet(f"{tmp_path}/scenes").collect()} == {("a", "new"), ("b", "y")}
+    K.write_texts(df, f"{tmp_path}/chapter_texts")
+    assert {(r.name, r.value) for r in spark.read.text(f"{tmp_path}/chapter_texts").collect()} == {("chapter_001_One", "x"), ("chapter_001_Two_", "y")}
+    K.write_csv(df, f"{tmp_path}/other")
+    assert sorted(K.clean_outputs(spark, str(tmp_path))) == [f"{tmp_path}/chapter_texts", f"{tmp_path}/scenes"] and (tmp_path / "other").exists()
+
+
 def test_scene_packing():
     words = lambda n: " ".join(["w"] * n)
     ps = [words(300), "* * *", words(300), words(100)]
