@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.jobs import append_new, latest
+from ..operators.jobs import append_new, latest, overdue
 
 EVENTS = "job_id string, text_id string, user_id string, title string, status string, updated_at timestamp, error string"
 
@@ -36,16 +36,33 @@ def analyse(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str,
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_status(stream: DataFrame, out: str, checkpoint: str):
-    """Keep the latest state per job in a table: each batch is merged by the maximum of time
-    and status rank, so late and repeated events change nothing. Versions are written side
-    by side; the newest one counts."""
+def current_status(stream: DataFrame, out: str, checkpoint: str, buckets: int = 64):
+    """Keep the latest state per job in a table of ``buckets`` partitions by a hash of the job:
+    a batch reads and rewrites only the partitions of its own jobs (dynamic overwrite, through
+    Spark's committer). It is merged by the maximum of time and status rank, so late and
+    repeated events, and a batch that is run again, change nothing."""
 
-    def each(batch: DataFrame, epoch: int) -> None:
+    def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = batch.unionByName(spark.read.parquet(f"{out}/v={epoch - 1}").select(*batch.columns))
-        latest(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/v={epoch}")
+        new = latest(batch).select(*batch.columns).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        try:
+            old = spark.read.parquet(out).where(F.col("bucket").isin(touched))
+            rows = new.unionByName(old.select(*new.columns))
+        except Exception as e:  # the first batch: nothing is written yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = new
+        merged = latest(rows.drop("bucket")).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")).select(*new.columns)
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fail_overdue(out: str, spark: SparkSession, now, seconds: int = 14_400) -> DataFrame:
+    """Events that fail the jobs which the status table has in processing for too long; append
+    them to the stream's source, at an interval of your own."""
+    jobs = spark.read.parquet(out).drop("bucket")
+    return overdue(jobs, now, seconds).where("status = 'failed' AND error LIKE 'timed out%'").withColumn("updated_at", now.cast("timestamp"))

@@ -20,5 +20,12 @@ def test_stream_analyses_each_job_once_and_keeps_the_latest_status(spark, tmp_pa
     spark.createDataFrame(late, X.EVENTS).write.mode("append").parquet(src)
     events = spark.readStream.schema(X.EVENTS).parquet(src)
     X.current_status(events, str(tmp_path / "s"), str(tmp_path / "cs")).awaitTermination()
-    got = {r.job_id: r.status for r in spark.read.parquet(f"{tmp_path}/s/v=0").collect()}
-    assert got == {"j1": "completed", "j2": "pending"}
+    state = lambda: {r.job_id: r.status for r in spark.read.parquet(f"{tmp_path}/s").collect()}
+    assert state() == {"j1": "completed", "j2": "pending"}
+
+    more = [("j2", "none", "u", "a", "processing", t + dt.timedelta(hours=2), None), ("j1", "t1", "u", "a", "failed", t, None)]
+    spark.createDataFrame(more, X.EVENTS).write.mode("append").parquet(src)
+    X.current_status(events, str(tmp_path / "s"), str(tmp_path / "cs")).awaitTermination()
+    assert state() == {"j1": "completed", "j2": "processing"}
+    late = X.fail_overdue(str(tmp_path / "s"), spark, F.lit(t + dt.timedelta(hours=7)))
+    assert [(r.job_id, r.status, r.error) for r in late.collect()] == [("j2", "failed", "timed out after 14400 s")]
