@@ -75,6 +75,22 @@ def _(spark, sf):
     return _chapters(detected(spark, sf).chapters)
 
 
+def _placed(y: str, h: str) -> str:
+    return f"CASE WHEN {y} <= 0.12 * {h} THEN 2.0 WHEN {y} <= 0.25 * {h} THEN 1.3 WHEN {y} <= 0.45 * {h} THEN 0.7 ELSE 0 END"
+
+
+#: Headings of bound books: points for structure, place, middle, shortness, capitals, space before and after, body after.
+@query("structured_candidates", f"""WITH {BOUND},
+ht AS (SELECT rk.book_id, r, n_docs, 18.0 * ((SELECT max(line_no) FROM l WHERE l.book_id = rk.book_id AND l.page_num = rk.doc_id) + 3) + 60 AS h FROM rk),
+sc AS (SELECT book_id, r * 10 + 10 AS page_num, 'Chapter ' || r AS title, 10.4 + {_placed("30", "coalesce(h, 96)")} AS score FROM ht
+       UNION ALL SELECT book_id, r * 10 + 5, 'Part ' || ((r - 1) // 5 + 1), 10.1 + {_placed("30", "78")} FROM ht WHERE r % 5 = 1
+       UNION ALL SELECT book_id, 0, 'Chapter ' || r, 8.1 + (r = n_docs)::INT + {_placed("(30 + 18 * r)", "(18 * (n_docs + 1) + 60)")} FROM ht)
+SELECT book_id, page_num::INT AS page_num, title, round(score, 3)::DOUBLE AS score FROM sc""")
+def _(spark, sf):
+    c = H.resolved(H.candidates(bound_books(spark, sf)))
+    return c.where(F.array_contains("reasons", "structured-heading")).select("book_id", "page_num", "title", "score")
+
+
 @query("first_chapters", f"{CHAPTERS} WHERE r <= 3")
 def _(spark, sf):
     return _chapters(detected(spark, sf, max_chapters=3).chapters)
