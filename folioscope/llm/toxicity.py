@@ -13,7 +13,7 @@ significant segments, or else that of its best; a logistic curve fitted to count
 statistic and label turns it into a score between 0 and 1.
 
 Counts and calibration use every labelled text that may be learned from; labels are joined
-by one shuffle plan at every size. The lexicon holds every token over both thresholds, 16
+by one shuffle plan at every size, behind a sieve of 2 MB that keeps most other texts out of it. The lexicon holds every token over both thresholds, 16
 bytes each in every worker; one beyond ``spark.driver.maxResultSize`` is an error.
 
 A null or empty text has no token and gets the score of a text without a segment. Null
@@ -42,6 +42,7 @@ DRIFT = -0.7
 CEILING = 6.0
 SIGNIFICANCE = 0.05
 UNKNOWN = 0.0
+SIEVE = 1 << 24
 THRESHOLD = 0.3
 #: Everything in ASCII but letters and digits parts tokens.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -223,6 +224,19 @@ class Model:
     curve: Curve
 
 
+def sieved(docs: DataFrame, named: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) of the documents whose id may be labelled: one bit of a bitmap for a hash of
+    every labelled id. The bitmap has ``SIEVE`` bits, 2 MB, whatever the number of labels; a full
+    one lets every document pass, and the join that follows decides."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    bits = named.select(slot(F.col("key")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    d = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    at = F.bitmap_bit_position(slot(F.col(key)))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = d.join(F.broadcast(bits), F.bitmap_bucket_number(slot(F.col(key))) == F.col("bucket"))  # at most SIEVE / 32,768 rows of 4 KB
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2.0), at % 8).cast("int")) != 0).select(key, text)
+
+
 def labelled(docs: DataFrame, named: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, label), by a merge join whatever the number of labels."""
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(named.hint("merge"), "key")
@@ -232,9 +246,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Lexicon and calibration from the labelled texts given."""
     named = labels.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label")).where("label IN (0, 1) AND key IS NOT NULL")
     named = written(named)
+    docs = sieved(docs, named, key, text)
     first = lexicon(labelled(docs, named, key, text))
     raw = written(scan(docs, first, key, text, spans=False))
-    by = raw.join(named.hint("merge"), "key").groupBy(F.round(F.least(F.greatest(F.col("stat"), F.lit(-50.0)), F.lit(200.0)), 1).alias("bin"), "label").agg(F.count("*").alias("c"))
+    bounded = F.when(F.col("stat").isNotNull(), F.round(F.least(F.greatest("stat", F.lit(-50.0)), F.lit(200.0)), 1))  # texts without a segment stay apart
+    by = raw.join(named.hint("merge"), "key").groupBy(bounded.alias("bin"), "label").agg(F.count("*").alias("c"))
     rows = by.collect()  # bins of a bounded range
     bins: dict = {}
     for r in rows:
