@@ -1,19 +1,21 @@
-"""A cut of lineage for tables that are read several times."""
+"""Written tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, or under the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that all executors share (spark.checkpoint.dir) and read it
-    back, so that what is read several times is computed once and outlives executors. Without
-    such a folder ``df`` is returned as it is, and computed as often as it is read."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back, so that what is read several times is
+    computed once and outlives executors."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from ..operators import layout as L
 from ..operators import profiles as P
 from ..operators import scoring as S
 from ..operators import segment as G
+from ..operators.cut import shared_path
 from ..sources import books as B
 from ..sources import sinks as K
 from .queries import BASE, CLEAN, CONF, COUNTED, LABELS, LEX, LINES, MAPS, PROFILE, TOP2, _ranked, chapters, doc_lines, job_events, lines, profile, score_maps, scores, texts, turns
@@ -136,20 +137,20 @@ def _(spark, sf):
     return H.main_text(detected(spark, sf), 4).select("book_id", F.md5("text").alias("text_md5"))
 
 
-@query("single_chapters", f"""WITH {LINES} SELECT page_num AS book_id, 'Full Text' AS chapter_title, md5(regexp_replace(string_agg(text, ' ' ORDER BY line_no), '- (\\p{{Ll}})', '\\1', 'g')) AS text_md5 FROM l WHERE n < 140 GROUP BY page_num""")
+@query("single_chapters", f"""WITH {LINES} SELECT page_num AS book_id, 'Full Text' AS chapter_title, md5(regexp_replace(string_agg(text, ' ' ORDER BY line_no), '- (\\p{{Ll}})', '\\1', 'g')) AS text_md5 FROM l GROUP BY page_num""")
 def _(spark, sf):
-    # a text file whose page of lines has no gap is one paragraph
-    d = read(spark, sf, "documents").where(F.size(F.split("text", "\n")) < 140).select(F.col("doc_id").alias("book_id"), F.regexp_replace("text", r"\n\s*\n", "\n").alias("text"))
+    # without blank lines a text file has no gaps and is one paragraph
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.regexp_replace("text", r"\n\s*\n", "\n").alias("text"))
     found = H.detect(L.txt_lines(d), keep_front=True, keep_back=True, force_single=True).chapters
     return found.select("book_id", "chapter_title", F.md5("text").alias("text_md5"))
 
 
-@query("fallback_chapters", r"SELECT doc_id AS book_id, 'Chapter 1. Full Text' AS chapter_title, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5, true AS fallback_single_chapter FROM documents WHERE regexp_replace(text, '\s+', '', 'g') != '' AND doc_id % 2 = 0")
+@query("fallback_chapters", r"""SELECT doc_id AS book_id, CASE WHEN doc_id % 2 = 1 THEN 'One' ELSE 'Chapter 1. Full Text' END AS chapter_title, md5(CASE WHEN doc_id % 2 = 1 THEN text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS text_md5, doc_id % 2 = 0 AS fallback_single_chapter
+FROM documents WHERE doc_id % 2 = 1 OR regexp_replace(text, '\s+', '', 'g') != ''""")
 def _(spark, sf):
     books = read(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), "text")
     have = books.where("book_id % 2 = 1").select("book_id", F.lit(1).alias("chapter_index"), F.lit("One").alias("chapter_title"), "text", F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
-    found = H.with_fallback(books, have).where("fallback_single_chapter")
-    return found.select("book_id", "chapter_title", F.md5("text").alias("text_md5"), "fallback_single_chapter")
+    return H.with_fallback(books, have).select("book_id", "chapter_title", F.md5("text").alias("text_md5"), "fallback_single_chapter")
 
 
 @query("plain_texts", f"""WITH {LINES}, p AS (SELECT book_id, page_num, string_agg(text, chr(10) ORDER BY line_no) AS text FROM l WHERE NOT regexp_matches(text, '(?i)^(?:(?:page\\s+)?\\d{{1,4}}|(?:page\\s+)?\\d{{1,4}}\\s+(?:of|/)\\s+\\d{{1,4}}|[ivxlcdm]+)$') GROUP BY ALL)
@@ -164,9 +165,9 @@ def _(spark, sf):
     return B.line_table(d).select("page_num", "line_no", "text", "global_index")
 
 
-@query("decoded_texts", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+@query("decoded_texts", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def _(spark, sf):
-    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("content"))
+    d = read(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     return B.decoded(d).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -449,6 +450,22 @@ def _(spark, sf):
     return K.wide_blocks(s, P.blocks(s), LABELS).select("book_id", "chapter_index", "scene_index", "top_1", "top_1_score", "neutral", "L05", "block_index")
 
 
+@query("stage_roundtrip", f"WITH {BASE} SELECT book_id::INT AS book_id, scene_index, label, CASE WHEN book_id = 1 THEN 0 ELSE score END AS score FROM s")
+def _(spark, sf):
+    # a second run of one book replaces that book's rows only
+    path, s = shared_path(spark, "stages"), scores(spark, sf).select("book_id", "scene_index", "label", "score")
+    K.write_stage(s, path, "normalized")
+    K.write_stage(s.where("book_id = 1").withColumn("score", F.lit(0.0)), path, "normalized")
+    return spark.read.parquet(f"{path}/normalized").select("book_id", "scene_index", "label", "score")
+
+
+@query("csv_roundtrip", f"WITH {PROFILE} SELECT book_id::INT AS book_id, chapter_index::INT AS chapter_index, arg_min(label, (-average_score, label)) AS top_1, round(max(average_score) + 1e-9, 4) AS top_1_score FROM p GROUP BY book_id, chapter_index")
+def _(spark, sf):
+    path = shared_path(spark, "csv")
+    K.write_csv(K.wide(profile(spark, sf), ["book_id", "chapter_index"], LABELS, "average_score"), path)
+    return spark.read.csv(path, header=True, inferSchema=True).select("book_id", "chapter_index", "top_1", r4("top_1_score").alias("top_1_score"))
+
+
 @query("slim_results", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS num_blocks, 'n,use' AS kept, 'chapter_index' AS fields FROM documents")
 def _(spark, sf):
     d = read(spark, sf, "documents").select(
