@@ -353,8 +353,10 @@ def without_repeats(
     cut = scratch.put(places.join(texts, ["t1", "t2"]).select("t1", "t2", "places", "text").mapInArrow(_kept(length, detail), schema), "cut")
     scratch.drop(found, status, texts)
 
-    twice = copies.where("c > 1").select("t1", "t2", F.lit(True).alias("twice"))
-    out = rows.join(twice, ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
+    # texts that have copies and texts that were cut are different ones: one join for both, whose
+    # crowded keys Spark can split
+    marks = copies.where("c > 1").select("t1", "t2", F.lit(True).alias("twice")).unionByName(cut, allowMissingColumns=True)
+    out = rows.join(marks, ["t1", "t2"], "left")
     is_twice = F.col("twice").isNotNull()
     empty = hashlib.sha256(b"").hexdigest()
     cols = [
