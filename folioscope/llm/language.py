@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 24_000
 SAMPLE_DOCS = 64
+SHARES = 16
 BLOCK = 16
 SEGMENT = 1024
 FOLDS = 4
@@ -246,6 +247,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     usable = d.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("*", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     distinct = usable.groupBy("lang", "h", "n").agg(F.min("key").alias("key"))
     over = F.greatest("n", F.lit(SAMPLE_BYTES))  # texts within the budget first, then by length
+    # the first of every share of a language, and of these the first: a bounded number of rows
+    # meets in one task, whatever the number of texts or of tasks before it
+    shares = Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy(over, "h", "n")
+    distinct = distinct.withColumn("r", F.row_number().over(shares)).where(F.col("r") <= SAMPLE_DOCS).drop("r")
     order = Window.partitionBy("lang").orderBy(over, "h", "n")
     ranked = distinct.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
     # at most SAMPLE_DOCS ids a language; of the rows of one id and text, one
