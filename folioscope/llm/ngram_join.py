@@ -3,7 +3,7 @@
 Every text is a set of five-word shingle hashes. Texts with equal sets are one class.
 Hashing the shingles of a class into groups gives a point of group counts; the overlap of
 two classes is at most the sum of the coordinates' minima, so an R-tree whose boxes keep
-the maxima of their points (and the smallest size) discards whole boxes at once.
+the maxima of their points (and their sizes) discards pairs of whole boxes at once.
 
 An R-tree over the corpus would sit in one place, so points first go to lossless blocks:
 two sets of Jaccard similarity t share at least one of their first n - ceil(t n) + 1
@@ -45,7 +45,7 @@ from .tables import Scratch
 BUCKET_BITS = 20
 CROWDED = 64
 STAR_ROUNDS = 2
-LEAF = 32
+LEAF, FANOUT = 32, 8
 TREE_FROM = 8  # smaller blocks are paired directly
 STAR_YIELD = 0.1  # another round of pairs with hubs if the last linked at least this share of the classes
 SPREAD = 512  # rows of a block's main component in one lot
@@ -113,40 +113,75 @@ def _fold(v: np.ndarray, g: int) -> np.ndarray:
 
 
 class CountVectorTree:
-    """A packed two-level R-tree over count vectors, for one block.
+    """A packed R-tree over count vectors, for one block.
 
-    Points are sorted by size and then packed into leaves; a leaf's box holds the maxima of
-    its points' counts and its range of sizes. ``pairs`` lists the pairs whose bound admits
-    the similarity and whose labels differ.
+    Points are packed as in sort-tile packing: slabs by size, and within a slab by the hash group
+    whose counts differ most; ``LEAF`` of them make a leaf, and ``FANOUT`` nodes the next level's
+    node. A node has the maxima of its points' counts (its box), their range of sizes and their
+    range of labels. ``pairs`` walks pairs of nodes from the root down and lists the pairs of
+    points whose bound admits the similarity and whose labels differ.
     """
 
-    def __init__(self, sizes: np.ndarray, vectors: list[tuple[int, np.ndarray]], num: int = 3, den: int = 4) -> None:
-        self.num, self.den = num, den
-        self.order = np.argsort(sizes, kind="stable")
-        self.leaves = []
-        for k in range(0, len(sizes), LEAF):
-            rows = self.order[k : k + LEAF]
+    def __init__(self, sizes: np.ndarray, vectors: list[tuple[int, np.ndarray]], labels: np.ndarray, num: int = 3, den: int = 4) -> None:
+        self.num, self.den, self.sizes, self.labels = num, den, sizes, labels
+        order, slab = np.argsort(sizes, kind="stable"), LEAF * FANOUT
+        leaves = []
+        for k in range(0, len(order), slab):
+            rows = order[k : k + slab]
             g = 1 << max(6, (int(sizes[rows[0]]) // 2).bit_length())  # about two shingles to a group
             points = np.stack([_dense(vectors[r], g) for r in rows])
-            self.leaves.append((rows, sizes[rows], points, points.max(0)))
-
-    def pairs(self, labels: np.ndarray) -> Iterator[tuple[int, int]]:
+            by = np.argsort(points[:, points.var(0).argmax()], kind="stable")
+            leaves += [self._node(points[by[j : j + LEAF]].max(0), rows[by[j : j + LEAF]], points[by[j : j + LEAF]]) for j in range(0, len(rows), LEAF)]
+        level = leaves
+        while len(level) > 1:
+            level = [self._over(level[k : k + FANOUT]) for k in range(0, len(level), FANOUT)]
+        self.root = level[0] if level else None
+
+    def _node(self, box: np.ndarray, rows: np.ndarray, points: np.ndarray) -> dict:
+        n, label = self.sizes[rows], self.labels[rows]
+        return {"box": box, "least": n.min(), "most": n.max(), "low": label.min(), "high": label.max(), "rows": rows, "points": points}
+
+    @staticmethod
+    def _over(nodes: list[dict]) -> dict:
+        g = min(len(x["box"]) for x in nodes)
+        box = np.max([_fold(x["box"], g) for x in nodes], 0)
+        ends = {c: f(x[c] for x in nodes) for c, f in (("least", min), ("most", max), ("low", min), ("high", max))}
+        return {"box": box, "nodes": nodes} | ends
+
+    def _apart(self, x: dict, y: dict) -> bool:
+        """No pair of the two nodes' points is similar enough, or all have one label."""
         num, den = self.num, self.den
-        for i, (rows, n, points, box) in enumerate(self.leaves):
-            for rows2, n2, points2, box2 in self.leaves[i:]:
-                if n2[0] * num > n[-1] * den:
-                    break  # leaves are in order of size
-                g = min(len(box), len(box2))
-                if np.minimum(_fold(box, g), _fold(box2, g)).sum() * (num + den) < num * (n[0] + n2[0]):
-                    continue
-                p, q = _fold(points, g), _fold(points2, g)
-                for k in range(len(rows)):
-                    ok = (labels[rows2] != labels[rows[k]]) & (n2 * num <= n[k] * den) & (n[k] * num <= n2 * den)
-                    if ok.any():
-                        ok[ok] = np.minimum(q[ok], p[k]).sum(1) * (num + den) >= num * (n[k] + n2[ok])
-                        for j in np.flatnonzero(ok):
-                            if rows2 is not rows or j > k:
-                                yield int(rows[k]), int(rows2[j])
+        if x["least"] * num > y["most"] * den or y["least"] * num > x["most"] * den or x["low"] == x["high"] == y["low"] == y["high"]:
+            return True
+        g = min(len(x["box"]), len(y["box"]))
+        return np.minimum(_fold(x["box"], g), _fold(y["box"], g)).sum() * (num + den) < num * (x["least"] + y["least"])
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        todo = [(self.root, self.root)] if self.root else []
+        while todo:
+            x, y = todo.pop()
+            if self._apart(x, y):
+                continue
+            if "nodes" in x and x is y:
+                todo += [(p, q) for k, p in enumerate(x["nodes"]) for q in x["nodes"][k:]]
+            elif "nodes" in x or "nodes" in y:
+                todo += [(p, q) for p in x.get("nodes", [x]) for q in y.get("nodes", [y])]
+            else:
+                yield from self._points(x, y)
+
+    def _points(self, x: dict, y: dict) -> Iterator[tuple[int, int]]:
+        num, den, g = self.num, self.den, min(len(x["box"]), len(y["box"]))
+        p, q = _fold(x["points"], g), _fold(y["points"], g)
+        n2, labels2 = self.sizes[y["rows"]], self.labels[y["rows"]]
+        for k, row in enumerate(x["rows"]):
+            n = self.sizes[row]
+            ok = (labels2 != self.labels[row]) & (n2 * num <= n * den) & (n * num <= n2 * den)
+            if x is y:
+                ok[: k + 1] = False
+            if ok.any():
+                ok[ok] = np.minimum(q[ok], p[k]).sum(1) * (num + den) >= num * (n + n2[ok])
+                for j in np.flatnonzero(ok):
+                    yield int(row), int(y["rows"][j])
 
 
 def _profile(key: str, text: str, bits: int):
@@ -320,7 +355,7 @@ def _search(num: int, den: int):
             for x in size:
                 if x not in vectors:
                     vectors[x] = groups(packed[x])
-            for i, j in CountVectorTree(n, [vectors[x] for x in sid.tolist()], num, den).pairs(label):
+            for i, j in CountVectorTree(n, [vectors[x] for x in sid.tolist()], label, num, den).pairs():
                 a, b = sorted((int(sid[i]), int(sid[j])))
                 if (a, b) not in seen:
                     seen.add((a, b))

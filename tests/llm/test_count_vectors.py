@@ -37,3 +37,26 @@ def test_shared_keys_over_batches(held, monkeypatch):
         got = [(r["h"], r["sid"]) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()]
         sizes = Counter(h for h, _ in set(rows))
         assert sorted(got) == sorted(x for x in set(rows) if sizes[x[0]] > 1)
+
+
+def test_tree_lists_every_similar_pair_once():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 1 << 64, int(rng.integers(3, 300)), dtype=np.uint64))
+        for _ in range(int(rng.integers(1, 12))):
+            keep = rng.random(len(base)) < rng.choice([1.0, 0.95, 0.8])
+            sets.append(np.unique(np.append(base[keep], rng.integers(0, 1 << 64, int(rng.integers(0, 4)), dtype=np.uint64))))
+    sets = [s for s in sets if len(s)]
+    sizes, labels = np.array([len(s) for s in sets]), rng.integers(0, 5, len(sets))
+    vectors = [ngram_join.groups(ngram_join.count_vector(s)) for s in sets]
+    got = [tuple(sorted(p)) for p in ngram_join.CountVectorTree(sizes, vectors, labels).pairs()]
+    assert len(got) == len(set(got)) and all(labels[a] != labels[b] for a, b in got)
+    want = set()
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if labels[a] != labels[b] and 4 * both >= 3 * (sizes[a] + sizes[b] - both):
+                want.add((a, b))
+    assert len(want) > 50 and want <= set(got) and len(got) < 3 * len(want)
+    assert list(ngram_join.CountVectorTree(sizes[:0], [], labels[:0]).pairs()) == []
