@@ -475,12 +475,14 @@ def _heads(labelled: DataFrame) -> DataFrame:
 
 def _dealt(blocks: DataFrame) -> DataFrame:
     """Large blocks dealt to lots, blocks of one hub together. In a block of more than
-    ``SPREAD`` rows those of the hub's component, which are not compared with each other, are
+    ``SPREAD`` rows those of its largest component, which are not compared with each other, are
     dealt over as many lots as it has ``SPREAD`` rows; all others go to each of these. The
     blocks of a hub that has so many rows are dealt over ``SHARES`` more by their key."""
     slots = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("c") / SPREAD, F.lit(1.0))))).cast("long")
     home = F.pmod(F.xxhash64("sid"), F.col("slots"))
-    own = F.when(F.col("label") == F.col("hub_label"), F.array(home)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
+    main = blocks.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    blocks = blocks.join(main, "h")
+    own = F.when(F.col("label") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
     dealt = blocks.withColumn("slots", slots).withColumn("slot", F.explode(own))
     share = F.pmod("h", F.least(F.col("slots"), F.lit(SHARES)))
     return dealt.withColumn("lot", F.xxhash64("hub", "slots", "slot", share)).select("lot", "h", "sid", "label", "n")
