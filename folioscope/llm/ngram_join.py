@@ -285,16 +285,16 @@ def bounded(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFra
     return pairs.mapInArrow(_bound(num, den), "a long, b long")
 
 
-def _check(num: int, den: int):
+def _check(num: int, den: int, width: int = W.WIDTH):
     _, enough = _limits(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (W.column(batch, c).to_numpy() for c in ("a", "b"))
             rows = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
-            right = {int(b[rows[k]]): s for k, s in W.sets(W.column(batch, "text_b").take(pa.array(rows, pa.int64())))}
+            right = {int(b[rows[k]]): s for k, s in W.sets(W.column(batch, "text_b").take(pa.array(rows, pa.int64())), width)}
             keep = np.zeros(len(a), bool)
-            for k, s in W.sets(W.column(batch, "text_a")):
+            for k, s in W.sets(W.column(batch, "text_a"), width):
                 t = right[int(b[k])]
                 both = int(np.isin(s, t, assume_unique=True).sum()) if len(s) and len(t) else 0
                 keep[k] = both > 0 and enough(both, len(s) + len(t))
@@ -329,11 +329,11 @@ def class_texts(docs: DataFrame, classes: DataFrame, some: DataFrame) -> DataFra
     return found.mapInArrow(_once, "sid long, text string")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int = W.WIDTH) -> DataFrame:
     """Pairs (a, b) of classes whose exact sets are similar enough."""
     one = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_check(num, den), "a long, b long")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_check(num, den, width), "a long, b long")
 
 
 def _search(num: int, den: int):

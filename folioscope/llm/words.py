@@ -1,9 +1,10 @@
 """Words and shingles of whole texts, a block of documents at a time, in numpy.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z are lower-cased.
-Hashes are 64 bits wide, of the word's bytes (a table-driven polynomial with a final
-mix), so equal words have equal hashes everywhere; two different shingles of one pair
-of documents meet with a probability below 1e-10.
+Hashes are 64 bits wide, of the word's bytes (each byte's number times a number of its place,
+summed and mixed; no powers of one base, for which regular words meet with certainty), so
+equal words have equal hashes everywhere; two different shingles of one pair of documents
+meet with a probability below 1e-10.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER_TABLE = TABLE[LOWER]
 _STEPS = _mix(np.arange(1, WIDTH + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 _powers: dict[int, np.ndarray] = {}
+_places = np.zeros(0, dtype=_U)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -51,6 +53,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def places(n: int) -> np.ndarray:
+    """Odd numbers without a pattern for the places 0 .. n-1 of a word's bytes."""
+    global _places
+    if len(_places) >= n:
+        return _places[:n]
+    out = _mix(np.arange(1, max(n, 1 << 12) + 1, dtype=_U) * _U(0xE7037ED1A0B428DB)) | _U(1)
+    if len(out) <= 8 * BLOCK_BYTES:
+        _places = out
+    return out[:n]
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, and the offsets of each; null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -86,9 +99,9 @@ class Words:
     first: np.ndarray  # first word of each document; one more entry than documents
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> Words:
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
     start = inside.copy()
@@ -97,11 +110,15 @@ def words(data: np.ndarray, at: np.ndarray) -> Words:
     end[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     doc = np.searchsorted(at, start, "right") - 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum(LOWER_TABLE[data] * powers(_BASE, n), out=sums[1:])
-        hashed = (sums[end] - sums[start]) * powers(_INV, n + 1)[start]
-        hashed = _mix(hashed + (end - start).astype(_U))
+    long = end - start
+    hashed = np.zeros(len(start), dtype=_U)
+    if len(start):
+        first = np.cumsum(long) - long
+        bytes_at = np.flatnonzero(inside)
+        place = np.arange(len(bytes_at)) - np.repeat(first, long)
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(LOWER_TABLE[data[bytes_at]] * places(int(long.max()))[place], first)
+            hashed = _mix(sums + long.astype(_U))
     return Words(start, end, doc, hashed, np.searchsorted(doc, np.arange(len(at))))
 
 
