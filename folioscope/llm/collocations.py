@@ -43,7 +43,7 @@ from .tables import Scratch
 LEAST, TOP, ORDERS = 100, 2000, 5
 SIEVE_BITS = 27  # 16 MB in a worker for each of the four sieves
 PENDING = 1 << 21  # hashes that a task holds before it sorts and counts them
-SLICES = 64  # ranges of the hash for each partition; one at a time is merged
+SLICES = 8  # ranges of the hash for each partition; one at a time is merged
 TAIL = 5  # bytes of a hash below its range
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -183,33 +183,58 @@ def _sieve(docs: DataFrame, sieves: list, first: int, last: int, slice_bits: int
     return spark.sparkContext.broadcast(words.view(np.uint8))
 
 
-def _named(sieves: list, cut: int):
-    """(lang, m, phrase, f) of the phrases that pass all sieves, counted within a task; m = 0 is
-    the number of words."""
+def _named(sieves: list, slice_bits: int):
+    """The phrases that pass all sieves with a task's counts, by ranges of the hash, a row for
+    each range; m = 0 is the number of words."""
+    cut, top = 64 - slice_bits - 8 * TAIL, _U(64 - slice_bits)
 
     def rows(held: dict) -> pa.RecordBatch:
-        keys = list(held)
-        return pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-            pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), pa.array([held[k] for k in keys], pa.int64()),
-        ], ["lang", "m", "phrase", "f"])
+        ranges: dict[int, list] = {}
+        for (part, *key), f in held.items():
+            ranges.setdefault(part, []).append((*key, f))
+        lists = [[[x[k] for x in found] for found in ranges.values()] for k in range(4)]
+        phrases = pa.array(lists[2], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(list(ranges), pa.int32()), pa.array(lists[0], pa.list_(pa.string())), pa.array(lists[1], pa.list_(pa.int32())), phrases, pa.array(lists[3], pa.list_(pa.int64()))], ["part", "lang", "m", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests, known, held = [Sieve(s.value) for s in sieves], {}, {}
         for batch in batches:
             for data, w, pieces, names, seeds in _blocks(batch, known):
                 raw, start, end = W.LOWER[data].tobytes(), w.start, w.end
-                for x, n in zip(names, np.diff(w.first).tolist(), strict=True):
-                    held[x, 0, b""] = held.get((x, 0, b""), 0) + n
+                for x, seed, n in zip(names, (seeds >> top).tolist(), np.diff(w.first).tolist(), strict=True):
+                    held[seed, x, 0, b""] = held.get((seed, x, 0, b""), 0) + n
                 for m, at, g in _phrases(w, pieces, seeds, [*tests, tests[-1]], ORDERS, cut):
-                    _, where, counts = np.unique(g, return_index=True, return_counts=True)
-                    for i, c in zip(at[where].tolist(), counts.tolist(), strict=True):
-                        key = names[w.doc[i]], m, b" ".join(raw[start[j] : end[j]] for j in range(i, i + m))
+                    distinct, where, counts = np.unique(g, return_index=True, return_counts=True)
+                    for part, i, c in zip((distinct >> top).tolist(), at[where].tolist(), counts.tolist(), strict=True):
+                        key = part, names[w.doc[i]], m, b" ".join(raw[start[j] : end[j]] for j in range(i, i + m))
                         held[key] = held.get(key, 0) + c
                 if len(held) > PENDING >> 2:
                     yield rows(held)
                     held = {}
-        yield rows(held)
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _totals(least: int):
+    """Rows in order of their range -> (lang, m, phrase, f) with f >= least, and those of m = 0."""
+
+    def found(held: dict) -> pa.RecordBatch:
+        keep = [(*key, f) for key, f in held.items() if f >= least or key[1] == 0]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in keep], t) for k, t in enumerate(kinds)], ["lang", "m", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            for part, *lists in zip(*(W.column(batch, x).to_pylist() for x in ("part", "lang", "m", "phrase", "f")), strict=True):
+                if part != at:
+                    yield found(held)
+                    at, held = part, {}
+                for *key, f in zip(*lists, strict=True):
+                    held[tuple(key)] = held.get(tuple(key), 0) + f
+        yield found(held)
 
     return run
 
@@ -225,8 +250,9 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, lang: str = "lang", text: s
     sieves: list = []
     for first, last in ((1, 1), (2, 2), (3, 3), (4, ORDERS)):
         sieves.append(_sieve(docs, sieves, first, last, slice_bits, least))
-    named = docs.mapInArrow(_named(sieves, 64 - slice_bits - 8 * TAIL), "lang string, m int, phrase string, f long")
-    return scratch.put(named.groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("m") == 0)), "counts")
+    named = docs.mapInArrow(_named(sieves, slice_bits), "part int, lang array<string>, m array<int>, phrase array<string>, f array<long>")
+    dealt = named.repartition(_parts(docs.sparkSession), "part").sortWithinPartitions("part")
+    return scratch.put(dealt.mapInArrow(_totals(least), "lang string, m int, phrase string, f long"), "counts")
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
