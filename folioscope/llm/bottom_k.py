@@ -1,10 +1,11 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
-A text's set are its distinct three-word shingles, by one 63-bit hash each. Its sketch are the k
-smallest values, k = n - ceil(t n) + 1 for n shingles: of two sets of Jaccard similarity t or
-more, one value at least is in both sketches. What a value weighs is a matter of choice: values
-of crowded hash buckets (counted over all texts) get the top bit, so they come last, and a line
-that many documents share makes no long list unless the documents consist of such lines.
+A text's set are its distinct three-word shingles, by one hash each. Its sketch are the k smallest
+values, k = n - ceil(t n) + 1 for n shingles: of two sets of Jaccard similarity t or more, one
+value at least is in both sketches, whatever weighs into the values. So a value begins with the
+level (a half power of two) of its hash bucket's count over all texts: rare shingles come first,
+and a phrase or line that many documents share makes no long list unless the documents consist
+of such lines.
 
 Inverted lists of the retained values generate overlaps. The union sketch of two sets are the
 values up to the lower of the two sketches' ends: up to there both are known, so it estimates
@@ -28,6 +29,7 @@ empty table. Class ids are 64-bit hashes of sets.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +44,13 @@ from .tables import Scratch
 
 WIDTH = 3
 NUM, DEN = 17, 20  # 0.85
-BUCKET_BITS = 20
-CROWDED = 64
+BUCKET_BITS = 23  # of the table of levels: 8 MB in a worker, whatever the corpus
+SLICE_BITS = 15
 ROUNDS = 2
 SHORT = 32  # rows of a list whose pairs are formed by a join
 TILE = 256
 COLUMNS = 1 << 14
 _U = np.uint64
-_TOP = _U(1 << 63)
 
 
 def kept_values(n: int, num: int, den: int) -> int:
@@ -57,10 +58,16 @@ def kept_values(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def sketch(s: np.ndarray, crowded: np.ndarray, bits: int, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The bottom-k sketch of a set of 64-bit shingle hashes: sorted 63-bit values under a top bit."""
-    v = s >> _U(1)
-    v = np.unique(np.where(crowded[(s >> _U(64 - bits)).astype(np.int64)], v | _TOP, v))
+def level(counts: np.ndarray) -> np.ndarray:
+    """0 .. 127, twice the binary logarithm of a bucket's count."""
+    return np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
+def sketch(s: np.ndarray, levels: np.ndarray, bits: int, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """The bottom-k sketch of a set of 64-bit shingle hashes: sorted values of 7 bits for the
+    level of the hash's bucket and 57 of the hash."""
+    of = levels[(s >> _U(64 - bits)).astype(np.int64)].astype(_U)
+    v = np.unique(of << _U(57) | s >> _U(7))
     return v[: kept_values(len(v), num, den)] if len(v) else v
 
 
@@ -74,29 +81,46 @@ def union_sketch(x: np.ndarray, y: np.ndarray, n: int, m: int) -> tuple[int, int
 
 
 def _profile(bits: int):
-    """(key, t, sid, n) of every row, and a last batch with the task's crowded buckets."""
+    """(key, t, sid, n) of every row, and a last batch with the task's counts of all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
-        names = ["key", "t", "sid", "n", "bucket", "cnt"]
+        counts = np.zeros(1 << bits, np.uint32)
+        names, size = ["key", "t", "sid", "n", "slice", "counts"], 1 << min(SLICE_BITS, bits)
         for batch in batches:
             sid, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, s in W.sets(W.column(batch, "text"), WIDTH):
                 sid[row], n[row] = set_id(s), len(s)
-                counts[(s >> _U(64 - bits)).astype(np.int64)] += 1
-            nothing = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([W.column(batch, "key"), W.column(batch, "t"), pa.array(sid), pa.array(n), nothing, nothing], names)
-        mean = counts.mean()
-        at = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 3)
-        nothing = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(at), pa.array(counts[at].astype(np.int64))], names)
+                of, c = np.unique((s >> _U(64 - bits)).astype(np.int64), return_counts=True)
+                counts[of] += c.astype(np.uint32)
+            nothing = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([W.column(batch, "key"), W.column(batch, "t"), pa.array(sid), pa.array(n), *nothing], names)
+        packed = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(counts.reshape(-1, size)) if x.any()]
+        nothing = [pa.nulls(len(packed), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([k for k, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names)
 
     return run
 
 
-def _sketches(high, bits: int, num: int, den: int):
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of buckets in order of their slice -> the levels of each slice."""
+    row = lambda at, x: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level(x).tobytes()], pa.binary())], ["slice", "levels"])
+    at, total = None, None
+    for batch in batches:
+        for k, x in zip(W.column(batch, "slice").to_pylist(), W.column(batch, "counts").to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+            if k == at:
+                total += x
+            else:
+                if at is not None:
+                    yield row(at, total)
+                at, total = k, x
+    if at is not None:
+        yield row(at, total)
+
+
+def _sketches(table, bits: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = np.unpackbits(high.value).astype(bool)
+        levels = np.frombuffer(table.value, np.uint8)
         last = None
         for batch in batches:
             sids, sizes, packed = [], [], []
@@ -106,7 +130,7 @@ def _sketches(high, bits: int, num: int, den: int):
                     last = sid
                     sids.append(sid)
                     sizes.append(len(s))
-                    packed.append(sketch(s, crowded, bits, num, den).tobytes())
+                    packed.append(sketch(s, levels, bits, num, den).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["sid", "n", "sketch"])
 
     return run
@@ -239,12 +263,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    profile = scratch.put(docs.mapInArrow(_profile(bits), "key long, t long, sid long, n long, bucket long, cnt long"), "profile")
-    rows = profile.where("bucket IS NULL").select("key", "t", "sid", "n")
-    crowded = np.zeros(1 << bits, bool)  # a fixed number of buckets, whatever the corpus
-    full = profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= CROWDED)
-    crowded[[r.bucket for r in full.select("bucket").toLocalIterator()]] = True
-    high = spark.sparkContext.broadcast(np.packbits(crowded))
+    profile = scratch.put(docs.mapInArrow(_profile(bits), "key long, t long, sid long, n long, slice int, counts binary"), "profile")
+    rows = profile.where("slice IS NULL").select("key", "t", "sid", "n")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sliced = profile.where("slice IS NOT NULL").select("slice", "counts").repartition(parts, "slice").sortWithinPartitions("slice")
+    levels = np.zeros(1 << bits, np.uint8)
+    for row in sliced.mapInArrow(_levels, "slice int, levels binary").toLocalIterator():  # a table of a fixed size
+        levels[row.slice * len(row.levels) : (row.slice + 1) * len(row.levels)] = np.frombuffer(row.levels, np.uint8)
+    high = spark.sparkContext.broadcast(levels.tobytes())
 
     low = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("low")
     known = scratch.put(rows.where("n > 0").groupBy("sid").agg(low).select("sid", F.col("low.key").alias("low"), F.col("low.t").alias("low_t")), "known")
