@@ -7,62 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.jobs import append_new, latest, overdue
+from ..operators.jobs import append_new
+from ..sources import commits
+from .queue import JobQueue
+from .status import KEEP, LIMIT, changes
 
 EVENTS = "job_id string, text_id string, user_id string, title string, status string, updated_at timestamp, error string"
+RESULTS = "job_id string, result_json string"
 
 
 def job_stream(spark: SparkSession, path: str, texts: DataFrame, schema: str = EVENTS, delay: str = "1 day") -> DataFrame:
-    """Pending jobs, each once within the watermark, joined to their text; unknown ids go."""
+    """Pending jobs of a folder of events, each once within the watermark, with their text;
+    unknown ids go."""
     events = spark.readStream.schema(schema).parquet(path).where("status = 'pending'")
     once = events.withWatermark("updated_at", delay).dropDuplicatesWithinWatermark(["job_id"])
     return once.join(texts.select("text_id", "content"), "text_id")
 
 
-def analyse(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Start a query that runs the batch pipeline on every micro-batch and appends results;
-    a job that has a result gets no second one, so replays are harmless."""
+def claimed(spark: SparkSession, queue: str, texts: DataFrame, member: int = 0, members: int = 1, limit: int = 0) -> DataFrame:
+    """The jobs that this member of a worker group takes from the queue, with their text; unknown
+    ids go. A job that is in the queue twice comes twice: results are unique by job id."""
+    spark.dataSource.register(JobQueue)
+    jobs = spark.readStream.format("jobqueue").options(path=queue, member=member, members=members, limit=limit).load()
+    return jobs.join(texts.select("text_id", "content"), "text_id")
 
-    def each(batch: DataFrame, _: int) -> None:
+
+def analyse(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, results: str = RESULTS):
+    """Start a query that runs the batch pipeline on every micro-batch and commits its results
+    by the batch's number: a batch that fails after its write and runs again replaces what it wrote.
+    A job that another batch has a result of gets no second one."""
+
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(out).select("job_id")
-        except Exception as e:  # the first batch: nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = batch.select("job_id").limit(0)
-        append_new(have, run(batch)).write.mode("append").parquet(out)
+        name = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # the checkpoint's, the same after a restart
+        have = commits.committed(spark, out, results, but=commits.batch_folder(name, number))
+        commits.put(append_new(have, run(batch)), out, name, number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_status(stream: DataFrame, out: str, checkpoint: str, buckets: int = 64):
-    """Keep the latest state per job in a table of ``buckets`` partitions by a hash of the job:
-    a batch reads and rewrites only the partitions of its own jobs (dynamic overwrite, through
-    Spark's committer). It is merged by the maximum of time and status rank, so late and
-    repeated events, and a batch that is run again, change nothing."""
+def current_status(stream: DataFrame, out: str, checkpoint: str, limit: float = LIMIT, keep: float = KEEP, clock: str = "ProcessingTime", delay: str = "1 day", every: str = "10 seconds"):
+    """Start a query that keeps every job's status as state and appends its changes to ``out``,
+    each batch once. ``status.current`` reads the state, ``status_log`` the changes. By the cluster's
+    clock it runs until it is stopped, by the events' own until all there is has been read."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch).select(*batch.columns).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
-        if not touched:
-            return
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()  # the state's operator runs once
         try:
-            old = spark.read.parquet(out).where(F.col("bucket").isin(touched))
-            rows = new.unionByName(old.select(*new.columns))
-        except Exception as e:  # the first batch: nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = new
-        merged = latest(rows.drop("bucket")).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")).select(*new.columns)
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+            if not batch.isEmpty():
+                commits.put(batch, out, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number)
+        finally:
+            batch.unpersist()
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = changes(stream, limit, keep, clock, delay).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (write.trigger(processingTime=every) if clock == "ProcessingTime" else write.trigger(availableNow=True)).start()
+
+
+def finished(spark: SparkSession, out: str, results: str = RESULTS) -> DataFrame:
+    """The committed results."""
+    return commits.committed(spark, out, results)
 
 
-def fail_overdue(out: str, spark: SparkSession, now, seconds: int = 14_400) -> DataFrame:
-    """Events that fail the jobs which the status table has in processing for too long; append
-    them to the stream's source, at an interval of your own."""
-    jobs = spark.read.parquet(out).drop("bucket")
-    return overdue(jobs, now, seconds).where("status = 'failed' AND error LIKE 'timed out%'").withColumn("updated_at", now.cast("timestamp"))
+def status_log(spark: SparkSession, out: str) -> DataFrame:
+    """The committed changes of status, as events."""
+    return commits.committed(spark, out, EVENTS).select(*[F.col(c.split()[0]) for c in EVENTS.split(", ")])
