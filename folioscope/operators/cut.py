@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A new path under spark.checkpoint.dir. Where that is unset, one under the warehouse if all
+    runs on this machine, else an error: a local folder is no place that executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -19,3 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has returned and that nothing reads again."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}:
+            if "/cut-" in path:
+                where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

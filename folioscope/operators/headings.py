@@ -1,9 +1,11 @@
 """Heading candidates, their selection, the body window, and chapters.
 
 Works on a line table with clean texts. Candidate groups are at most five lines, so they come
-from a window of five rows; folds over a page's or a book's candidates are ``aggregate`` over a
-sorted array of candidates only, never of lines. Lines meet their book's headings through one
-sorted array of headings a book, so no window runs over all lines of a book.
+from a window of five rows. What the folds over candidates keep is found without a fold over all of
+them: a candidate can only meet the next few, so each says how far the next one to look at is, runs of
+candidates are summed up by where they are left for every place they can be entered at, and the
+summaries are chained. Lines meet their book's headings by an as-of join in ranges, so no
+window runs over all lines of a book.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .asof import with_last
 from .cut import cut
 from .layout import is_centered, matched, page_medians, paragraphs, settled, with_gaps, with_index
 
@@ -111,27 +114,76 @@ def scored(c: DataFrame, taken: Column) -> DataFrame:
     return out.where(F.col("score") >= F.when(F.col("kind") == "chapter", 5.0).otherwise(4.5))
 
 
-def _folded(c: DataFrame, keys: list[str], clash) -> DataFrame:
-    """Ordered fold: a row that clashes with the last kept one replaces it only if better."""
-    names = [x for x in c.columns if x not in keys]
-    item = F.struct("start_global", (-F.col("score")).alias("neg"), *[x for x in names if x != "start_global"])
-    items = F.array_sort(F.collect_list(item))
+SPAN = 5  # lines of a candidate at most
+RUN = 256  # candidates in one run
+
 
-    def step(kept, x):
-        last = F.try_element_at(kept, F.lit(-1))
-        hit = (F.size(kept) > 0) & clash(last, x)
-        return F.when(~hit, F.concat(kept, F.array(x))).when(x["score"] > last["score"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
+def apart(c: DataFrame, keys: list[str], run: int = RUN) -> DataFrame:
+    """Of candidates that overlap, in order: one that begins within the last kept one replaces it
+    if its score is better, and is dropped otherwise.
 
-    folded = c.groupBy(*keys).agg(items.alias("items"))
-    kept = F.aggregate("items", F.slice("items", 1, 0), step)
-    return folded.select(*keys, F.explode(kept).alias("x")).select(*keys, *[F.col(f"x.{n}").alias(n) for n in names])
+    Of candidates with one start only the best can be kept. The next to look at after a
+    candidate is the first that begins behind it or is better, at most ``SPAN`` further on, and
+    if that one begins behind it the candidate is kept. Which are looked at is a chain of such steps;
+    a run of ``run`` candidates is entered at one of its first ``SPAN`` and left at one of the
+    next run's, and these entries are chained over a key's runs.
+    """
+    names = [x for x in c.columns if x not in keys]
+    item = F.struct((-F.col("score")).alias("neg"), *[x for x in names if x != "start_global"])
+    one = c.groupBy(*keys, "start_global").agg(F.min(item).alias("x")).select(*keys, "start_global", *[F.col(f"x.{n}").alias(n) for n in names if n != "start_global"])
+    order = Window.partitionBy(*keys).orderBy("start_global")
+    behind = [F.lead("start_global", k).over(order) > F.col("end_global") for k in range(1, SPAN + 1)]
+    better = [F.lead("score", k).over(order) > F.col("score") for k in range(1, SPAN + 1)]
+    step, kept = F.lit(SPAN), F.lit(True)  # without another candidate it is kept
+    for k in range(SPAN, 0, -1):
+        here = F.coalesce(behind[k - 1], F.lit(True))
+        step, kept = F.when(here | better[k - 1], k).otherwise(step), F.when(here, True).when(better[k - 1], False).otherwise(kept)
+    rows = one.withColumns({"_step": step, "_kept": kept, "_nth": F.row_number().over(order) - 1})
+    rows = cut(rows.withColumns({"_run": F.floor(F.col("_nth") / run).cast("long"), "_in": (F.col("_nth") % run).cast("int")}))
+
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_in", "_step"))), lambda x: x["_step"])
+    runs = rows.groupBy(*keys, "_run").agg(steps.alias("steps"))
+
+    def seen(begin: Column) -> Column:
+        """(next, looked at): places of a run's chain that begins at ``begin``."""
+        start = F.struct(F.lit(0).alias("k"), begin.cast("int").alias("next"), F.array().cast("array<int>").alias("at"))
+        take = lambda s, x: F.struct((s["k"] + 1).alias("k"), F.when(s["k"] == s["next"], s["next"] + x).otherwise(s["next"]).alias("next"), F.when(s["k"] == s["next"], F.concat(s["at"], F.array(s["k"]))).otherwise(s["at"]).alias("at"))
+        return F.aggregate("steps", start, take)
+
+    exits = F.array(*[seen(F.lit(k))["next"] - F.size("steps") for k in range(SPAN)])
+    listed = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_run", exits.alias("exits")))).alias("runs"))  # a row a run
+    chain = lambda s, x: F.concat(s, F.array(F.element_at(x["exits"], F.element_at(s, -1) + 1)))
+    entries = listed.select(*keys, F.posexplode(F.aggregate("runs", F.array(F.lit(0)), chain)).alias("_run", "begin"))
+    looked = matched(runs, entries.withColumn("_run", F.col("_run").cast("long")), [*keys, "_run"]).select(*keys, "_run", F.explode(seen(F.col("begin"))["at"]).alias("_in"))
+    return matched(rows.where("_kept"), looked, [*keys, "_run", "_in"]).select(*c.columns)
+
+
+def retitled(c: DataFrame) -> DataFrame:
+    """Of candidates with equal titles on one page or on neighbouring ones, in order: the better
+    score, of equal scores the first.
+
+    On one page the best is left. Then, of pages in a row, one that is better than the page
+    before is always looked at; another one is looked at if that page was not, as it was dropped
+    then. So from the last page that is better, or the first, every other one is looked at, and it
+    is kept unless the next is better.
+    """
+    book = Window.partitionBy("book_id").orderBy("start_global")
+    other = F.coalesce(F.lag("norm").over(book) != F.col("norm"), F.lit(True)) | F.coalesce(F.col("page_num") - F.lag("page_num").over(book) > 1, F.lit(True))
+    rows = c.withColumn("_row", F.sum(other.cast("long")).over(book))
+    names = [x for x in c.columns if x not in ("book_id", "page_num")]
+    best = F.max_by(F.struct(*names), F.struct("score", (-F.col("start_global")).alias("first"))).alias("x")
+    rows = rows.groupBy("book_id", "_row", "page_num").agg(best).select("book_id", "_row", "page_num", *[F.col(f"x.{n}").alias(n) for n in names])
+    order = Window.partitionBy("book_id", "_row").orderBy("page_num")
+    nth = F.row_number().over(order)
+    better = F.coalesce(F.col("score") > F.lag("score").over(order), F.lit(True))
+    rows = rows.withColumns({"_nth": nth, "_better": better, "_ahead": F.coalesce(F.lead("score").over(order) > F.col("score"), F.lit(False))})
+    since = F.col("_nth") - F.max(F.when(F.col("_better"), F.col("_nth"))).over(order)
+    return rows.withColumn("_since", since).where("_since % 2 = 0 AND NOT _ahead").select(*c.columns)
 
 
 def resolved(c: DataFrame) -> DataFrame:
     """Overlaps on a page, then equal titles at most one page apart."""
-    one = _folded(c, ["book_id", "page_num"], lambda last, x: x["start_global"] <= last["end_global"])
-    near = lambda last, x: (last["norm"] == x["norm"]) & (x["page_num"] - last["page_num"] <= 1)
-    return _folded(one, ["book_id"], near)
+    return retitled(apart(c, ["book_id", "page_num"]))
 
 
 def contents_candidates(c: DataFrame) -> DataFrame:
@@ -247,9 +299,8 @@ def chapters(body: DataFrame, chosen: DataFrame, window: DataFrame) -> DataFrame
     heads = heads.withColumn("marker", marker & (others == 1))
     section = F.last(F.when(F.col("marker"), F.col("title")), ignorenulls=True).over(order)
     heads = heads.withColumn("full_title", T.prefixed_title(section, F.col("title")))
-    listed = heads.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("start_global", "end_global", "full_title", "marker"))).alias("heads"))
-    at = F.try_element_at(F.filter("heads", lambda x: x["start_global"] <= F.col("global_index")), F.lit(-1))
-    owned = matched(body, listed, ["book_id"]).withColumn("head", at).drop("heads")
+    heads = heads.withColumn("global_index", F.col("start_global"))
+    owned = with_last(body, heads, ["book_id"], "global_index", ["start_global", "end_global", "full_title", "marker"], "head")
     owned = owned.where(F.col("head").isNotNull() & ~F.col("head.marker") & (F.col("global_index") > F.col("head.end_global")))
     owned = owned.withColumns({"start": F.col("head.start_global"), "chapter_title": F.col("head.full_title")}).drop("head")
     index = F.row_number().over(Window.partitionBy("book_id").orderBy("start"))

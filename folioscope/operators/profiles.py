@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cut import cut
 from .layout import matched
 
 NEUTRAL = "neutral"
@@ -77,7 +78,7 @@ def chapter_arc(profile: DataFrame, k: int = 5) -> DataFrame:
     top = top_k(profile, ["book_id", "chapter_index"], k, "average_score")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), ",")
     peak = profile.groupBy("book_id", "chapter_index").agg(F.max(F.when(F.col("label") != NEUTRAL, F.col("average_score"))).alias("intensity"))
-    return top.groupBy("book_id", "chapter_index").agg(listed.alias("top")).join(peak, ["book_id", "chapter_index"])
+    return matched(top.groupBy("book_id", "chapter_index").agg(listed.alias("top")), peak, ["book_id", "chapter_index"])
 
 
 def trends(profile: DataFrame, by: str = "average_score") -> DataFrame:
@@ -109,8 +110,9 @@ def trajectory(profile: DataFrame, k: int = 8, axis: str = "chapter_index", by:
     """A score for every chapter (or block, by ``axis``) and plotted label, 0 where absent.
 
     A book's axis is collected to rows once: one map of scores for every point, from which the
-    plotted labels are taken, so the profile is read for the labels and for the points only.
+    plotted labels are taken. The profile is computed once, to a written table.
     """
+    profile = cut(profile.select("book_id", axis, "label", by))
     labels = plot_labels(profile, [axis], k, by=by).groupBy("book_id").agg(F.collect_list("label").alias("labels"))
     points = profile.groupBy("book_id", axis).agg(F.map_from_entries(F.collect_list(F.struct("label", by))).alias("scores"))
     rows = matched(points, labels, ["book_id"]).select("book_id", axis, "scores", F.explode("labels").alias("label"))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cut import cut
 from .layout import matched
 from .profiles import NEUTRAL
+from .quantile import exact_medians
 from .segment import chunks
 
 #: Tones that speak against joy and approval, and meanings that aren't approval.
@@ -57,7 +59,7 @@ def combine_chunks(chunks: DataFrame, keys: list[str], peak_blend: float = 0.3)
 
 
 def scene_scores(
-    scenes: DataFrame, score: Callable[[Column], Column], most: int = 512, overlap: int = 64, tokens: Callable[[str], list[str]] = str.split, peak_blend: float = 0.3, parts: int | None = None
+    scenes: DataFrame, score: Callable[[Column], Column], most: int = 512, overlap: int = 64, tokens: Callable[[str], list[str]] | None = None, peak_blend: float = 0.3, parts: int | None = None
 ) -> DataFrame:
     """Scenes -> (book_id, chapter_index, scene_index, scores, chunk_count): chunks, scored one by
     one and combined. ``score`` maps a text column to a map of scores, a plug-in (``scorer``) or
@@ -67,7 +69,7 @@ def scene_scores(
     c = chunks(scenes, most, overlap, tokens)
     if parts:
         c = c.repartition(parts)
-    scored = c.withColumns({"words": T.count_words("text"), "scores": score(F.col("text"))}).drop("text")
+    scored = cut(c.withColumns({"words": T.count_words("text"), "scores": score(F.col("text"))}).drop("text"))  # a scorer runs once
     long = combine_chunks(scored.select(*keys, "words", F.explode("scores").alias("label", "score")), keys, peak_blend)
     whole = long.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "score")))).alias("scores"))
     return matched(whole, scored.groupBy(*keys).agg(F.count("*").alias("chunk_count")), keys)
@@ -146,25 +148,28 @@ def correction_notes(scores: Column, meaning: Column, tones: Column, direct: Col
 
 
 def medians(scores: DataFrame) -> DataFrame:
-    """Exact median per book and label; equal scores are counted before the shuffle's end."""
-    return scores.groupBy("book_id", "label").agg(F.median("score").alias("median"))
+    """Exact median per book and label, by narrowing histograms: no book is gathered."""
+    return exact_medians(scores, ["book_id", "label"], "score")
 
 
-def calibrate(scores: DataFrame, include_neutral: bool = False) -> DataFrame:
-    """Scores above a floor of 0.35 medians of their book, stretched back to [0, 1]."""
+def calibrate(scores: DataFrame, include_neutral: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """Scores above a floor of 0.35 medians of their book, stretched back to [0, 1]; ``base`` are
+    the medians, if they are known."""
     floor = 0.35 * F.col("median")
     stretched = F.greatest(F.lit(0.0), F.col("score") - floor) / F.greatest(F.lit(0.05), 1 - floor)
     moved = F.when(floor >= 0.95, F.col("score")).otherwise(F.round(F.least(F.greatest(stretched, F.lit(0.0)), F.lit(1.0)), 6))
     neutral = F.col("score") if include_neutral else F.round(F.col("score") * 0.7, 6)
     out = F.when(F.col("label") == NEUTRAL, neutral).otherwise(moved)
-    return scores.join(medians(scores), ["book_id", "label"]).withColumn("score", out).drop("median")
+    base = medians(scores) if base is None else base
+    return matched(scores, base, ["book_id", "label"], "left").withColumn("score", out).drop("median")
 
 
-def calibration_report(scores: DataFrame) -> DataFrame:
+def calibration_report(scores: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Per book: the medians as text, and the number of scenes."""
-    base = medians(scores).groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s=%.4f", "label", "median"))), ",").alias("baseline"))
+    base = medians(scores) if base is None else base
+    base = base.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s=%.4f", "label", "median"))), ",").alias("baseline"))
     n = scores.select("book_id", "chapter_index", "scene_index").distinct().groupBy("book_id").agg(F.count("*").alias("scenes"))
-    return base.join(n, "book_id")
+    return matched(base, n, ["book_id"])
 
 
 def perspective(scores: Column, narrator_marks: Column, character_marks: Column, dominant: Column) -> Column:

@@ -1,16 +1,19 @@
-"""Chapters to paragraphs, scenes and chunks. The folds are row-local helpers on Arrow
-batches: a chapter or a scene is one row, so no shuffle is needed."""
+"""Chapters to paragraphs, scenes and chunks. The folds are ``aggregate`` over a row's own
+arrays: a chapter or a scene is one row, so no shuffle is needed, and only what a fold closes (a
+scene, a chunk) is added to an array, so they are linear in the text. Python is for tokenizers
+and translators that a user plugs in, and for the table function."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cut import cut
 from .layout import matched
 
 #: What opens a new scene.
@@ -73,24 +76,62 @@ def cut_scenes(text: str, paragraphs: list[str], breaks: list[bool], least: int,
     return out or [{"text": text, "start_char": 0, "end_char": len(text)}]
 
 
+def _measured(text: Column) -> Column:
+    """What the fold needs of every paragraph: its place in the text, length, words and whether
+    it may open a scene. Pieces of white space only are left out."""
+    pieces, gaps = F.split(text, r"\n\s*\n"), F.regexp_extract_all(text, F.lit(r"\n\s*\n"), 0)
+    lead = lambda x: F.length(F.regexp_extract(x, r"(?U)^\s*", 0))
+    each = F.arrays_zip(pieces.alias("raw"), F.transform(gaps, lambda x: F.length(x)).alias("gap"))
+    kind = "struct<lead:int,long:int,all:int,words:long,opens:boolean>"
+    measure = lambda x, p: F.struct(lead(x["raw"]).alias("lead"), F.length(p).alias("long"), (F.length(x["raw"]) + F.coalesce(x["gap"], F.lit(0))).alias("all"), T.count_words(p).alias("words"), is_scene_break(p).alias("opens")).cast(kind)
+    return F.transform(each, lambda x: F.element_at(F.transform(F.array(T.strip(x["raw"])), lambda p: measure(x, p)), 1))
+
+
+def _packed(measures: Column, least: int, target: int) -> Column:
+    """The fold over measured paragraphs: a struct with ``cuts``, (number, place) of every
+    paragraph that a scene begins with, how many paragraphs there are, and the words of the last scene."""
+    first = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<n:int,at:long>>").alias("cuts"))
+
+    def step(s, x):
+        opens = (s["n"] == 0) | ((s["words"] >= least) & (x["opens"] | (s["words"] + x["words"] > target)))
+        here = F.struct(s["n"].alias("n"), (s["at"] + x["lead"]).alias("at"))
+        full = F.struct((s["n"] + 1).alias("n"), (s["at"] + x["all"]).alias("at"), F.when(opens, x["words"]).otherwise(s["words"] + x["words"]).alias("words"), F.when(opens, F.concat(s["cuts"], F.array(here))).otherwise(s["cuts"]).alias("cuts"))
+        blank = F.struct(s["n"].alias("n"), (s["at"] + x["all"]).alias("at"), s["words"].alias("words"), s["cuts"].alias("cuts"))
+        return F.when(x["long"] > 0, full).otherwise(blank)
+
+    return F.aggregate(measures, first, step)
+
+
 def scenes(chapters: DataFrame, least: int = 250, target: int = 1000) -> DataFrame:
     """(book_id, chapter_index, text) -> scenes with offsets and their place in the book.
 
-    Scenes are numbered within their chapter; a book's chapters meet by their numbers of scenes
-    only, never by their texts.
+    A scene ends where its joined text would, counted from its start; a short last one joins the
+    one before and gives it its own end. A text without paragraphs is one scene. Chapters are
+    packed once, to a written table; scenes are numbered within their chapter, and a book's
+    chapters meet by their numbers of scenes only, never by their texts.
     """
-
-    @F.pandas_udf("array<struct<text:string,start_char:long,end_char:long>>")
-    def cut(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for whole, parts, breaks in texts:
-            rows = zip(whole.fillna(""), parts, breaks, strict=True)
-            yield pd.Series([cut_scenes(t, [] if ps is None else list(ps), [] if bs is None else list(bs), least, target) for t, ps, bs in rows])
-
-    found = chapters.withColumn("parts", split_paragraphs("text")).withColumn("found", cut("text", "parts", F.transform("parts", is_scene_break)))
-    found = found.select("book_id", "chapter_index", "found")
+    text = F.coalesce("text", F.lit(""))
+    rows = chapters.select("book_id", "chapter_index", text.alias("text"), _packed(_measured(text), least, target).alias("p"))
+    short = (F.size("p.cuts") > 1) & (F.col("p.words") < least)
+    rows = rows.withColumns({"parts": split_paragraphs("text"), "short": short, "n": F.when(short, F.size("p.cuts") - 1).otherwise(F.greatest(F.lit(1), F.size("p.cuts")))})
+    body = lambda a, b: F.array_join(F.slice("parts", a + 1, b - a), "\n\n")
+    cuts, none = F.col("p.cuts"), F.size("p.cuts") == 0
+
+    def scene(k: Column) -> Column:
+        here = F.element_at(cuts, k)
+        tail = F.element_at(cuts, -1)
+        last = k == F.col("n")
+        end = F.when(last, F.col("p.n")).otherwise(F.try_element_at(cuts, k + 1)["n"])
+        whole = body(here["n"], end)
+        ends = F.when(last & F.col("short"), tail["at"] + F.length(body(tail["n"], F.col("p.n")))).otherwise(here["at"] + F.length(whole))
+        return F.struct(whole.alias("text"), here["at"].alias("start_char"), ends.cast("long").alias("end_char"))
+
+    whole = F.array(F.struct(F.col("text"), F.lit(0).cast("long").alias("start_char"), F.length("text").cast("long").alias("end_char")))
+    found = F.when(none, whole).otherwise(F.transform(F.sequence(F.lit(1), F.col("n")), scene))
+    found = cut(rows.select("book_id", "chapter_index", "n", found.alias("found")))
     before = Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
-    counts = found.groupBy("book_id", "chapter_index").agg(F.sum(F.size("found")).alias("n"))
-    counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = found.groupBy("book_id", "chapter_index").agg(F.sum("n").alias("m"))
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
     rows = matched(found, counts, ["book_id", "chapter_index"]).select("book_id", "chapter_index", "ahead", F.posexplode("found").alias("k", "s"))
     return rows.select("book_id", "chapter_index", (F.col("k") + 1).alias("scene_index"), "s.text", "s.start_char", "s.end_char", (F.col("ahead") + F.col("k") + 1).cast("int").alias("scene_pos"))
 
@@ -147,15 +188,41 @@ def pack_chunks(paragraphs: list[str], tokens: Callable[[str], list[str]], most:
     return out
 
 
-def chunks(scenes: DataFrame, most: int = 512, overlap: int = 64, tokens: Callable[[str], list[str]] = str.split) -> DataFrame:
-    """Scenes -> classifier chunks; the tokenizer is a parameter (white space by default)."""
+def _chunked(parts: Column, most: int, overlap: int) -> Column:
+    """``pack_chunks`` over tokens of white space, as a fold over the paragraphs."""
+    tokens = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    step = max(1, most - overlap)
+    none = F.array().cast("array<string>")
+    first = F.struct(none.alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("size"))
+    flushed = lambda s: F.when(s["now"].isNotNull(), F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
+
+    def windows(x):
+        n = F.lit(1) + F.ceil((x["n"] - most) / step).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(x["words"], k * step + 1, most), " "))
+
+    def fold(s, x):
+        over = F.struct(F.concat(flushed(s), windows(x)).alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("size"))
+        words = tokens(s["now"])
+        tail = F.slice(words, F.greatest(F.lit(1), F.size(words) - overlap + 1), overlap) if overlap else none
+        fresh = F.struct(flushed(s).alias("out"), F.when(F.size(tail) > 0, F.concat(F.array_join(tail, " "), F.lit("\n\n"), x["p"])).otherwise(x["p"]).alias("now"), (F.size(tail) + x["n"] + 1).alias("size"))
+        more = F.struct(s["out"].alias("out"), F.concat_ws("\n\n", s["now"], x["p"]).alias("now"), (s["size"] + x["n"] + 1).alias("size"))
+        return F.when(x["n"] > most, over).when(s["now"].isNotNull() & (s["size"] + x["n"] + 1 > most), fresh).otherwise(more)
+
+    sized = F.transform(parts, lambda p: F.element_at(F.transform(F.array(tokens(p)), lambda w: F.struct(p.alias("p"), w.alias("words"), F.size(w).alias("n"))), 1))
+    return F.aggregate(sized, first, fold, flushed)
+
+
+def chunks(scenes: DataFrame, most: int = 512, overlap: int = 64, tokens: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """Scenes -> classifier chunks of at most ``most`` tokens: of white space, in built-in
+    functions, or by ``tokens``, a user's tokenizer."""
 
     @F.pandas_udf("array<string>")
-    def cut(parts: pd.Series) -> pd.Series:
+    def packed(parts: pd.Series) -> pd.Series:
         return pd.Series([pack_chunks([] if p is None else list(p), tokens, most, overlap) for p in parts])
 
     keys = [c for c in ("book_id", "chapter_index", "scene_index") if c in scenes.columns]
-    return scenes.select(*keys, F.posexplode(cut(split_paragraphs("text"))).alias("chunk_index", "text"))
+    parts = split_paragraphs("text")
+    return scenes.select(*keys, F.posexplode(_chunked(parts, most, overlap) if tokens is None else packed(parts)).alias("chunk_index", "text"))
 
 
 def sentence_chunks(text: Column | str, most: int = 1500) -> Column:
@@ -169,13 +236,14 @@ def sentence_chunks(text: Column | str, most: int = 1500) -> Column:
 
 
 def translated(books: DataFrame, translate: Callable[[list[str]], list[str]], most: int = 1500) -> DataFrame:
-    """(book_id, text) -> text through ``translate`` chunk by chunk, reassembled in order."""
+    """(book_id, text) -> text through ``translate`` chunk by chunk, reassembled in order; a null
+    text is an empty one."""
 
     @F.pandas_udf("string")
     def run(c: pd.Series) -> pd.Series:
         return pd.Series(translate(c.tolist()))
 
-    parts = books.select("book_id", F.posexplode(F.split("text", "\n\n")).alias("p", "part"))
+    parts = books.select("book_id", F.posexplode_outer(F.split("text", "\n\n")).alias("p", "part"))
     pieces = parts.select("book_id", "p", F.posexplode_outer(sentence_chunks("part", most)).alias("c", "piece"))
     done = pieces.withColumn("piece", F.when(F.col("piece").isNotNull(), run(F.coalesce("piece", F.lit("")))).otherwise(""))
     join = lambda key, value, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), sep)
@@ -184,9 +252,9 @@ def translated(books: DataFrame, translate: Callable[[list[str]], list[str]], mo
 
 
 def routed(books: DataFrame, translate: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Books in the script of ``ru`` go through ``translate``, others pass."""
-    b = books.withColumn("source_language", T.detect_language("text"))
+    """Books in the script of ``ru`` go through ``translate``, others, also those without a text, pass."""
+    b = books.withColumn("source_language", F.coalesce(T.detect_language("text"), F.lit("en")))
     ru = b.where("source_language = 'ru'")
-    done = translated(ru, translate).join(ru.select("book_id", "source_language"), "book_id").withColumn("translated", F.lit(True))
+    done = translated(ru, translate).withColumns({"source_language": F.lit("ru"), "translated": F.lit(True)})
     other = b.where("source_language != 'ru'").select("book_id", "text", "source_language").withColumn("translated", F.lit(False))
     return done.select("book_id", "text", "source_language", "translated").unionByName(other)

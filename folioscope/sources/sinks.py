@@ -70,14 +70,19 @@ def safe_name(*parts):
     return F.regexp_replace(F.concat_ws("_", *parts), "[^A-Za-z0-9._-]+", "_")
 
 
+def padded(c: str, width: int = 3):
+    """A number with leading zeros; a longer one as it is (``lpad`` would cut it)."""
+    text = F.col(c).cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def text_names(rows: DataFrame) -> DataFrame:
-    """Chapters, or scenes, with the ``name`` of their text object: zero-padded numbers and title."""
-    number = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
-    parts = [F.lit("chapter"), number("chapter_index")]
+    """Chapters, or scenes, with the ``name`` of their text object: ``chapter_NNN_title``, or
+    ``block_NNN_chapter_NNN_scene_NNN`` by the scene's place in its book (``scene_pos``)."""
     if "scene_index" in rows.columns:
-        parts += [F.lit("scene"), number("scene_index")]
-    if "chapter_title" in rows.columns:
-        parts.append(F.col("chapter_title"))
+        parts = [F.lit("block"), padded("scene_pos"), F.lit("chapter"), padded("chapter_index"), F.lit("scene"), padded("scene_index")]
+    else:
+        parts = [F.lit("chapter"), padded("chapter_index"), F.coalesce("chapter_title", F.lit("")) if "chapter_title" in rows.columns else F.lit("")]
     return rows.withColumn("name", safe_name(*parts))
 
 
