@@ -13,12 +13,14 @@ the similarity by the share of common values, and the most it can be follows wit
 that count and the sizes of both rests. Pairs below t by it are left out; all others are verified
 on the exact sets of the whole texts. No link is lost, and none is listed unverified.
 
-In a first round every class of equal sets is compared with one other, the most shared one of its
-lists (a family's model), then with another; links join classes to components. Only lists that
-still hold several components are searched: short ones pair by pair where the value can be the
-first that the two sketches share, longer ones in tiles of at most ``TILE`` rows, and only tiles
-of sizes that can be similar, which don't all belong to one component. So a family of c copies costs
-about c checks, and no list is in one task.
+In two rounds every class of equal sets is compared with one other, the most shared one of its lists
+(a family's model); links join classes to components. Then only lists that still hold several
+components are searched. In short ones pairs are formed by a join, those of which the value can be the
+first common one, and the overlap of their sketches is counted over the lists. Classes of longer lists are
+dealt, each once, to tiles of at most ``TILE`` similar classes; two tiles are compared if they
+have a list in common, can have similar sizes and don't belong to one component, by the overlaps
+of the whole sets; of the links between them those stay that join something. So a family of c
+copies costs about c checks, no list is in one task, and no pair is compared twice for the lists it shares.
 
 Null, empty or white-space texts have an empty set: one row, no link. Repeated rows are copies
 like others, null ids too; an id with several texts has a row for each. Ties between models are
@@ -49,6 +51,8 @@ SLICE_BITS = 15
 ROUNDS = 2
 SHORT = 32  # rows of a list whose pairs are formed by a join
 TILE = 256
+RARE = 20  # levels below: buckets of less than 1,024 rows, so a list of theirs is as short
+SIEVE = 1 << 24
 COLUMNS = 1 << 14
 _U = np.uint64
 
@@ -188,74 +192,158 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def tile_pairs(x: list[tuple], y: list[tuple], same: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Rows (sid, label, n, sketch) of two tiles -> pairs of different components that the union
-    sketch admits."""
+def tile_links(x: list[tuple], y: list[tuple], same: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Rows (sid, label, n, set) of two tiles -> links between different components, as many
+    as join them: one that leads nowhere new is left out."""
     sid, label, n = (np.array([r[c] for r in x]) for c in range(3))
     sid2, label2, n2 = (np.array([r[c] for r in y]) for c in range(3))
-    sx, sy = [r[3] for r in x], [r[3] for r in y]
-    both, ends = overlaps(sx, sy), np.array([v[-1] for v in sy])
-    known2 = np.array([np.searchsorted(v, np.array([u[-1] for u in sx]), "right") for v in sy])
-    for i, v in enumerate(sx):
-        most = both[i] + np.minimum(n[i] - np.searchsorted(v, ends, "right"), n2 - known2[:, i])
-        ok = (label2 != label[i]) & (n2 * num <= n[i] * den) & (n[i] * num <= n2 * den) & (both[i] > 0) & (most * (num + den) >= num * (n[i] + n2))
-        if same:
-            ok[: i + 1] = False
-        for j in np.flatnonzero(ok):
-            yield min(int(sid[i]), int(sid2[j])), max(int(sid[i]), int(sid2[j]))
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> with ``cut``: a number that changes with (h, band) and after TILE rows."""
-    last, held, cut = None, 0, 0
+    both = overlaps([r[3] for r in x], [r[3] for r in y])
+    total = n[:, None] + n2[None, :]
+    ok = (label[:, None] != label2[None, :]) & (both > 0) & (both * (num + den) >= num * total)
+    above: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while above.get(k, k) != k:
+            k = above[k]
+        return k
+
+    for i, j in zip(*np.nonzero(np.triu(ok, 1) if same else ok), strict=True):
+        p, q = top(int(label[i])), top(int(label2[j]))
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            yield int(sid[i]), int(sid2[j])
+
+
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h -> those of lists of two and more. A list is short here: its values are rare."""
+    held: list[pa.RecordBatch] = []  # the last list so far
+
+    def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+        h = W.column(rows, "h").to_numpy()
+        same = h[1:] == h[:-1]
+        return rows.filter(pa.array(np.append(same, False) | np.insert(same, 0, False)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        h = W.column(rows, "h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut:
+            yield kept(rows.slice(0, cut))
+        held = [rows.slice(cut)]
+    if held:
+        yield kept(held[0])
+
+
+def _tiles(size: int):
+    """Sorted rows -> with ``cut``: a number that changes with the band and after ``size`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, cut = None, 0, 0
+        for batch in batches:
+            cuts = np.zeros(batch.num_rows, np.int64)
+            for k, at in enumerate(W.column(batch, "band").to_pylist()):
+                if at != last or held == size:
+                    cut, held, last = cut + 1, 0, at
+                held += 1
+                cuts[k] = cut
+            yield batch.append_column("cut", pa.array(cuts))
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h, band = (W.column(batch, c).to_numpy() for c in ("h", "band"))
-        cuts = np.zeros(len(h), np.int64)
-        for k, at in enumerate(zip(h.tolist(), band.tolist(), strict=True)):
-            if at != last or held == TILE:
-                cut, held, last = cut + 1, 0, at
-            held += 1
-            cuts[k] = cut
-        yield batch.append_column("cut", pa.array(cuts))
+        found = [s.tobytes() for _, s in W.sets(W.column(batch, "text"), WIDTH)]
+        yield pa.RecordBatch.from_arrays([W.column(batch, "sid"), pa.array(found, pa.binary())], ["sid", "shingles"])
 
 
 def _searched(num: int, den: int):
-    """Rows sorted by (ta, tb, side) -> pairs (a, b)."""
+    """Rows sorted by (ta, tb, side) -> links (a, b)."""
 
-    def pairs(at, rows: list[list]) -> pa.RecordBatch:
+    def links(at, rows: list[list]) -> pa.RecordBatch:
         same = at[0] == at[1]
-        found = sorted(set(tile_pairs(rows[0], rows[0] if same else rows[1], same, num, den)))
+        found = list(tile_links(rows[0], rows[0] if same else rows[1], same, num, den))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, [[], []]
         for batch in batches:
-            for ta, tb, side, sid, label, n, v in zip(*(W.column(batch, c).to_pylist() for c in ("ta", "tb", "side", "sid", "label", "n", "sketch")), strict=True):
+            for ta, tb, side, sid, label, v in zip(*(W.column(batch, c).to_pylist() for c in ("ta", "tb", "side", "sid", "label", "shingles")), strict=True):
                 if at is not None and (ta, tb) != at:
-                    yield pairs(at, rows)
+                    yield links(at, rows)
                     rows = [[], []]
                 at = ta, tb
-                rows[side].append((sid, label, n, np.frombuffer(v, _U)))
+                rows[side].append((sid, label, len(v) >> 3, np.frombuffer(v, _U)))
         if at is not None:
-            yield pairs(at, rows)
+            yield links(at, rows)
 
     return run
 
 
-def _long_lists(lists: DataFrame, classes: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Candidate pairs of the long lists, by tiles."""
-    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def long_links(lists: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Links of the long lists, by tiles."""
+    parts = _parts(lists)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + 1e-9)  # similar sizes are at most one apart
-    rows = lists.select("h", band.alias("band"), "label", "sid").repartitionByRange(parts, "h", "band", "label", "sid").sortWithinPartitions("h", "band", "label", "sid")
-    cut = rows.mapInArrow(_tiles, "h long, band long, label long, sid long, cut long")
-    tiled = scratch.put(cut.withColumn("tile", F.spark_partition_id().cast("long") * (1 << 40) + F.col("cut")).drop("cut"), "tiled")
-    tiles = tiled.groupBy("tile").agg(F.min("h").alias("h"), F.min("band").alias("band"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    x, y = (tiles.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("tile", "band", "lo", "hi")]) for side in ("a", "b"))
+    rows = lists.groupBy("sid").agg(F.min("h").alias("h"), F.first("label").alias("label"), F.first("n").alias("n")).select("h", band.alias("band"), "label", "sid")
+    order = ["band", "h", "label", "sid"]
+    cut = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_tiles(TILE), "h long, band long, label long, sid long, cut long")
+    tiled = scratch.put(cut.select("sid", "label", "band", (F.spark_partition_id().cast("long") * (1 << 40) + F.col("cut")).alias("tile")), "tiled")
+    tiles = tiled.groupBy("tile").agg(F.min("band").alias("band"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    there = scratch.put(lists.select("h", "sid").join(tiled.select("sid", "tile"), "sid").select("h", "tile").distinct().join(tiles, "tile"), "there")
+    x, y = (there.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("tile", "band", "lo", "hi")]) for side in ("a", "b"))
     units = x.join(y, "h").where("tile_a <= tile_b AND abs(band_a - band_b) <= 1 AND NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)")
-    units = scratch.put(units.select(F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb")), "units")
+    units = scratch.put(units.select(F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb")).distinct(), "units")
     sides = units.select("ta", "tb", F.lit(0).alias("side"), F.col("ta").alias("tile")).unionByName(units.where("ta != tb").select("ta", "tb", F.lit(1).alias("side"), F.col("tb").alias("tile")))
-    dealt = sides.join(tiled.select("tile", "sid", "label"), "tile").join(classes, "sid").select("ta", "tb", "side", "sid", "label", "n", "sketch")
-    return dealt.repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side").mapInArrow(_searched(num, den), "a long, b long")
+    used = tiled.join(sides.select("tile").distinct(), "tile", "left_semi")
+    sets = scratch.put(texts_of(docs, known, used.select("sid")).mapInArrow(_sets, "sid long, shingles binary"), "sets")
+    dealt = sides.join(used.select("tile", "sid", "label"), "tile").join(sets, "sid").select("ta", "tb", "side", "sid", "label", "shingles")
+    found = scratch.put(dealt.repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side").mapInArrow(_searched(num, den), "a long, b long"), "far")
+    scratch.drop(tiled, there, units, sets)
+    return found
+
+
+def texts_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of the classes in ``wanted``. A bitmap of ``SIEVE`` bits, 2 MB at any scale, of
+    the wanted texts' hashes keeps most others out of the shuffle; a full one only keeps out fewer."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    named = known.join(wanted.distinct(), "sid", "left_semi")
+    bits = named.select(slot("low_t").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    number, place = F.bitmap_bucket_number(slot("t")), F.bitmap_bit_position(slot("t"))
+    near = docs.join(F.broadcast(bits), number == F.col("bucket"))  # at most SIEVE / 32,768 rows of 4 KB
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = near.where(byte.bitwiseAND(F.pow(F.lit(2.0), place % 8).cast("int")) != 0).select("key", "text", "t")
+    return class_texts(near, named, wanted)
+
+
+def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) those that are links: the union sketch admits them and the sets confirm them."""
+    both = lambda p: p.select(F.col("a").alias("sid")).unionByName(p.select(F.col("b").alias("sid"))).distinct()
+    pairs = scratch.put(pairs, "pairs")
+    near = scratch.put(possible(pairs, classes.join(both(pairs), "sid", "left_semi"), num, den), "near")
+    texts = scratch.put(texts_of(docs, known, both(near)), "texts")
+    links = scratch.put(verified(near, texts, num, den, WIDTH), "links")
+    scratch.drop(pairs, near, texts)
+    return links
+
+
+def short_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that the short ones of the lists admit: the value can
+    be the first common one, and the sketches have enough in common."""
+    many = lists.where(F.col("c") > SHORT).groupBy("sid").agg(F.count("*").alias("more"))  # values not counted below
+    x, y = (lists.where(F.col("c") <= SHORT).select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "label", "n", "place")]) for side in ("a", "b"))
+    first = F.max(F.expr(f"least(n_a - place_a, n_b - place_b) * {num + den} >= {num} * (n_a + n_b)")).alias("first")
+    pairs = x.join(y, "h").where(f"sid_a < sid_b AND label_a != label_b AND n_a * {num} <= n_b * {den} AND n_b * {num} <= n_a * {den}")
+    pairs = pairs.groupBy(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).agg(F.count("*").alias("both"), first, F.max("n_a").alias("n"), F.max("n_b").alias("m")).where("first")
+    for side in ("a", "b"):
+        pairs = pairs.join(many.select(F.col("sid").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    rest = f"ceil({num} * greatest(n, m) / {den}) - 1"  # of the set whose sketch ends first, at most
+    return pairs.where(f"(both + least(coalesce(more_a, 0), coalesce(more_b, 0)) + {rest}) * {num + den} >= {num} * (n + m)").select("a", "b")
+
+
+def _parts(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, bits: int = BUCKET_BITS) -> DataFrame:
@@ -278,43 +366,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     classes = scratch.put(made.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     posted = classes.mapInArrow(_postings, "h long, sid long, n int, place int")
-    counts = posted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    shared = scratch.put(posted.join(counts.hint("merge"), "h"), "shared")
-    fame = scratch.put(shared.groupBy("sid").agg(F.sum("c").alias("fame")), "fame")  # a family's model shares the most
-    classes_in = scratch.put(classes.join(fame.select("sid"), "sid"), "sketches")
-    scratch.drop(classes)
-    texts = scratch.put(class_texts(docs, known, fame), "texts")
-    ranked = scratch.put(shared.drop("c").join(fame, "sid"), "ranked")
-    scratch.drop(shared, fame)
+    rare = F.call_function("shiftrightunsigned", "h", F.lit(57)) < RARE
+    shared = posted.where(rare).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_rare, posted.schema)
+    shared = scratch.put(shared.unionByName(posted.where(~rare)), "shared")
+    counts = shared.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    fame = scratch.put(shared.join(counts, "h").groupBy("sid").agg(F.sum("c").alias("fame")), "fame")  # a family's model shares the most
 
     links, tried = None, None
-    labelled = scratch.put(ranked.withColumn("label", F.col("sid")), "labelled")
+    labelled = shared.join(fame, "sid").select("h", "sid", "fame", F.col("n").cast("long").alias("n"), "place", F.col("sid").alias("label"))
+    labelled = scratch.put(labelled, "labelled")
+    sizes = classes.select(F.col("sid").alias("hub"), F.col("n").alias("m"))
     for _ in range(ROUNDS):
-        votes = labelled.join(_heads(labelled), "h").where("label != hub_label").groupBy("sid", "hub").agg(F.count("*").alias("c"))
+        votes = labelled.join(_heads(labelled), "h").where("label != hub_label").groupBy("sid", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n"))
         if tried is not None:
             votes = votes.join(tried, ["sid", "hub"], "left_anti")
-        star = scratch.put(votes.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")), "star")
-        near = scratch.put(possible(star.select(F.col("sid").alias("a"), F.col("hub").alias("b")), classes_in, num, den), "near")
-        new = scratch.put(verified(near, texts, num, den, WIDTH), "links")
-        scratch.drop(near, labelled)
+        star = scratch.put(votes.groupBy("sid").agg(F.max_by(F.struct("hub", "c", "n"), F.struct("c", "hub")).alias("x")).select("sid", "x.*"), "star")
+        likely = star.join(sizes, "hub").where(f"(c + ceil({num} * n / {den}) - 1) * {num + den} >= {num} * (n + m)")
+        new = judged(likely.select(F.col("sid").alias("a"), F.col("hub").alias("b")), classes, docs, known, scratch, num, den)
         links = new if links is None else links.unionByName(new)
-        tried = star if tried is None else tried.unionByName(star)
+        tried = star.select("sid", "hub") if tried is None else tried.unionByName(star.select("sid", "hub"))
         roots = components(links, scratch=scratch).withColumnRenamed("node", "sid")
-        labelled = scratch.put(ranked.join(roots, "sid", "left").select("h", "sid", "fame", "n", "place", F.coalesce("root", "sid").alias("label")), "labelled")
-    scratch.drop(ranked)
-    lists = scratch.put(labelled.join(_heads(labelled), "h").select("h", "sid", "label", F.col("n").cast("long").alias("n"), "place", "c"), "lists")
-    scratch.drop(labelled)
-
-    x, y = (lists.where(F.col("c") <= SHORT).select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "label", "n", "place")]) for side in ("a", "b"))
-    first = f"least(n_a - place_a, n_b - place_b) * {num + den} >= {num} * (n_a + n_b)"  # as the first common value
-    short = x.join(y, "h").where(f"sid_a < sid_b AND label_a != label_b AND n_a * {num} <= n_b * {den} AND n_b * {num} <= n_a * {den} AND {first}")
-    long = _long_lists(lists.where(F.col("c") > SHORT), classes_in, scratch, num, den)
-    short = possible(short.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), classes_in, num, den)
-    found = scratch.put(short.unionByName(long).distinct(), "found")
-    scratch.drop(lists, classes_in)
-    more = scratch.put(verified(found, texts, num, den, WIDTH), "links")
-    scratch.drop(found, texts)
-    roots = components(links.unionByName(more), scratch=scratch)
+        before = labelled
+        labelled = scratch.put(before.drop("label").join(roots, "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root"), "labelled")
+        scratch.drop(before)
+    lists = scratch.put(labelled.join(_heads(labelled), "h").select("h", "sid", "label", "n", "place", "c"), "lists")
+    scratch.drop(labelled, shared)
+    short = judged(short_pairs(lists, num, den), classes, docs, known, scratch, num, den)
+    long = long_links(lists.where(F.col("c") > SHORT), docs, known, scratch, num, den)
+    scratch.drop(lists, classes)
+    roots = components(links.unionByName(short).unionByName(long), scratch=scratch)
 
     sized = known.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lows = sized.groupBy("root").agg(F.min("low").alias("component_id"))
