@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from .layout import matched
 
-#: The cue lexicon and the words that are no names.
+#: The cue lexicon, the words that are no names, and the patterns and the warning below.
 LEXICON = {
     "sadness": r"\b(sad|sorrow|grief|tears|wept|weep|misery|pain|despair|mourn|dead|death|lonely)\b",
     "fear": r"\b(fear|afraid|terror|dread|trembling|anxious|anxiety|panic|fright|horror)\b",
@@ -24,6 +30,8 @@ NO_NAMES = "I He She It We They The A An This That But And Then There When Where
 NAME = r"\b(?:Mr|Mrs|Miss|Madame|Princess|Prince|Doctor|Dr)\.?\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'-]+|\b[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'-]{2,}\b"
 CONFLICT = r"\b(against|quarrel|argue|angry|refuse|jealous|struggle|fight|fear|hate|threat)\b"
 WARNING = "heuristic context fallback"
+APPROVAL = r"\b(approve|approved|praise|praised|well done|right thing)\b"
+NO_APPROVAL = r"\b(not|never|no|without|rather than|instead of|refuse(?:d)? to)\b.{0,35}\b(approve|approved|praise|praised)\b"
 
 
 def cues(text: Column, lexicon: dict[str, str] | None = None) -> Column:
@@ -34,8 +42,7 @@ def cues(text: Column, lexicon: dict[str, str] | None = None) -> Column:
 
 def has_approval(text: Column) -> Column:
     t = F.lower(text)
-    cue = T.matches(t, r"\b(approve|approved|praise|praised|well done|right thing)\b")
-    return cue & ~T.matches(t, r"\b(not|never|no|without|rather than|instead of|refuse(?:d)? to)\b.{0,35}\b(approve|approved|praise|praised)\b")
+    return T.matches(t, APPROVAL) & ~T.matches(t, NO_APPROVAL)
 
 
 def _name_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -86,32 +93,80 @@ def heuristic(scenes: DataFrame, lexicon: dict[str, str] | None = None, quote_mi
     })
 
 
+@F.pandas_udf(StringType())
+def _without_repeats(reply: pd.Series) -> pd.Series:
+    """JSON objects that repeat a key, with the last value of each; null if it is no JSON object.
+    Only replies that the built-in parser refuses come here."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            found = json.loads(text)
+            return json.dumps(found, ensure_ascii=False, allow_nan=False) if isinstance(found, dict) else None
+        except (ValueError, RecursionError):
+            return None
+
+    return reply.map(one)
+
+
+def parsed(reply: Column) -> Column:
+    """A reply as a variant, null if it is not a JSON object. A key that occurs twice has its last value."""
+    first = F.try_parse_json(reply)
+    again = F.try_parse_json(_without_repeats(F.when(first.isNull() & F.ltrim(reply).startswith("{"), reply)))
+    whole = F.coalesce(first, again)
+    return F.when(_is(whole, "OBJECT"), whole)
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def _words(v: Column) -> Column:
+    """A value in words, as the list items and texts of a reply are taken."""
+    return (
+        F.when(_is(v, "VOID"), "None").when(_is(v, "BOOLEAN"), F.initcap(F.try_variant_get(v, "$", "string"))).when(_is(v, "OBJECT") | _is(v, "ARRAY"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+    )
+
+
 def reply_context(reply: Column, source: str = "llm", confidence: float = 0.78) -> Column:
-    """A JSON reply as a struct with coercions: a scalar becomes a list of one, a value of a
-    wrong type becomes empty; null if the reply is not a JSON object."""
-    text = lambda k: F.get_json_object(reply, f"$.{k}")
-
-    def listed(k: str) -> Column:
-        raw = text(k)
-        many = F.from_json(raw, "array<string>")
-        none = F.array().cast("array<string>")
-        return F.when(raw.isNull() | raw.startswith("{") | (raw == ""), none).when(raw.startswith("["), F.coalesce(many, none)).otherwise(F.array(raw))
-
-    def mapped(raw: Column) -> Column:
-        ok = F.coalesce(raw.startswith("{"), F.lit(False))
-        pairs = F.transform(F.json_object_keys(F.when(ok, raw).otherwise(F.lit("{}"))), lambda n: F.struct(n.alias("k"), F.call_function("get_json_object", raw, F.concat(F.lit("$['"), n, F.lit("']"))).alias("v")))
-        value = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v.startswith("{") | (v == ""), F.array().cast("array<string>")).otherwise(F.array(v))
-        return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), value(p["v"]).alias("v"))))
-
-    speakers = text("speaker_emotions")
-    people = F.when(text("character_emotions").isNull(), speakers).otherwise(text("character_emotions"))
-    approval = F.from_json(text("approval_interpretation"), "is_present boolean, meaning string, is_direct_approval boolean, explanation string")
-    fields = [
-        F.coalesce(text("summary"), F.lit("")).alias("summary"), listed("events").alias("events"), listed("characters").alias("characters"), mapped(speakers).alias("speaker_emotions"), mapped(people).alias("character_emotions"),
-        listed("narrator_emotions").alias("narrator_emotions"), listed("narrator_tone").alias("narrator_tone"), listed("scene_tone").alias("scene_tone"), text("conflict").alias("conflict"), approval.alias("approval"),
-        F.coalesce(text("dominant_perspective"), F.lit("unknown")).alias("dominant_perspective"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.array().cast("array<string>").alias("warnings"),
-    ]
-    return F.when(F.json_object_keys(reply).isNotNull(), F.struct(*fields))
+    """A JSON reply as a struct with coercions; null if the reply is not a JSON object.
+
+    A text becomes a list of one, an empty text or any other value that is no list an empty list;
+    maps of a wrong type are empty; the characters' emotions are the speakers' where that key is
+    absent, and empty where it is null. Keys and names are whatever they are: they are never part of
+    a path.
+    """
+    none = F.array().cast("array<string>")
+
+    def listed(v: Column) -> Column:
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), _words)
+        one = F.try_variant_get(v, "$", "string")
+        return F.when(_is(v, "ARRAY"), items).when(_is(v, "STRING") & (one != ""), F.array(one)).otherwise(none)
+
+    def mapped(v: Column) -> Column:
+        pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        found = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), listed(p["value"]).alias("value"))))
+        return F.when(_is(v, "OBJECT"), found).otherwise(F.map_from_arrays(none, F.array().cast("array<array<string>>")))
+
+    def context(v: Column) -> Column:
+        at = lambda k: F.try_variant_get(v, f"$.{k}", "variant")  # noqa: E731  fixed keys only
+        text = lambda k, absent: F.when(at(k).isNull(), absent).otherwise(_words(at(k)))
+        speakers = F.when(_is(at("speaker_emotions"), "OBJECT"), at("speaker_emotions"))
+        people = F.when(at("character_emotions").isNull(), speakers).otherwise(at("character_emotions"))
+        said = at("approval_interpretation")
+        flag = lambda k: F.try_variant_get(said, f"$.{k}", "boolean")
+        note = lambda k: F.try_variant_get(said, f"$.{k}", "string")
+        approval = F.when(_is(said, "OBJECT"), F.struct(flag("is_present").alias("is_present"), note("meaning").alias("meaning"), flag("is_direct_approval").alias("is_direct_approval"), note("explanation").alias("explanation")))
+        return F.struct(
+            text("summary", F.lit("")).alias("summary"), listed(at("events")).alias("events"), listed(at("characters")).alias("characters"), mapped(speakers).alias("speaker_emotions"), mapped(people).alias("character_emotions"),
+            listed(at("narrator_emotions")).alias("narrator_emotions"), listed(at("narrator_tone")).alias("narrator_tone"), listed(at("scene_tone")).alias("scene_tone"),
+            F.when(~_is(at("conflict"), "VOID"), text("conflict", F.lit(None).cast("string"))).alias("conflict"), approval.alias("approval"),
+            text("dominant_perspective", F.lit("unknown")).alias("dominant_perspective"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), none.alias("warnings"),
+        )
+
+    whole = parsed(reply)
+    return F.try_element_at(F.transform(F.filter(F.array(whole), lambda v: v.isNotNull()), context), F.lit(1))
 
 
 def prompt(title: Column, text: Column, before: Column, after: Column) -> Column:
@@ -124,18 +179,69 @@ def prompt(title: Column, text: Column, before: Column, after: Column) -> Column
     )
 
 
+def asked(prompts: DataFrame, provider: Callable[[], Callable[[list[str]], list[str | None]]], column: str = "prompt", batch: int = 16, retries: int = 2, wait: float = 0.0) -> DataFrame:
+    """``prompts`` with ``reply`` and ``error``, from a model that a user plugs in.
+
+    ``provider`` makes, once for each task, a function from a list of prompts to a list of as many
+    replies. A batch that fails is tried again, ``retries`` times, and then prompt by prompt, so an
+    error is one prompt's own and no row is lost; between tries it waits ``wait`` seconds, twice as
+    long each time. A null prompt is not asked. The columns of ``prompts`` stay.
+    """
+    schema = StructType([*prompts.schema.fields, StructField("reply", StringType()), StructField("error", StringType())])
+
+    def once(ask: Callable, texts: list[str]) -> tuple[list[str | None] | None, str | None]:
+        why = None
+        for k in range(retries + 1):
+            if k and wait:
+                time.sleep(wait * 2 ** (k - 1))
+            try:
+                found = list(ask(texts))
+                if len(found) != len(texts):
+                    raise ValueError(f"{len(found)} replies to {len(texts)} prompts")
+                return found, None
+            except Exception as e:  # whatever a provider raises is a row's error
+                why = f"{type(e).__name__}: {e}"
+        return None, why
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = None
+        for frame in frames:
+            replies, errors = [None] * len(frame), [None] * len(frame)
+            rows = [k for k, p in enumerate(frame[column]) if p is not None]
+            for a in range(0, len(rows), batch):
+                some = rows[a : a + batch]
+                ask = ask or provider()
+                found, why = once(ask, [frame[column].iloc[k] for k in some])
+                if found is None and len(some) > 1:
+                    found, why = [], None
+                    for k in some:
+                        one, errors[k] = once(ask, [frame[column].iloc[k]])
+                        found.append(one[0] if one else None)
+                for place, k in enumerate(some):
+                    replies[k] = found[place] if found else None
+                    errors[k] = errors[k] or why
+            yield frame.assign(reply=pd.Series(replies, index=frame.index, dtype=object), error=pd.Series(errors, index=frame.index, dtype=object))
+
+    return prompts.mapInPandas(run, schema)
+
+
 def chosen(scenes: DataFrame, replies: DataFrame, keys: list[str], use_heuristic: bool = True) -> DataFrame:
     """Scenes with the reply's struct (``llm``) where it is valid, and the source used: llm, else
-    heuristic; without heuristics llm_error for an invalid reply and none for no reply."""
-    asked = replies.select(*keys, "reply").dropDuplicates(keys).withColumn("asked", F.lit(True))
-    joined = matched(scenes, asked, keys, "left").withColumn("llm", reply_context(F.col("reply")))
+    heuristic; without heuristics llm_error for an invalid reply or an error and none for no reply.
+    Of several replies to a scene a valid one counts, of these the first by its text."""
+    context = reply_context(F.col("reply"))
+    failure = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    one = replies.select(*keys, "reply", failure.alias("failure"), context.alias("llm")).withColumn("bad", F.col("llm").isNull())
+    one = one.groupBy(*keys).agg(F.min_by(F.struct("llm", "failure"), F.struct("bad", F.coalesce("reply", F.lit("")), F.coalesce("failure", F.lit("")))).alias("x"))
+    joined = matched(scenes, one.select(*keys, "x.llm", "x.failure", F.lit(True).alias("asked")), keys, "left")
     other = F.lit("heuristic") if use_heuristic else F.when(F.col("asked").isNotNull(), "llm_error").otherwise("none")
     failed = F.col("asked").isNotNull() & F.col("llm").isNull()
+    scene = F.concat_ws(".", *[F.col(k).cast("string") for k in keys])
     return joined.withColumns({
         "source": F.when(F.col("llm").isNotNull(), "llm").otherwise(other),
         "context_confidence": F.when(F.col("llm").isNotNull(), F.col("llm.confidence")).when(F.lit(use_heuristic), F.col("confidence") if "confidence" in scenes.columns else F.lit(0.45)).otherwise(0.0),
-        "error": F.when(failed, F.concat(F.lit("invalid reply for scene "), F.concat_ws(".", *[F.col(k).cast("string") for k in keys]))),
-    }).drop("reply", "asked")
+        "error": F.when(failed, F.coalesce(F.concat(F.lit("Scene "), scene, F.lit(": "), F.col("failure")), F.concat(F.lit("invalid reply for scene "), scene))),
+    }).drop("asked", "failure")
 
 
 def diagnostics(chosen_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -108,6 +108,12 @@ def confidence_reasons(words: Column, scores: Column, source: Column | None = No
     ))
 
 
+#: What a correction says of itself.
+NOTE_OFF = "context normalization disabled"
+NOTE_APPROVAL = "approval lowered: context or co-emotions suggest compassion/moral acceptance, not direct approval"
+NOTE_JOY = "joy softened: scene appears tense or tragic"
+
+
 def _correction(scores: Column, meaning: Column, tones: Column, direct: Column, enabled: Column) -> tuple[Column, Column, Column, Column]:
     """(old approval, is it damped, the raised sadness, is joy lowered)."""
     at = lambda k: F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0))
@@ -141,9 +147,9 @@ def correction_notes(scores: Column, meaning: Column, tones: Column, direct: Col
     """What ``correct`` has done, in words."""
     _, damp, _, less_joy = _correction(scores, meaning, tones, direct, enabled)
     return F.array_compact(F.array(
-        F.when(~enabled, "context normalization disabled"),
-        F.when(damp, "approval lowered: context or co-emotions suggest compassion/moral acceptance, not direct approval"),
-        F.when(less_joy, "joy softened: scene appears tense or tragic"),
+        F.when(~enabled, NOTE_OFF),
+        F.when(damp, NOTE_APPROVAL),
+        F.when(less_joy, NOTE_JOY),
     ))
 
 
