@@ -50,13 +50,51 @@ def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return line_table(rows), pages
 
 
+def conformed(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` in the columns and types of ``schema``; names match in any case, absent columns are null."""
+    wanted = rows.sparkSession.createDataFrame([], schema).schema
+    have = {f.name.lower(): f for f in rows.schema}
+
+    def column(f):
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType)
+        same = have[f.name].dataType == f.dataType or f.dataType.typeName() == "string" and have[f.name].dataType.typeName() in ("char", "varchar")
+        return F.col(have[f.name].name) if same else F.col(have[f.name].name).cast(f.dataType)  # a cast would keep filters from a database
+
+    return rows.select(*[column(f).alias(f.name) for f in wanted])
+
+
 def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet", **options: str) -> DataFrame:
-    """``texts`` or ``analysis_results`` (``TEXTS``, ``RESULTS``) from Parquet, or by ``kind``
-    "jdbc" from the table named ``path``; columns that are absent are null."""
-    reader = spark.read.format(kind).options(**options)
-    rows = reader.option("dbtable", path).load() if kind == "jdbc" else reader.load(path)
-    wanted = spark.createDataFrame([], schema).schema
-    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+    """``texts`` or ``analysis_results`` (``TEXTS``, ``RESULTS``) from files of ``kind``; columns
+    that are absent are null."""
+    return conformed(spark.read.format(kind).options(**options).load(path), schema)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, schema: str, by: str | None = None, partitions: int = 8, where: str | None = None, **options: str) -> DataFrame:
+    """A database's ``texts`` or ``analysis_results``, read in ``partitions`` by ranges of ``by``, a
+    numeric or time column (rows without a value are in the first).
+
+    The bounds are the column's own, asked of the database. ``where`` is an SQL condition for the
+    database, for the bounds as well; filters and columns of what is returned are pushed to it
+    by Spark. ``options`` are the connection's (``user``, ``driver``, ``fetchsize``, ...).
+    """
+    if by is None and partitions > 1:
+        raise ValueError("reading in partitions needs a column to divide by")
+    rows = f"(SELECT * FROM {table} WHERE {where}) t" if where else table
+    connection = {"url": url, **options}
+    divided: dict = {}
+    if partitions > 1:
+        column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(by)
+        bounds = f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {rows}) b"
+        lo, hi = spark.read.format("jdbc").options(**connection, dbtable=bounds).load().first()
+        if lo != hi:  # else all rows have one value, or none
+            divided = {"partitionColumn": by, "lowerBound": str(lo), "upperBound": str(hi), "numPartitions": partitions}
+    return conformed(spark.read.format("jdbc").options(**connection, dbtable=rows, **divided).load(), schema)
+
+
+def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """Append rows to a database's table, a connection and a transaction for each partition."""
+    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
 def chapters_of(results: DataFrame, column: str = "result_json") -> DataFrame:
