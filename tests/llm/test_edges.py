@@ -35,6 +35,8 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: v for c, v in extra.items()}).write.parquet(f"{root}/pages.parquet")
     items = [(1, " ".join(documents()[2][1].split()[5:25])), (2, None), (3, ""), (None, "never found in any of these texts at all"), (1, "x y")]
     spark.createDataFrame(items, "item_id long, text string").withColumns({"doc_id": F.lit(1), "n": F.lit(2), "s": F.lit(3)}).write.parquet(f"{root}/benchmark.parquet")
+    turns = [(r[0], k % 7 if k % 11 else None, r[2], r[1]) for k, r in enumerate(documents())]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns(extra).write.parquet(f"{root}/conversations.parquet")
     labels = [(k, k % 2, int(k % 3 == 0)) for k in range(45)] + [(None, 1, 1), (5, None, None), (7, 1, 0), (999, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumns({"key": F.lit(1), "label": F.lit("x"), "text": F.lit("y")}).write.parquet(f"{root}/labels.parquet")
     return root
@@ -43,7 +45,7 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{root}/{name}.parquet")
     return root
 
@@ -54,6 +56,12 @@ def test_odd_rows(spark, odd, name):
     if name == "op6_benchmark_decontamination":
         assert {(r.doc_id, r.item_id) for r in got} == {(2, 1)}
         return
+    if name == "op11_phrase_collocations":
+        assert {r.lang for r in got} <= {"en", "fr", "und"} and all(r.a >= 100 for r in got)
+        return
+    if name == "op13_conversation_repair":
+        assert sorted((r.conv_id for r in got), key=str) == sorted({r[0] for r in documents()}, key=str)
+        return
     key = "page_id" if name.startswith("op4") else "doc_id"
     assert Counter(r[key] for r in got) == Counter(r[0] for r in documents())
     for r in got:
