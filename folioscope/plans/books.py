@@ -482,9 +482,9 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", P.percent((F.col("doc_id") % 1000) / F.lit(1000.0)).alias("pct"), P.page_range(start, start + F.col("doc_id") % 3).alias("pages"))
 
 
-@query("text_names", r"SELECT doc_id AS chapter_index, regexp_replace('chapter_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '_' || source || ' é!', '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
+@query("text_names", r"SELECT doc_id AS chapter_index, regexp_replace('chapter_' || CASE WHEN doc_id < 1000 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || '_' || source || ' é!', '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 1000).alias("chapter_index"), F.concat("source", F.lit(" é!")).alias("chapter_title"))
+    d = read(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("chapter_index"), F.concat("source", F.lit(" é!")).alias("chapter_title"))
     return K.text_names(d).select(F.col("doc_id").alias("chapter_index"), "name")
 
 
