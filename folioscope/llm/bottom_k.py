@@ -214,26 +214,30 @@ def tile_links(x: list[tuple], y: list[tuple], same: bool, num: int, den: int) -
             yield int(sid[i]), int(sid2[j])
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h -> those of lists of two and more. A list is short here: its values are rare."""
-    held: list[pa.RecordBatch] = []  # the last list so far
+def _rare(num: int, den: int):
+    """Rows sorted by (h, n) -> those with another one of their list that is of a similar size. A
+    list is short here: its values are rare."""
 
     def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
-        h = W.column(rows, "h").to_numpy()
-        same = h[1:] == h[:-1]
-        return rows.filter(pa.array(np.append(same, False) | np.insert(same, 0, False)))
+        h, n = (W.column(rows, c).to_numpy().astype(np.int64) for c in ("h", "n"))
+        near = (h[1:] == h[:-1]) & (n[1:] * num <= n[:-1] * den)
+        return rows.filter(pa.array(np.append(near, False) | np.insert(near, 0, False)))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-        h = W.column(rows, "h").to_numpy()
-        cut = int(np.searchsorted(h, h[-1]))
-        if cut:
-            yield kept(rows.slice(0, cut))
-        held = [rows.slice(cut)]
-    if held:
-        yield kept(held[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last list so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            h = W.column(rows, "h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield kept(rows.slice(0, cut))
+            held = [rows.slice(cut)]
+        if held:
+            yield kept(held[0])
+
+    return run
 
 
 def _tiles(size: int):
@@ -367,7 +371,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
     posted = classes.mapInArrow(_postings, "h long, sid long, n int, place int")
     rare = F.call_function("shiftrightunsigned", "h", F.lit(57)) < RARE
-    shared = posted.where(rare).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_rare, posted.schema)
+    shared = posted.where(rare).repartition(parts, "h").sortWithinPartitions("h", "n").mapInArrow(_rare(num, den), posted.schema)
     shared = scratch.put(shared.unionByName(posted.where(~rare)), "shared")
     counts = shared.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     fame = scratch.put(shared.join(counts, "h").groupBy("sid").agg(F.sum("c").alias("fame")), "fame")  # a family's model shares the most
