@@ -49,7 +49,8 @@ def with_index(lines: DataFrame) -> DataFrame:
 def page_medians(lines: DataFrame) -> DataFrame:
     """Median positive font (12 if none) and median gap between lines (8 below two lines)."""
     w = Window.partitionBy(*PAGE).orderBy("line_no")
-    gap = F.greatest(F.lit(0.0), F.lead("y0").over(w) - F.col("y1"))
+    gap = F.lead("y0").over(w) - F.col("y1")
+    gap = F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap))  # the last line has none
     g = lines.withColumn("gap", gap).groupBy(*PAGE)
     return g.agg(F.coalesce(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))), F.lit(12.0)).alias("median_font"), F.coalesce(F.median("gap"), F.lit(8.0)).alias("median_gap"))
 

@@ -163,7 +163,7 @@ def calibrate(scores: DataFrame, include_neutral: bool = False, base: DataFrame
     the medians, if they are known."""
     floor = 0.35 * F.col("median")
     stretched = F.greatest(F.lit(0.0), F.col("score") - floor) / F.greatest(F.lit(0.05), 1 - floor)
-    moved = F.when(floor >= 0.95, F.col("score")).otherwise(F.round(F.least(F.greatest(stretched, F.lit(0.0)), F.lit(1.0)), 6))
+    moved = F.when((floor >= 0.95) | floor.isNull() | F.col("score").isNull(), F.col("score")).otherwise(F.round(F.least(F.greatest(stretched, F.lit(0.0)), F.lit(1.0)), 6))
     neutral = F.col("score") if include_neutral else F.round(F.col("score") * 0.7, 6)
     out = F.when(F.col("label") == NEUTRAL, neutral).otherwise(moved)
     base = medians(scores) if base is None else base

@@ -318,7 +318,7 @@ def _(spark, sf):
     return L.removed_preview(lines(spark, sf), 10, pages(spark, sf))
 
 
-@query("page_medians", f"WITH {LINES}, g AS (SELECT *, greatest(0, lead(y0) OVER (PARTITION BY book_id, page_num ORDER BY line_no) - y1) AS gap FROM l) SELECT book_id, page_num, 12.0::DOUBLE AS median_font, coalesce(median(gap), 8.0)::DOUBLE AS median_gap FROM g GROUP BY ALL")
+@query("page_medians", f"WITH {LINES}, w AS (SELECT *, lead(y0) OVER (PARTITION BY book_id, page_num ORDER BY line_no) - y1 AS d FROM l), g AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(0, d) END AS gap FROM w) SELECT book_id, page_num, 12.0::DOUBLE AS median_font, coalesce(median(gap), 8.0)::DOUBLE AS median_gap FROM g GROUP BY ALL")
 def _(spark, sf):
     return L.page_medians(lines(spark, sf))
 

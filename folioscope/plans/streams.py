@@ -183,6 +183,24 @@ def _(spark, sf):
     return H.marked_lines(lines).where("line_no = 1").select(F.col("book_id").alias("doc_id"), "subtitle")
 
 
+BODY = "It was a long and quiet day by the river, and nobody came to the house until the evening, when the rain had ended."
+
+
+#: Points: numeric with subtitle 4.7, title only 1.5, numeric 3.5; centred 1.3, short 1, first on the page 1, before body 1.3; display case 0.8.
+@query("numbered_candidates", """WITH d AS (SELECT doc_id, doc_id % 3 AS kind, doc_id % 900 + 1 AS n, 100 + doc_id % 900 AS h FROM documents)
+SELECT doc_id, CASE kind WHEN 0 THEN n || ' A Quiet Day' WHEN 1 THEN 'A Quiet Day In The Garden' ELSE n::VARCHAR END AS title, CASE kind WHEN 2 THEN 0 ELSE 1 END AS end_line,
+round(CASE kind WHEN 0 THEN 10.1 WHEN 1 THEN 6.9 ELSE 8.1 END + CASE WHEN 30 <= 0.12 * h THEN 2.0 WHEN 30 <= 0.25 * h THEN 1.3 ELSE 0 END, 3)::DOUBLE AS score,
+CASE kind WHEN 0 THEN 'numeric-heading,numeric-with-subtitle' WHEN 1 THEN 'title-only' ELSE 'numeric-heading' END || CASE WHEN 30 <= 0.12 * h THEN ',very-top' WHEN 30 <= 0.25 * h THEN ',top' ELSE '' END
+|| ',centered,short' || CASE kind WHEN 2 THEN '' ELSE ',display-case' END || ',isolated-before,followed-by-body' AS reasons FROM d""")
+def _(spark, sf):
+    number, kind = (F.col("doc_id") % 900 + 1).cast("string"), F.col("doc_id") % 3
+    texts = F.when(kind == 0, F.array(number, F.lit("A Quiet Day"), F.lit(BODY))).when(kind == 1, F.array(F.lit("A Quiet Day"), F.lit("In The Garden"), F.lit(BODY))).otherwise(F.array(number, F.lit(BODY)))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), (100.0 + F.col("doc_id") % 900).alias("page_height"), F.posexplode(texts).alias("line_no", "text"))
+    y = 30.0 + 18.0 * F.col("line_no")
+    lines = rows.withColumns({"page_num": F.lit(1), "x0": F.lit(50.0), "x1": F.lit(550.0), "y0": y, "y1": y + 12, "font_size": F.lit(12.0), "page_width": F.lit(600.0)})
+    return H.resolved(H.candidates(lines)).select(F.col("book_id").alias("doc_id"), "title", F.col("end_global").cast("int").alias("end_line"), "score", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("selected_headings", """WITH c AS (SELECT doc_id // 10 AS book, doc_id, CASE doc_id % 10 WHEN 0 THEN 's' WHEN 1 THEN 's' WHEN 2 THEN CASE WHEN doc_id // 10 % 2 = 0 THEN 's' ELSE 'n' END WHEN 3 THEN 'n' WHEN 4 THEN 't' WHEN 5 THEN 'by' WHEN 6 THEN 'weak' ELSE 'loose' END AS kind FROM documents),
 m AS (SELECT *, kind IN ('s', 'n', 't') AS major FROM c), f AS (SELECT *, bool_or(major) OVER (PARTITION BY book) AS any_major, count(*) FILTER (WHERE kind = 's') OVER (PARTITION BY book) AS strong FROM m)
 SELECT doc_id FROM f WHERE (major OR NOT any_major) AND (strong < 3 OR kind = 's')""")

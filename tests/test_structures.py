@@ -121,3 +121,21 @@ def test_chunks_are_packed_as_by_a_loop(spark):
         native, python = segment.chunks(df, most, overlap), segment.chunks(df, most, overlap, str.split)
         assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, native.collect())) == sorted(map(tuple, python.collect()))
+
+
+def test_the_gap_after_the_last_line_is_no_gap(spark):
+    from folioscope.operators import layout
+
+    rows = [("a", 1, k, float(y), y + 12.0, 12.0) for k, y in enumerate((30, 48, 90))] + [("b", 1, 0, 30.0, 42.0, 0.0)]
+    df = spark.createDataFrame(rows, "book_id string, page_num int, line_no int, y0 double, y1 double, font_size double")
+    got = {r.book_id: (r.median_font, r.median_gap) for r in layout.page_medians(df).collect()}
+    assert got == {"a": (12.0, 18.0), "b": (12.0, 8.0)}
+
+
+def test_a_null_score_stays_null(spark):
+    from folioscope.operators import scoring
+
+    rows = [("a", 1, 1, "joy", 0.4), ("a", 1, 2, "joy", None), (None, 1, 1, "joy", 0.5), ("b", 1, 1, "joy", None), ("b", 1, 1, "neutral", None)]
+    df = spark.createDataFrame(rows, "book_id string, chapter_index int, scene_index int, label string, score double")
+    got = sorted((str(r.book_id), r.scene_index, r.label, r.score) for r in scoring.calibrate(df).collect())
+    assert got == [("None", 1, "joy", 0.393939), ("a", 1, "joy", 0.302326), ("a", 2, "joy", None), ("b", 1, "joy", None), ("b", 1, "neutral", None)]
