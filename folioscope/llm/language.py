@@ -5,20 +5,23 @@ is parsed against it from left to right into longest matches; the fewer phrases
 per byte, the closer the language. Parsing runs in lockstep: all segments of a block and
 all languages advance one byte at a time, over dense transition tables.
 
-Texts are lower-cased; runs of bytes that are not letters become one space. Long texts are parsed
-whole, in segments of ``SEGMENT`` bytes whose phrases add up. Counts are divided by those
-expected: one for each segment, open at its end, and by length what each language's
+Texts are lower-cased; runs of bytes that are not letters become one space. Texts are parsed
+whole. To advance in lockstep a long text is cut into segments of ``SEGMENT`` bytes, which changes no phrase: each is parsed
+from the root first, then again from the state in which the one before it ends, until
+the two parses are in the same state, and so on until no segment's end changes. Counts are divided by those
+expected: one for the phrase open at the end, and by length what each language's
 held-back text needs against its own automaton (a language whose text is richer, or of
 which less is known, needs more): the sample is cut into ``FOLDS`` runs of bytes, each is
-parsed against an automaton of the others, and the median over its segments, 1 at most, is
+parsed against an automaton of the others in parts of ``SEGMENT`` bytes, and the median over these, 1 at most, is
 kept, so that near copies within a sample don't decide. A sample of one document is cut
 likewise; one of fewer than ``FOLDS`` bytes counts as a phrase per byte.
 
 Every language that has a text with a letter is learned. Training takes at most
 ``SAMPLE_BYTES`` bytes of whole documents per language, those of the smallest text hash,
 and at most ``SAMPLE_DOCS`` documents: a bounded sample. Equal texts of a language count
-once. Texts of more than ``SAMPLE_BYTES`` bytes come last, the shortest first, so that a
-language with no shorter text learns from its smallest, whole. Automata are built by
+once. Texts of more than ``SAMPLE_BYTES`` bytes come last, the shortest first; a
+language with no shorter text learns from its smallest, ``STRETCHES`` stretches of it at even
+distances, ``SAMPLE_BYTES`` bytes in all, so that no automaton is larger than that. Automata are built by
 language in parallel and scored in blocks of ``BLOCK`` languages, of which the best two are
 kept; a worker holds all languages' transitions in compact form (about half a MB each) and
 the dense tables of one block.
@@ -43,6 +46,7 @@ SAMPLE_DOCS = 64
 SHARES = 16
 BLOCK = 16
 SEGMENT = 1024
+STRETCHES = 16
 FOLDS = 4
 UNDETERMINED = "und"
 
@@ -155,44 +159,74 @@ def build(texts: dict[str, list[bytes]]) -> Model | None:
     return grouped([learned(k, t, held_back(t)) for k, t in joined.items() if t])
 
 
+def _advance(model: Block, flat: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, other: np.ndarray | None = None):
+    """Parse the ranges of ``flat`` (longest first), all languages in lockstep, from the states ``start``:
+    their end states and, of each range and language, the phrases that ended. With ``other`` states a range is parsed from both until they agree: the end
+    states from ``start`` (-1: those of the other parse), and the phrases more than from ``other``."""
+    langs, width, table = len(model.roots), model.width, model.table
+    root_rows = np.stack([table[r * width : (r + 1) * width] for r in model.roots], 1)  # symbol x language
+    roots = model.roots[None].astype(np.int32)
+
+    def step(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = table.take(state * width + c[:, None])
+        miss = to == 0
+        np.copyto(to, root_rows[c], where=miss)
+        np.copyto(to, roots, where=to == 0)
+        return to.astype(np.int64), miss
+
+    end, count = start.copy(), np.zeros((len(size), langs), np.int64)
+    if other is None:
+        active = len(size)
+        for t in range(int(size[0]) if len(size) else 0):
+            while size[active - 1] <= t:
+                active -= 1
+            end[:active], miss = step(end[:active], model.symbols[flat[first[:active] + t]])
+            count[:active] += miss
+        return end, count
+    lanes, now, then = np.arange(len(size)), start.copy(), other.copy()
+    t = 0
+    while len(lanes):
+        agree, over = (now == then).all(1), size[lanes] <= t
+        end[lanes[over]] = now[over]
+        end[lanes[agree]] = -1
+        rest = ~(agree | over)
+        lanes, now, then = lanes[rest], now[rest], then[rest]
+        c = model.symbols[flat[first[lanes] + t]]
+        now, miss = step(now, c)
+        then, missed = step(then, c)
+        count[lanes] += miss.astype(np.int64) - missed
+        t += 1
+    return end, count
+
+
 def phrases(model: Block, texts: list[bytes]) -> np.ndarray:
     """Phrases that each text needs in each language: (texts, languages)."""
-    seg, of = [], []
-    for k, t in enumerate(texts):
-        for a in range(0, len(t), SEGMENT):
-            seg.append(t[a : a + SEGMENT])
-            of.append(k)
     out = np.zeros((len(texts), len(model.roots)), np.int64)
-    if not seg:
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(flat):
         return out
-    size = np.array([len(s) for s in seg])
+    length = np.array([len(t) for t in texts])
+    parts = -(-length // SEGMENT)
+    of = np.repeat(np.arange(len(texts)), parts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = (np.cumsum(length) - length)[of] + nth * SEGMENT
+    size = np.minimum(length[of] - nth * SEGMENT, SEGMENT)
     order = np.argsort(-size, kind="stable")
-    size = size[order]
-    flat = np.frombuffer(b"".join(seg[k] for k in order), np.uint8)
-    first = np.append(0, np.cumsum(size)[:-1])
-    code = model.symbols[flat]
-    langs, width, table = len(model.roots), model.width, model.table
-    root_rows = np.stack([table[r * width : (r + 1) * width] for r in model.roots], 1)  # symbol x language
-    state = np.tile(model.roots, (len(seg), 1))
-    count = np.zeros((len(seg), langs), np.int32)
-    active = len(seg)
-    for t in range(int(size[0])):
-        while size[active - 1] <= t:
-            active -= 1
-        c = code[first[:active] + t]
-        now = state[:active]
-        now *= width
-        now += c[:, None]
-        to = table.take(now)
-        miss = to == 0
-        count[:active] += miss
-        again = root_rows[c]
-        np.copyto(to, again, where=miss)
-        np.copyto(to, model.roots[None].astype(np.int32), where=to == 0)
-        state[:active] = to
-    count += 1  # the phrase that is open at the end
-    np.add.at(out, np.array(of)[order], count)
-    return out
+    end, count = np.zeros((len(of), len(model.roots)), np.int64), np.zeros((len(of), len(model.roots)), np.int64)
+    start = np.tile(model.roots, (len(of), 1)).astype(np.int64)
+    end[order], count[order] = _advance(model, flat, first[order], size[order], start[order])
+    lanes = np.flatnonzero(nth > 0)  # segments whose predecessor's end is new
+    while len(lanes):
+        better = end[lanes - 1]
+        ends, more = _advance(model, flat, first[lanes], size[lanes], better, start[lanes])
+        start[lanes] = better
+        count[lanes] += more
+        ends = np.where(ends < 0, end[lanes], ends)
+        moved = lanes[(ends != end[lanes]).any(1)]
+        end[lanes] = ends
+        lanes = moved[np.isin(moved + 1, np.flatnonzero(nth > 0))] + 1
+    np.add.at(out, of, count)
+    return out + (length > 0)[:, None]  # the phrase that is open at the end
 
 
 def predict(model: Model | None, texts: list[str | None], tables: dict[int, Block] | None = None) -> tuple[list[str], list[float]]:
@@ -202,13 +236,12 @@ def predict(model: Model | None, texts: list[str | None], tables: dict[int, Bloc
         return [UNDETERMINED] * len(texts), [0.0] * len(texts)
     tables = {} if tables is None else tables
     length = np.array([len(t) for t in plain_texts]).reshape(-1, 1)
-    segments = np.maximum(-(-length // SEGMENT), 1)
     best, low, second = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.full(len(texts), np.inf)
     for k, block in enumerate(model.blocks):
         if k not in tables:
             tables.clear()
             tables[k] = tabulated(block)
-        need = phrases(tables[k], plain_texts) / (length * np.array([x.own for x in block]) + segments)
+        need = phrases(tables[k], plain_texts) / (length * np.array([x.own for x in block]) + 1)
         here = need.argmin(1)
         least = need[np.arange(len(texts)), here]
         need[np.arange(len(texts)), here] = np.inf
@@ -226,6 +259,14 @@ def predict(model: Model | None, texts: list[str | None], tables: dict[int, Bloc
 FITTED = "name string, states long, source binary, byte binary, target binary, own double"
 
 
+def stretches(text: bytes) -> bytes:
+    """All of a text, or of one of more than ``SAMPLE_BYTES`` bytes stretches at even distances."""
+    if len(text) <= SAMPLE_BYTES:
+        return text
+    wide = SAMPLE_BYTES // STRETCHES - 1
+    return b" ".join(text[a : a + wide] for a in ((len(text) - wide) * k // (STRETCHES - 1) for k in range(STRETCHES)))
+
+
 def _fit(table: pa.Table) -> pa.Table:
     """The automaton of one language from its ranked texts."""
     have, size = [], 0
@@ -234,7 +275,7 @@ def _fit(table: pa.Table) -> pa.Table:
         if t and (not have or size + len(t) <= SAMPLE_BYTES):
             have.append(t)
             size += len(t)
-    text = b" ".join(have)
+    text = stretches(b" ".join(have))
     found = [learned(table["lang"][0].as_py(), text, held_back(text))] if text else []
     cols = [[getattr(x, c) for x in found] for c in ("name", "states", "own")] + [[getattr(x, c).tobytes() for x in found] for c in ("source", "byte", "target")]
     kinds = [pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]

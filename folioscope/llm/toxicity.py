@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Every token gets the log-odds of its use in toxic and other labelled texts (documents that
-hold it, so that one long text doesn't decide) under a Dirichlet prior: a floor for every
-token and a part in proportion to its use in both; tokens whose log-odds are large and stand out (z score)
-form the lexicon and score their log-odds, all others a small negative value. The linear
+Tokens fall into 2^``BITS`` classes by hash, a fixed number whatever the vocabulary. Every class gets the log-odds of its
+use in toxic and other labelled texts (documents that hold it, so that one long text
+doesn't decide) under a Dirichlet prior of ``PRIOR`` documents a class, split like the labels, which keeps rare
+tokens near zero. Every token, seen or not, scores its class' log-odds, of either sign and any size, and ``DRIFT``, which makes
+neutral text negative; scores are whole 1/``UNIT`` so that sums are exact. The linear
 scan of Ruzzo and Tompa lists every maximal segment of positive score. Segment scores are
 calibrated by the extreme-value law of such scores: with lambda from the score
 distribution of the non-toxic texts and K from their best segments, a segment of score S
@@ -13,8 +14,8 @@ significant segments, or else that of its best; a logistic curve fitted to count
 statistic and label turns it into a score between 0 and 1.
 
 Counts and calibration use every labelled text that may be learned from; labels are joined
-by one shuffle plan at every size, behind a sieve of 2 MB that keeps most other texts out of it. The lexicon holds every token over both thresholds, 16
-bytes each in every worker; one beyond ``spark.driver.maxResultSize`` is an error.
+by one shuffle plan at every size, behind a sieve of 2 MB that keeps most other texts out of it. The scores
+are a table of 16 MB in every worker.
 
 A null or empty text has no token and gets the score of a text without a segment. Null
 labels and labels without a document are not learned from; several labels of one id each
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import written
 
-PRIOR, FLOOR = 500.0, 0.5
-MIN_Z, MIN_ODDS = 3.0, 1.5
-DRIFT = -0.7
-CEILING = 6.0
+BITS = 22
+PRIOR = 5.0
+DRIFT = -1.0
+UNIT = 1024
 SIGNIFICANCE = 0.05
 UNKNOWN = 0.0
 SIEVE = 1 << 24
@@ -54,6 +55,10 @@ def tokens(data: np.ndarray, at: np.ndarray) -> W.Words:
     return W.words(spaced, at)
 
 
+def classes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def segments(scores: list[float], gaps: list[float]) -> list[tuple[int, int, float]]:
     """Ruzzo and Tompa's maximal segments. ``scores`` are the positive tokens' scores and
     ``gaps[k]`` the (negative) score of what lies before token k. (first, last, score)."""
@@ -77,8 +82,7 @@ def segments(scores: list[float], gaps: list[float]) -> list[tuple[int, int, flo
 
 @dataclass(frozen=True)
 class Lexicon:
-    hashes: np.ndarray  # sorted
-    scores: np.ndarray
+    scores: np.ndarray  # of every class, in 1/UNIT; empty if nothing was learned
     rate: float  # lambda
     scale: float  # K
 
@@ -88,17 +92,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = W.column(batch, "text"), W.column(batch, "label").to_numpy()
         for a, b in W.slices(texts):
             w = tokens(*W.flat(texts.slice(a, b - a)))
-            with np.errstate(over="ignore"):
-                _, once = np.unique(W.mix64(w.hash + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            each, inverse = np.unique(w.hash[once], return_inverse=True)
-            ones = np.bincount(inverse, weights=labels[a:b][w.doc[once]], minlength=len(each)).astype(np.int64)
+            held = np.unique((w.doc << BITS) + classes(w.hash))  # once a document
+            each, inverse = np.unique(held & ((1 << BITS) - 1), return_inverse=True)
+            ones = np.bincount(inverse, weights=labels[a:b][held >> BITS], minlength=len(each)).astype(np.int64)
             total = np.bincount(inverse, minlength=len(each))
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(each)), pa.array(ones), pa.array(total - ones)], ["token", "ones", "zeros"])
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(ones), pa.array(total - ones)], ["class", "ones", "zeros"])
 
 
-def _solve(rest: float, chance: np.ndarray, scores: np.ndarray) -> float:
+def _solve(chance: np.ndarray, scores: np.ndarray) -> float:
     """The positive lambda with sum p exp(lambda s) = 1."""
-    f = lambda x: rest * math.exp(x * DRIFT) + float((chance * np.exp(x * scores)).sum()) - 1
+
+    def f(x: float) -> float:
+        with np.errstate(over="ignore"):
+            return float((chance * np.exp(x * scores)).sum()) - 1
+
     if f(1e-6) >= 0:
         return 0.05  # the drift is not negative enough on average
     low, high = 1e-6, 1.0
@@ -113,54 +120,46 @@ def _solve(rest: float, chance: np.ndarray, scores: np.ndarray) -> float:
 def lexicon(labelled: DataFrame, text: str = "text", label: str = "label") -> Lexicon:
     """Learn from (text, label 0/1) rows."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label")).where("label IN (0, 1)")
-    counts = written(rows.mapInArrow(_counts, "token long, ones long, zeros long").groupBy("token").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")))
-    all1, all0, kinds = (float(x or 0) for x in counts.agg(F.sum("ones"), F.sum("zeros"), F.count("*")).first())
+    counts = written(rows.mapInArrow(_counts, "class long, ones long, zeros long").groupBy("class").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")))
+    all1, all0 = (float(x or 0) for x in counts.agg(F.sum("ones"), F.sum("zeros")).first())
     if not all1 or not all0:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
-    prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("ones") + F.col("zeros")) / F.lit(all1 + all0)
-    mass = PRIOR + FLOOR * kinds
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + mass) - F.col(y) - prior))
-    delta = odds("ones", all1) - odds("zeros", all0)
-    z = delta / F.sqrt(1 / (F.col("ones") + prior) + 1 / (F.col("zeros") + prior))
-    top = counts.select("token", "zeros", delta.alias("delta"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_ODDS)).drop("z").toArrow()
-    if not len(top):
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
-    hashes = top["token"].to_numpy().view(np.uint64)
-    scores = np.minimum(top["delta"].to_numpy(), CEILING)
-    chance = top["zeros"].to_numpy() / all0
-    order = np.argsort(hashes)
-    return Lexicon(hashes[order], scores[order], _solve(1 - chance[order].sum(), chance[order], scores[order]), 1.0)
+        return Lexicon(np.zeros(0, np.int32), 1.0, 1.0)
+    odds = lambda c, share: F.log(F.col(c) / share + PRIOR)
+    delta = odds("ones", all1 / (all1 + all0)) - odds("zeros", all0 / (all1 + all0))
+    known = counts.select("class", F.round((delta + DRIFT) * UNIT).cast("int").alias("score"), "zeros").toArrow()  # a row a class at most
+    scores = np.full(1 << BITS, round(DRIFT * UNIT), np.int32)
+    scores[known["class"].to_numpy()] = known["score"].to_numpy()
+    value, at = np.unique(known["score"].to_numpy(), return_inverse=True)
+    chance = np.bincount(at, weights=known["zeros"].to_numpy()) / all0
+    return Lexicon(scores, _solve(chance, value / UNIT), 1.0)
 
 
 def _statistics(m: Lexicon, texts: pa.Array, spans: bool) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
     """Of every text: the statistic (NaN without a segment), tokens, significant passages."""
-    sieve = np.zeros(1 << 16, bool)
-    sieve[(m.hashes >> np.uint64(48)).astype(np.int64)] = True
     n, least = len(texts), math.log(SIGNIFICANCE)
     stat, length, out = np.full(n, np.nan), np.zeros(n, np.int64), [[] for _ in range(n if spans else 0)]
     for a, b in W.slices(texts):
         data, at = W.flat(texts.slice(a, b - a))
         w = tokens(data, at)
         length[a:b] = np.diff(w.first)
-        if not len(m.hashes):
+        if not len(m.scores):
             continue
-        hit = np.flatnonzero(sieve[(w.hash >> np.uint64(48)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(m.hashes, w.hash[hit]), len(m.hashes) - 1)
-        good = m.hashes[k] == w.hash[hit]
-        hit, value = hit[good], m.scores[k[good]]
+        value = m.scores[classes(w.hash)].astype(np.int64)
+        sums = np.append(0, np.cumsum(value))
+        hit = np.flatnonzero(value > 0)
         docs = w.doc[hit]
         cuts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else []
         for x, y in zip(cuts, [*cuts[1:], len(docs)], strict=False):
             d = int(docs[x])
             place = hit[x:y]
-            gaps = DRIFT * (np.diff(place, prepend=w.first[d] - 1) - 1.0)
-            found = segments(value[x:y].tolist(), gaps.tolist())
+            gaps = sums[place] - np.append(sums[w.first[d]], sums[place[:-1] + 1])
+            found = [(p, q, s / UNIT) for p, q, s in segments(value[place].tolist(), gaps.tolist())]
             logs = [math.log(m.scale * length[a + d]) - m.rate * s for _, _, s in found]  # ln E
             strong = [v for v in logs if v < least]
             stat[a + d] = -sum(strong) if strong else -min(logs)
             if spans:
                 out[a + d] = [
-                    {"start": int(w.start[place[p]] - at[d]), "end": int(w.end[place[q]] - at[d]), "score": float(s), "expected": math.exp(v)}
+                    {"start": int(w.start[place[p]] - at[d]), "end": int(w.end[place[q]] - at[d]), "score": s, "expected": math.exp(v)}
                     for (p, q, s), v in zip(found, logs, strict=True)
                     if v < least
                 ]
@@ -265,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             break
     k = math.exp(min(max(shift, -20.0), 20.0)) if zeros else 1.0
     moved = [(None if b is None else b - math.log(k), *c) for b, c in bins.items()]
-    lex = Lexicon(first.hashes, first.scores, first.rate, k)
+    lex = Lexicon(first.scores, first.rate, k)
     return Model(lex, fit_curve(moved))
 
 

@@ -58,3 +58,26 @@ def test_blocks_give_what_one_block_gives(monkeypatch):
     monkeypatch.setattr(language, "BLOCK", 2)
     parted = language.build(texts)
     assert len(parted.blocks) == 6 and language.predict(parted, asked) == whole and whole[0][9:11] == ["same", "same"]
+
+
+def test_segments_change_no_phrase(monkeypatch):
+    rng = random.Random(9)
+    learned = [bytes(rng.choices(b"abc ", k=400)), b"ab" * 300, bytes(rng.choices(b"abcdefgh ", k=700))]
+    block = language.tabulated([language.learned(str(k), t) for k, t in enumerate(learned)])
+    asked = [bytes(rng.choices(b"abcz ", k=n)) for n in (0, 1, 7, 63, 64, 65, 2000)] + [b"ab" * 900, b"z" * 500, learned[2][:650] + b"q" + learned[2]]
+    monkeypatch.setattr(language, "SEGMENT", 1 << 30)
+    whole = language.phrases(block, asked)
+    for size in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(language, "SEGMENT", size)
+        assert (language.phrases(block, asked) == whole).all(), size
+
+
+def test_a_language_of_one_very_long_text(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklm", k=5)) for _ in range(200)]
+    other = ["".join(rng.choices("mnopqrstuvwxyz", k=5)) for _ in range(200)]
+    long = " ".join(rng.choices(words, k=700_000))
+    rows = [(1, long, "long"), *[(k, " ".join(rng.choices(other, k=80)), "short") for k in range(2, 40)]]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(x.states < 2 * language.SAMPLE_BYTES for x in model.blocks[0])
+    assert language.predict(model, [long, " ".join(rng.choices(words, k=30)), " ".join(rng.choices(other, k=30))])[0] == ["long", "long", "short"]
