@@ -15,7 +15,7 @@ statistic and label turns it into a score between 0 and 1.
 
 Counts and calibration use every labelled text that may be learned from; labels are joined
 by one shuffle plan at every size, behind a sieve of 2 MB that keeps most other texts out of it. The scores
-are a table of 16 MB in every worker.
+are a table of 4 MB in every worker.
 
 A null or empty text has no token and gets the score of a text without a segment. Null
 labels and labels without a document are not learned from; several labels of one id each
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import written
 
-BITS = 22
+BITS = 21
 PRIOR = 5.0
 DRIFT = -1.0
-UNIT = 1024
+UNIT = 512  # 16 bits hold log-odds up to 64, more than any 64-bit counts give
 SIGNIFICANCE = 0.05
 UNKNOWN = 0.0
 SIEVE = 1 << 24
@@ -123,11 +123,11 @@ def lexicon(labelled: DataFrame, text: str = "text", label: str = "label") -> Le
     counts = written(rows.mapInArrow(_counts, "class long, ones long, zeros long").groupBy("class").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")))
     all1, all0 = (float(x or 0) for x in counts.agg(F.sum("ones"), F.sum("zeros")).first())
     if not all1 or not all0:
-        return Lexicon(np.zeros(0, np.int32), 1.0, 1.0)
+        return Lexicon(np.zeros(0, np.int16), 1.0, 1.0)
     odds = lambda c, share: F.log(F.col(c) / share + PRIOR)
     delta = odds("ones", all1 / (all1 + all0)) - odds("zeros", all0 / (all1 + all0))
     known = counts.select("class", F.round((delta + DRIFT) * UNIT).cast("int").alias("score"), "zeros").toArrow()  # a row a class at most
-    scores = np.full(1 << BITS, round(DRIFT * UNIT), np.int32)
+    scores = np.full(1 << BITS, round(DRIFT * UNIT), np.int16)
     scores[known["class"].to_numpy()] = known["score"].to_numpy()
     value, at = np.unique(known["score"].to_numpy(), return_inverse=True)
     chance = np.bincount(at, weights=known["zeros"].to_numpy()) / all0
