@@ -38,7 +38,7 @@ from . import words as W
 from .tables import written
 
 BITS = 21
-PRIOR = 5.0
+PRIOR = 20.0
 DRIFT = -1.0
 UNIT = 512  # 16 bits hold log-odds up to 64, more than any 64-bit counts give
 SIGNIFICANCE = 0.05
