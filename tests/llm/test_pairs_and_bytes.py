@@ -102,6 +102,27 @@ def test_repeated_bytes(spark):
     assert repeats.without_repeats(spark.createDataFrame([], SCHEMA), length=n).collect() == []
 
 
+def test_repeated_bytes_when_a_join_turns_broadcast(spark):
+    """Rows of one anchor meet in one task even if the join before the merge gives up its shuffle."""
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [part(60) for _ in range(80)]
+    rows = [(k, part(rng.randrange(50, 90)) + shared[k % 80 if k < 240 else 0] + part(rng.randrange(50, 90)), "", "") for k in range(250)]
+    n = 40
+    seen = Counter(t[i : i + n] for _, t, *_ in rows for i in range(len(t) - n + 1))
+    want = [(k, len({j for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1 for j in range(i, i + n)})) for k, t, *_ in rows]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        got = repeats.without_repeats(spark.createDataFrame(rows, SCHEMA), length=n, group=8).select("doc_id", "n_removed").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(map(tuple, got)) == want
+
+
 def test_fingerprints(spark):
     rows = corpus()
     got = fuzzy.fingerprints(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
