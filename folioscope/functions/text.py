@@ -62,9 +62,9 @@ def is_page_number(c: Column | str, clean: bool = False) -> Column:
     return F.coalesce(t == "", F.lit(True)) | matches(t, rf"(?i)^(?:(?:page\s+)?\d{{1,4}}|(?:page\s+)?\d{{1,4}}\s+(?:of|/)\s+\d{{1,4}}|{ROMAN})$")
 
 
-def is_numeric_only(c: Column | str, clean: bool = False) -> Column:
+def is_numeric_only(c: Column | str, clean: bool = False, digits: int = 3) -> Column:
     t = F.rtrim(F.regexp_replace(_cleaned(c, clean), r"[.)]+$", ""))
-    return matches(t, rf"(?i)^(?:\d{{1,3}}|{ROMAN})$")
+    return matches(t, rf"(?i)^(?:\d{{1,{digits}}}|{ROMAN})$")
 
 
 def is_all_caps(c: Column | str, clean: bool = False) -> Column:
@@ -127,11 +127,11 @@ def has_bad_prefix(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike("^(?:" + "|".join(BAD_PREFIXES) + ")"), F.lit(False))
 
 
-def is_heading_line(c: Column | str, clean: bool = False) -> Column:
+def is_heading_line(c: Column | str, clean: bool = False, digits: int = 3) -> Column:
     t = _cleaned(c, clean)
     words = F.size(F.split(t, " "))
     fits = (F.length(t) > 0) & (F.length(t) <= 120) & (words <= 16) & ~has_bad_prefix(t)
-    structured, numeric = is_structured_heading(t, True), is_numeric_only(t, True)
+    structured, numeric = is_structured_heading(t, True), is_numeric_only(t, True, digits)
     sentence = matches(t, r"[.?!;]$") & ~structured & ~numeric & (words > 8) & ~is_all_caps(t, True)
     kinds = numeric | structured | is_front_heading(t, True) | is_back_heading(t, True) | is_section_marker(t, True) | is_all_caps(t, True) | is_title_case(t, True)
     return F.coalesce(fits & ~sentence & kinds, F.lit(False))

@@ -28,3 +28,9 @@ def test_names_end_with_their_letters(spark, tmp_path):
     got, want = compared(spark, tmp_path, "character_names", NAMED)
     assert got == want
     assert [r for r in got if r[0] == 1] == [(1, 1, "AKIAPTDW", 1), (1, 1, "Anna", 2)]
+
+
+def test_numbers_of_four_digits_head_chapters(spark, tmp_path):
+    got, want = compared(spark, tmp_path, "contents_titles", [f"word {k} of a short line" for k in range(1003)])
+    assert got == want
+    assert len(got) == 1003 and ("s", 1002, "Chapter 1002: Document 1002") in {r[:3] for r in got}
