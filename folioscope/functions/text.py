@@ -38,15 +38,23 @@ def strip(c: Column, chars: str = r"\s") -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"(?U)^[{chars}]+", ""), rf"(?U)[{chars}]+$", "")
 
 
+def _replaced(c: Column, old: str, new: str) -> Column:
+    return F.replace(c, F.lit(old), F.lit(new))
+
+
+def _plain(c: Column) -> Column:
+    """No NBSP and no soft hyphens (``translate`` would look up every character)."""
+    return _replaced(_replaced(c, "\u00a0", " "), "\u00ad", "")
+
+
 def normalize_whitespace(c: Column | str) -> Column:
-    c = F.regexp_replace(_c(c), r"\r\n?", "\n")
-    c = F.translate(F.translate(c, "\u00a0", " "), "\u00ad", "")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[\t\f\x0B]+", " "), " {2,}", " "))
+    c = _replaced(_replaced(_c(c), "\r\n", "\n"), "\r", "\n")
+    return strip(F.regexp_replace(_plain(c), r" *[\t\f\x0B][ \t\f\x0B]*| {2,}", " "))
 
 
 def clean_line(c: Column | str) -> Column:
     """Any white space, NBSP too, to single spaces; no soft hyphens; trimmed."""
-    return F.trim(F.regexp_replace(F.translate(_c(c), "\u00a0\u00ad", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_plain(_c(c)), r"(?U)\s+", " "))
 
 
 def _cleaned(c: Column | str, clean: bool) -> Column:

@@ -27,10 +27,14 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 def txt_lines(books: DataFrame, page_num: int = 1) -> DataFrame:
     """(book_id, text) -> lines with the geometry of one tall page; blank lines advance y."""
     parts = F.split(T.normalize_whitespace("text"), "\n")
-    rows = books.select("book_id", F.size(parts).alias("n"), F.posexplode(parts).alias("line_no", "text"))
+    # a text is split and counted before it becomes lines: next to the generator it would be done again for
+    # every line, and in a filter that Spark infers for an array column, which a call isn't
+    split = books.select("book_id", parts.alias("parts")).select("book_id", F.size("parts").alias("n"), "parts")
+    rows = split.select("book_id", "n", F.posexplode(F.coalesce("parts", F.array().cast("array<string>"))).alias("line_no", "text"))
+    rows = settled(rows, {"text": T.clean_line("text")})
     y = 30.0 + 18.0 * F.col("line_no")
     out = rows.select(
-        "book_id", F.lit(page_num).alias("page_num"), "line_no", T.clean_line("text").alias("text"), F.lit(50.0).alias("x0"), F.lit(550.0).alias("x1"), y.alias("y0"), (y + 12).alias("y1"),
+        "book_id", F.lit(page_num).alias("page_num"), "line_no", "text", F.lit(50.0).alias("x0"), F.lit(550.0).alias("x1"), y.alias("y0"), (y + 12).alias("y1"),
         F.lit(12.0).alias("font_size"), F.lit(600.0).alias("page_width"), F.greatest(F.lit(800.0), 14.0 * F.col("n") + 40).alias("page_height"),
     )
     return out.where("text != ''")
