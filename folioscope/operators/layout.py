@@ -161,26 +161,36 @@ def plain_text(lines: DataFrame) -> DataFrame:
     return page.groupBy("book_id").agg(F.array_join(whole, "\n\n").alias("text"))
 
 
-def paragraphs(lines: DataFrame, keys: list[str] | None = None, paragraph_gap: str = "reference") -> DataFrame:
-    """Lines -> paragraphs: a new one on a new page or a gap over max(8, 1.2 % of the height);
-    a line ending in "-" is glued to a next one that starts in lower case.
-
-    A new page always begins a paragraph, so lines are ordered within pages only and a book's
-    pages meet by their numbers of paragraphs. ``paragraph_gap="blank_line"`` takes any gap of
-    more than 8, whatever the page's height (in a long text file blank lines part nothing else).
-    """
-    keys = keys or ["book_id"]
+def numbered(lines: DataFrame, keys: list[str], paragraph_gap: str = "reference") -> DataFrame:
+    """Lines with ``new`` (1 where a paragraph begins) and ``in_page``, its number in the page."""
     page = Window.partitionBy(*keys, "page_num").orderBy("line_no")
     least = F.greatest(F.lit(8.0), 0.012 * F.col("page_height")) if paragraph_gap == "reference" else F.lit(8.0)
     new = F.coalesce((F.col("y0") - F.lag("y1").over(page) > least).cast("int"), F.lit(1))
-    numbered = lines.withColumn("new", new).withColumn("in_page", F.sum("new").over(page))
+    return lines.withColumn("new", new).withColumn("in_page", F.sum("new").over(page))
+
+
+def glued(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The texts of numbered lines by paragraph of a page."""
     parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
 
     def glue(done, x):
         hyphen = done.rlike("-$") & x["text"].rlike(r"^\p{Ll}")
         return F.when(done == "", x["text"]).when(hyphen, F.concat(F.regexp_replace(done, "-$", ""), x["text"])).otherwise(F.concat(done, F.lit(" "), x["text"]))
 
-    texts = numbered.groupBy(*keys, "page_num", "in_page").agg(F.aggregate(parts, F.lit(""), glue).alias("text"))
+    return lines.groupBy(*keys, "page_num", "in_page").agg(F.aggregate(parts, F.lit(""), glue).alias("text"))
+
+
+def paragraphs(lines: DataFrame, keys: list[str] | None = None, paragraph_gap: str = "reference") -> DataFrame:
+    """Lines -> paragraphs: a new one on a new page or a gap over max(8, 1.2 % of the height);
+    a line ending in "-" is glued to a next one that starts in lower case.
+
+    A new page always begins a paragraph, so lines are ordered within pages only and a book's
+    pages meet by their numbers of paragraphs. ``paragraph_gap="blank_line"`` takes any gap of
+    more than 8, whatever the page's height (in a long text file blank lines part nothing else).
+    """
+    keys = keys or ["book_id"]
+    marked = numbered(lines, keys, paragraph_gap)
+    texts = glued(marked, keys)
     before = Window.partitionBy(*keys).orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
-    counts = numbered.groupBy(*keys, "page_num").agg(F.sum("new").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = marked.groupBy(*keys, "page_num").agg(F.sum("new").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return matched(texts, counts.drop("n"), [*keys, "page_num"]).select(*keys, (F.col("ahead") + F.col("in_page")).alias("paragraph"), "text")
