@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cut import cut
 from ..operators.headings import Detection
 from ..operators.layout import matched, removed_preview
 from ..operators.profiles import book_scores, top_k
@@ -123,8 +124,8 @@ def detection_report(d: Detection, lines: DataFrame, pages: DataFrame | None = N
     body = d.body.groupBy("book_id").agg(F.min("page_num").alias("body_start_page"), F.max("page_num").alias("body_end_page"), F.count("*").alias("body_lines"))
     preview = removed_preview(lines, 10, pages).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "preview"))).alias("p")).select("book_id", F.transform("p", lambda x: x["preview"]).alias("removed"))
     out = d.window
-    for part in (counted, cand, picked, chap, body, preview):
-        out = matched(out, part, key, "left")
+    for part in (counted, cand, picked, chap, body, preview):  # each written, so that its shuffle files go before the next
+        out = matched(out, cut(part), key, "left")
     numbers = ["chapter_candidates", "front_candidates", "back_candidates", "chapters", "chars", "body_lines"]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
     return out.select("book_id", "total_pages", *numbers, "start_reason", "end_reason", F.to_json(F.struct(*[c for c in out.columns if c != "book_id"])).alias("report"))
